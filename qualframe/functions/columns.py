@@ -50,13 +50,13 @@ def epoch_seconds(c: Column) -> Column:
 
 
 def as_number(c: Column, dtype: T.DataType) -> Column:
-    """A double for any numeric, boolean or time column; time counts microseconds."""
+    """A double for any column (null for text that is no number); time counts microseconds, dates days."""
     if is_time(dtype):
         return micros(c).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dtype, T.StringType):
-        return F.try_to_number(c, F.lit("S999999999999999D999999999")).cast("double")
+        return c.try_cast("double")
     return c.cast("double")
 
 

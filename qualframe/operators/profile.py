@@ -184,14 +184,12 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, name in enumerate(columns):
         c, dtype = resolve(df.schema, name)
-        nan = F.count_if(F.isnan(c)) if is_fraction(dtype) else F.lit(0).cast("bigint")
+        nan = F.count_if(F.isnan(c)) if is_fraction(dtype) else F.count_if(F.lit(False))
         ordered = not isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))
-        low, high = (F.min(usable(c, dtype)), F.max(usable(c, dtype))) if ordered else (F.lit(None), F.lit(None))
-        as_text = (lambda x: x.cast("string"))
+        v = usable(c, dtype) if ordered else F.lit(None).cast("string")
         aggregates += [
-            F.count_if(c.isNull()).alias(f"nulls{i}"), nan.alias(f"nan{i}") if is_fraction(dtype) else F.max(nan).alias(f"nan{i}"),
-            F.approx_count_distinct(c).alias(f"d{i}") if ordered else F.lit(None).cast("bigint").alias(f"d{i}"),
-            as_text(low).alias(f"lo{i}"), as_text(high).alias(f"hi{i}"),
+            F.count_if(c.isNull()).alias(f"nulls{i}"), nan.alias(f"nan{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
+            F.min(v).cast("string").alias(f"lo{i}"), F.max(v).cast("string").alias(f"hi{i}"),
         ]
         rows.append(F.struct(
             F.lit(name).alias("column"), F.lit(dtype.simpleString()).alias("type"), F.col("rows"),
