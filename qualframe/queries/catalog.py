@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from qualframe.queries import registry
-from qualframe.queries import validation  # noqa: F401
+from qualframe.queries import charts, datasets, profiles, validation  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
