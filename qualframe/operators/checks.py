@@ -6,7 +6,7 @@ of one row per task (or per task and group), whatever the size of the data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Sequence
 
@@ -17,8 +17,9 @@ from qualframe.document import LEVELS, DocumentError, FieldSpec, TableSpec
 from qualframe.functions.columns import ref, resolve
 from qualframe.functions.predicates import predicate
 
-# Very wide aggregates get slower than linear, so a long list is cut into batches of this many checks.
-BATCH = 100
+# More checks than this in one aggregate make its generated code too long to be compiled, so a long list is cut.
+# Checks come in order of columns: a batch reads its own columns only, and all batches together read each about once.
+BATCH = 50
 
 REPORT_COLUMNS = ("column", "check", "constraint", "level", "value", "severity", "status", "evaluated", "failed", "percent")
 
@@ -27,13 +28,14 @@ REPORT_COLUMNS = ("column", "check", "constraint", "level", "value", "severity",
 class Check:
     """What to count and how to label the counts.
 
-    ``evaluated`` and ``failed`` are aggregate expressions; ``fail_severity`` is what one failure means.
+    ``evaluated`` and ``failed`` are aggregate expressions, or numbers known beforehand; ``fail_severity`` is what
+    one failure means.
     """
 
     column: str | None
     check: str
-    evaluated: Column
-    failed: Column
+    evaluated: Column | int
+    failed: Column | int
     fail_severity: int
     constraint: str | None = None
     level: str | None = None
@@ -46,12 +48,12 @@ def _text(value: Any) -> str:
 
 def stated_check(column: str | None, check: str, severity: int, value: str | None = None) -> Check:
     """A result known from the schema alone; it rides along with the counted ones, once per group."""
-    failed = F.lit(1 if severity else 0).cast("bigint")
-    return Check(column, check, F.lit(1).cast("bigint"), failed, severity, value=value)
+    return Check(column, check, 1, 1 if severity else 0, severity, value=value)
 
 
 def null_check(column: str, c: Column) -> Check:
-    return Check(column, "nulls", F.count(F.lit(1)), F.count_if(c.isNull()), 1)
+    """Nulls from two counts the other checks need anyway."""
+    return Check(column, "nulls", F.count(F.lit(1)), F.count(F.lit(1)) - F.count(c), 1)
 
 
 def rule_checks(df: DataFrame, spec: FieldSpec, nulls_allowed: bool = False) -> list[Check]:
@@ -98,8 +100,11 @@ def table_checks(df: DataFrame, spec: TableSpec) -> list[Check]:
     return checks
 
 
-def _string(value: str | None) -> Column:
-    return F.lit(value).cast("string")
+def sql_text(value: str | None) -> str:
+    """A text as a SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def result_columns(evaluated: Column, failed: Column, fail_severity: Column) -> list[Column]:
@@ -116,31 +121,29 @@ def result_columns(evaluated: Column, failed: Column, fail_severity: Column) ->
 
 
 def _run_batch(df: DataFrame, checks: Sequence[Check], by: Sequence[str]) -> DataFrame:
+    # Equal counts (rows, values of a column) appear several times here; Spark computes each one once.
     counts: list[Column] = []
-    known: dict[str, str] = {}
 
-    def counted(c: Column) -> str:
-        text = c._jc.toString() if hasattr(c, "_jc") else str(c)
-        if text not in known:
-            known[text] = f"_n{len(counts)}"
-            counts.append(c.alias(known[text]))
-        return known[text]
+    def counted(c: Column | int) -> str:
+        if isinstance(c, int):
+            return str(c)
+        counts.append(c.alias(f"_n{len(counts)}"))
+        return f"_n{len(counts) - 1}"
 
     names = [(counted(check.evaluated), counted(check.failed)) for check in checks]
+    counts = counts or [F.count(F.lit(1)).alias("_n0")]
     wide = df.groupBy(*[ref(c) for c in by]).agg(*counts)
-    rows = [
-        F.struct(
-            _string(check.column).alias("column"), _string(check.check).alias("check"),
-            _string(check.constraint).alias("constraint"), _string(check.level).alias("level"),
-            _string(check.value).alias("value"), F.lit(check.fail_severity).alias("fail_severity"),
-            F.col(evaluated).cast("bigint").alias("evaluated"), F.col(failed).cast("bigint").alias("failed"),
-        )
+    # One text for the whole stack: building hundreds of literals one by one costs seconds on the driver.
+    rows = ", ".join(
+        f"named_struct('column', {sql_text(check.column)}, 'check', {sql_text(check.check)}, "
+        f"'constraint', {sql_text(check.constraint)}, 'level', {sql_text(check.level)}, 'value', {sql_text(check.value)}, "
+        f"'fail_severity', {check.fail_severity}, 'evaluated', CAST({evaluated} AS BIGINT), 'failed', CAST({failed} AS BIGINT))"
         for check, (evaluated, failed) in zip(checks, names)
-    ]
-    long = wide.select(*[ref(c) for c in by], F.explode(F.array(*rows)).alias("_r"))
+    )
+    long = wide.select(*[ref(c) for c in by], F.expr(f"inline(array({rows}))"))
     return long.select(
-        *[ref(c) for c in by], "_r.column", "_r.check", "_r.constraint", "_r.level", "_r.value",
-        *result_columns(F.col("_r.evaluated"), F.col("_r.failed"), F.col("_r.fail_severity")),
+        *[ref(c) for c in by], "column", "check", "constraint", "level", "value",
+        *result_columns(F.col("evaluated"), F.col("failed"), F.col("fail_severity")),
     )
 
 
@@ -148,9 +151,8 @@ def run_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = (), b
     """Count all checks over the whole frame, or per group of ``by``; one row per check (and group)."""
     if not checks:
         raise DocumentError("nothing to check")
+    if taken := sorted(set(by) & set(REPORT_COLUMNS)):
+        raise DocumentError(f"a report has columns {taken} of its own: rename the grouping column")
     batches = [checks[i:i + batch] for i in range(0, len(checks), batch)]
     return reduce(DataFrame.unionByName, [_run_batch(df, part, by) for part in batches])
 
-
-def renamed(check: Check, column: str) -> Check:
-    return replace(check, column=column)

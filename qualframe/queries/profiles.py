@@ -9,6 +9,7 @@ from qualframe.operators.quantiles import exact_quantiles
 from qualframe.plans.profiling import profile_table
 from qualframe.queries.registry import query, spec_of, table
 from qualframe.queries.validation import INJECTED, injected
+from qualframe.session import materialize
 
 
 @query("value_counts", "SELECT l_linenumber AS value, count(*) AS count FROM lineitem GROUP BY 1")
@@ -196,7 +197,7 @@ _SPANS = """(SELECT (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000000.0 A
 
 def _spans(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return profile.duration(joined, "o_orderdate", "l_shipdate", "seconds")
+    return profile.duration(joined, "o_orderdate", "l_shipdate", "seconds").select("l_quantity", "seconds")
 
 
 @query("duration", f"SELECT seconds, count(*) AS rows FROM (SELECT CAST(seconds AS DOUBLE) AS seconds FROM {_SPANS}) GROUP BY 1")
@@ -217,7 +218,8 @@ def bin_sql(v: str, bins: int, low: str, high: str) -> str:
   SELECT {bin_sql('l_quantity', 30, 'xl', 'xh')} AS bin_x, {bin_sql('seconds', 30, 'yl', 'yh')} AS bin_y, count(*) AS count
   FROM {_SPANS}, q GROUP BY 1, 2""")
 def density_xy(spark, d):
-    return binning.density_xy(_spans(spark, d), "l_quantity", "seconds")
+    """Three passes over the joined columns, so the join is written once."""
+    return binning.density_xy(materialize(_spans(spark, d)), "l_quantity", "seconds")
 
 
 @query("density_fixed", f"""SELECT {bin_sql('l_quantity', 30, '0', '2')} AS bin_x, {bin_sql('seconds', 30, '0', '200000')} AS bin_y,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from qualframe.document import DOCUMENT_DDL
 from qualframe.functions.predicates import APPLICABLE
-from qualframe.sources.inference import applicable_constraints
 
 DATATYPES = ("Tabular", "Relational")
 
@@ -24,76 +23,93 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_p", parsed).select("*", "_p.dataset", "_p.model", "_p._broken").drop("_p")
 
 
-def _issue(when: Column, issue: str, detail: Column | None = None) -> Column:
-    detail = F.lit(None).cast("string") if detail is None else detail
-    return F.when(when, F.struct(F.lit(issue).alias("issue"), detail.alias("detail")))
+_ISSUES = "array<struct<table:string,field:string,issue:string,detail:string>>"
+
+
+def _text(value: str | Column | None) -> Column:
+    return value if isinstance(value, Column) else F.lit(value).cast("string")
+
+
+def _issues(*cases: tuple[Column, str, str | Column | None], table: Column | None = None, field: Column | None = None) -> Column:
+    """The cases ``(condition, issue, detail)`` that hold."""
+    return F.array_compact(F.array(*[
+        F.when(when, F.struct(_text(table).alias("table"), _text(field).alias("field"),
+                              F.lit(issue).alias("issue"), _text(detail).alias("detail")))
+        for when, issue, detail in cases
+    ]))
+
+
+def _each(items: Column, issues_of) -> Column:
+    """Issues of every member of a list that may be null."""
+    return F.coalesce(F.flatten(F.transform(items, issues_of)), F.array().cast(_ISSUES))
+
+
+def _document_issues() -> Column:
+    datatype = F.col("dataset.datatype")
+    return _issues(
+        (F.col("_broken").isNotNull(), "not_readable", None),
+        *[(F.col(f"dataset.{key}").isNull(), "missing", f"dataset.{key}") for key in ("name", "datatype", "uid")],
+        (~datatype.isin(*DATATYPES), "unknown_datatype", datatype),
+        (F.col("model").isNull(), "missing", "model"),
+        ((datatype == "Relational") & F.col("model.relational").isNull(), "missing", "model.relational"),
+    )
+
+
+def _rule_issues(table: Column, field: Column, rule: Column) -> Column:
+    types, flags = field["types"], field["flags"]
+    names = F.array_compact(F.array(
+        types["pq_type"], types["logical_type"], F.when(flags["is_numeric"], F.lit("is_numeric")),
+        F.when(flags["is_categorical"], F.lit("is_categorical"))))
+    known = rule["name"].isin(*APPLICABLE)
+    applicable = F.create_map(*[x for rule_name, wanted in APPLICABLE.items()
+                                for x in (F.lit(rule_name), F.array(*[F.lit(t) for t in wanted]))])
+    fits = F.arrays_overlap(names, F.try_element_at(applicable, rule["name"]))
+    return _issues(
+        *[(rule[key].isNull(), "missing", f"constraints.{key}") for key in ("name", "values", "enabled")],
+        (~known, "unknown_constraint", rule["name"]),
+        (known & types["pq_type"].isNotNull() & ~fits, "constraint_not_applicable", rule["name"]),
+        table=table, field=field["names"]["raw_name"])
+
+
+def _field_issues(table: Column, field: Column) -> Column:
+    required = _issues(
+        *[(field[section][key].isNull(), "missing", f"{section}.{key}")
+          for section, key in (("names", "uid"), ("names", "raw_name"), ("types", "pq_type"))],
+        table=table, field=field["names"]["raw_name"])
+    return F.concat(required, _each(field["constraints"], lambda rule: _rule_issues(table, field, rule)))
+
+
+def _table_issues(name: Column, fields: Column) -> Column:
+    def repeats(key: str) -> Column:
+        present = F.filter(F.transform(fields, lambda f: f["names"][key]), lambda value: value.isNotNull())
+        return F.size(present) > F.size(F.array_distinct(present))
+
+    repeated = _issues((repeats("uid"), "duplicate_field_uid", None), (repeats("raw_name"), "duplicate_raw_name", None), table=name)
+    return F.concat(repeated, _each(fields, lambda field: _field_issues(name, field)))
 
 
 def lint_documents(documents: DataFrame) -> DataFrame:
     """``document, table, field, issue, detail``: everything that breaks the rules of the format.
 
-    All but the last check look at one document at a time and need no shuffle; the last counts dataset
+    Each document is parsed once and judged by itself, without a shuffle; a second pass counts dataset
     identifiers over the whole catalog.
     """
     parsed = parse_documents(documents)
-    datatype = F.col("dataset.datatype")
-    top = F.array_compact(F.array(
-        _issue(F.col("_broken").isNotNull(), "not_readable"),
-        *[_issue(F.col(f"dataset.{key}").isNull(), "missing", F.lit(f"dataset.{key}")) for key in ("name", "datatype", "uid")],
-        _issue(~datatype.isin(*DATATYPES), "unknown_datatype", datatype),
-        _issue(F.col("model").isNull(), "missing", F.lit("model")),
-        _issue((datatype == "Relational") & F.col("model.relational").isNull(), "missing", F.lit("model.relational")),
-    ))
-    none = F.lit(None).cast("string")
-    of_documents = parsed.select("document", none.alias("table"), none.alias("field"), F.explode(top).alias("i"))
-
-    own = F.struct(
-        F.coalesce(F.col("model.table_data.name"), F.col("dataset.name")).alias("name"), F.col("model.fields").alias("fields"))
-    related = F.transform(F.coalesce("model.relational", F.array()), lambda t: F.struct(
-        t["table_data"]["name"].alias("name"), t["fields"].alias("fields")))
-    tables = parsed.select("document", F.explode(F.concat(F.array(own), related)).alias("t"))
-    uids = F.filter(F.transform("t.fields", lambda f: f["names"]["uid"]), lambda u: u.isNotNull())
-    raw = F.filter(F.transform("t.fields", lambda f: f["names"]["raw_name"]), lambda u: u.isNotNull())
-    repeated = F.array_compact(F.array(
-        _issue(F.size(uids) > F.size(F.array_distinct(uids)), "duplicate_field_uid"),
-        _issue(F.size(raw) > F.size(F.array_distinct(raw)), "duplicate_raw_name"),
-    ))
-    of_tables = tables.select("document", F.col("t.name").alias("table"), none.alias("field"), F.explode(repeated).alias("i"))
-
-    fields = tables.select("document", F.col("t.name").alias("table"), F.explode("t.fields").alias("f"))
-    required = F.array_compact(F.array(*[
-        _issue(F.col(f"f.{path}").isNull(), "missing", F.lit(path)) for path in ("names.uid", "names.raw_name", "types.pq_type")
-    ]))
-    name = F.col("f.names.raw_name").alias("field")
-    of_fields = fields.select("document", "table", name, F.explode(required).alias("i"))
-
-    rules = fields.select("document", "table", name, F.col("f.types").alias("types"), F.col("f.flags").alias("flags"),
-                          F.explode("f.constraints").alias("c"))
-    fits = F.array_compact(F.array(
-        F.col("types.pq_type"), F.col("types.logical_type"), F.when(F.col("flags.is_numeric"), F.lit("is_numeric")),
-        F.when(F.col("flags.is_categorical"), F.lit("is_categorical"))))
-    known = F.col("c.name").isin(*APPLICABLE)
-    broken_rules = F.array_compact(F.array(
-        *[_issue(F.col(f"c.{key}").isNull(), "missing", F.lit(f"constraints.{key}")) for key in ("name", "values", "enabled")],
-        _issue(~known, "unknown_constraint", F.col("c.name")),
-        _issue(known & F.col("types.pq_type").isNotNull()
-               & ~F.array_contains(applicable_constraints(fits), F.col("c.name")), "constraint_not_applicable", F.col("c.name")),
-    ))
-    of_rules = rules.select("document", "table", "field", F.explode(broken_rules).alias("i"))
-
-    narrow = of_documents.unionByName(of_tables).unionByName(of_fields).unionByName(of_rules).select(
-        "document", "table", "field", "i.issue", "i.detail")
-    return narrow.unionByName(repeated_datasets(parsed))
-
-
-def repeated_datasets(parsed: DataFrame) -> DataFrame:
+    name = F.coalesce(F.col("model.table_data.name"), F.col("dataset.name"))
+    own = _table_issues(name, F.col("model.fields"))
+    related = _each(F.col("model.relational"), lambda t: _table_issues(t["table_data"]["name"], t["fields"]))
+    issues = F.concat(_document_issues(), F.coalesce(own, F.array().cast(_ISSUES)), related)
+    found = parsed.select("document", F.explode(issues).alias("i")).select("document", "i.*")
+    return found.unionByName(repeated_datasets(documents))
+
+
+def repeated_datasets(documents: DataFrame) -> DataFrame:
     """Dataset identifiers that several documents use; the first document names the finding, ``detail`` the identifier.
 
     Documents are counted per identifier, so one identifier that a third of a catalog shares is one row.
     """
-    uid = F.col("dataset.uid")
-    shared = parsed.where(uid.isNotNull()).groupBy(uid.alias("detail")).agg(
+    shared = documents.groupBy(F.get_json_object("text", "$.dataset.uid").alias("detail")).agg(
         F.count("*").alias("n"), F.min("document").alias("document"))
     none = F.lit(None).cast("string")
-    return shared.where("n > 1").select(
+    return shared.where("n > 1 AND detail IS NOT NULL").select(
         "document", none.alias("table"), none.alias("field"), F.lit("duplicate_dataset_uid").alias("issue"), "detail")
