@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,10 @@ from qualframe.document import DocumentError
 from qualframe.types import is_fraction, is_time
 
 
+# Fixed value: how the Parquet format names the values of a list.
+LIST_STEP = ".list.element"
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -32,14 +38,34 @@ def resolve(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     return F.col(".".join(quoted(part) for part in parts)), dtype
 
 
+def leaf(schema: T.StructType, path: str) -> tuple[Column, T.DataType, bool]:
+    """Like ``resolve``, and for the leaf path of a list (``a.list.element``) the list, its element type and ``True``."""
+    if path not in schema.names and path.endswith(LIST_STEP):
+        c, dtype = resolve(schema, path.removesuffix(LIST_STEP))
+        if isinstance(dtype, T.ArrayType):
+            return c, dtype.elementType, True
+    return *resolve(schema, path), False
+
+
 def has_column(schema: T.StructType, path: str) -> bool:
     try:
-        resolve(schema, path)
+        leaf(schema, path)
     except DocumentError:
         return False
     return True
 
 
+def roots(paths: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """The top-level columns that leaf paths belong to, each once, in order; a path that leads nowhere stays as it is."""
+    found = []
+    for path in paths:
+        first = path.split(".")[0]
+        root = path if path in columns or first not in columns else first
+        if root not in found:
+            found.append(root)
+    return found
+
+
 def micros(c: Column) -> Column:
     """Microseconds since 1970 of either timestamp type (session zone is UTC, see session.py)."""
     return F.unix_micros(c.cast("timestamp"))

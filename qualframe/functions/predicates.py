@@ -206,3 +206,16 @@ def predicate(constraint: str, c: Column, dtype: T.DataType, value: Any, nulls_a
     if constraint == "allowed_values" and nulls_allowed:
         return F.when(c.isNotNull(), test)
     return test
+
+
+def every(c: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether all values of a list pass; a null list is not evaluated, a null in it only if the test judges nulls."""
+    return F.when(c.isNotNull(), F.forall(c, lambda x: F.coalesce(test(x), F.lit(True))))
+
+
+def leaf_predicate(constraint: str, c: Column, dtype: T.DataType, is_list: bool, value: Any,
+                   nulls_allowed: bool = False) -> Column:
+    """The test of a column, or of every value of a list column."""
+    if is_list:
+        return every(c, lambda x: predicate(constraint, x, dtype, value, nulls_allowed))
+    return predicate(constraint, c, dtype, value, nulls_allowed)

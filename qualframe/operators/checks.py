@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualframe.document import LEVELS, DocumentError, FieldSpec, TableSpec
-from qualframe.functions.columns import ref, resolve
-from qualframe.functions.predicates import predicate
+from qualframe.functions.columns import leaf, ref
+from qualframe.functions.predicates import leaf_predicate
 
 # More checks than this in one aggregate make its generated code too long to be compiled, so a long list is cut.
 # Checks come in order of columns: a batch reads its own columns only, and all batches together read each about once.
@@ -51,14 +51,16 @@ def stated_check(column: str | None, check: str, severity: int, value: str | Non
     return Check(column, check, 1, 1 if severity else 0, severity, value=value)
 
 
-def null_check(column: str, c: Column) -> Check:
-    """Nulls from two counts the other checks need anyway."""
-    return Check(column, "nulls", F.count(F.lit(1)), F.count(F.lit(1)) - F.count(c), 1)
+def null_check(df: DataFrame, column: str) -> Check:
+    """Nulls from two counts the other checks need anyway; a list with a null in it counts as null."""
+    c, _, is_list = leaf(df.schema, column)
+    whole = F.when(~F.exists(c, lambda x: x.isNull()), F.lit(1)) if is_list else c
+    return Check(column, "nulls", F.count(F.lit(1)), F.count(F.lit(1)) - F.count(whole), 1)
 
 
 def rule_checks(df: DataFrame, spec: FieldSpec, nulls_allowed: bool = False) -> list[Check]:
     """One check per enabled constraint and non-blank level of a field (``unique`` excluded: it needs a shuffle)."""
-    c, dtype = resolve(df.schema, spec.raw_name)
+    c, dtype, is_list = leaf(df.schema, spec.raw_name)
     checks = []
     for rule in spec.rules:
         for level, value in rule.levels():
@@ -67,11 +69,11 @@ def rule_checks(df: DataFrame, spec: FieldSpec, nulls_allowed: bool = False) ->
             if rule.name == "unique":
                 continue
             try:
-                passes = predicate(rule.name, c, dtype, value, nulls_allowed)
+                passes = leaf_predicate(rule.name, c, dtype, is_list, value, nulls_allowed)
             except DocumentError as error:
                 raise DocumentError(f"{spec.raw_name}: {rule.name} ({level}): {error}") from error
             # Only allowed_values judges nulls; for the others the non-null count of a column is shared.
-            judges_nulls = rule.name == "allowed_values" and not nulls_allowed
+            judges_nulls = rule.name == "allowed_values" and not nulls_allowed and not is_list
             evaluated = F.count(F.lit(1)) if judges_nulls else F.count(c)
             checks.append(Check(spec.raw_name, "constraint", evaluated, F.count_if(~passes), LEVELS[level],
                                 rule.name, level, _text(value)))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualframe.document import LEVELS, DocumentError, TableSpec
-from qualframe.functions.columns import has_column, ref, resolve
-from qualframe.functions.predicates import predicate
+from qualframe.functions.columns import has_column, leaf, ref, roots
+from qualframe.functions.predicates import leaf_predicate
 from qualframe.operators.checks import (
     Check, null_check, result_columns, rule_checks, run_checks, stated_check, table_checks,
 )
@@ -48,7 +48,7 @@ def name_outcomes(data_columns: Sequence[str], schema_columns: Sequence[str]) ->
 def name_checks(data_columns: Sequence[str], spec: TableSpec) -> list[Check]:
     return [
         stated_check(None, label, NAME_SEVERITY[label], ",".join(columns) or None)
-        for label, columns in name_outcomes(data_columns, spec.columns)
+        for label, columns in name_outcomes(data_columns, roots(spec.columns, data_columns))
     ]
 
 
@@ -125,7 +125,7 @@ def validate(
         if not has_column(df.schema, field.raw_name):
             continue
         present.add(field.raw_name)
-        checks.append(null_check(field.raw_name, resolve(df.schema, field.raw_name)[0]))
+        checks.append(null_check(df, field.raw_name))
         checks += rule_checks(df, field, nulls_allowed)
     checks += table_checks(df, spec)
     parts = [run_checks(df, checks, by), *_unique_rows(df, spec, by, present)]
@@ -174,8 +174,8 @@ def _error_tests(df: DataFrame, spec: TableSpec, nulls_allowed: bool) -> list[Co
         for rule in field.rules:
             for level, value in rule.levels():
                 if level == "error" and rule.name != "unique":
-                    c, dtype = resolve(df.schema, field.raw_name)
-                    tests.append(predicate(rule.name, c, dtype, value, nulls_allowed))
+                    c, dtype, is_list = leaf(df.schema, field.raw_name)
+                    tests.append(leaf_predicate(rule.name, c, dtype, is_list, value, nulls_allowed))
     for rule in spec.table_rules:
         for level, value in rule.levels():
             if level == "error" and rule.name == "expression":

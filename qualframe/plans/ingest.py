@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualframe.document import Document
-from qualframe.functions.columns import ref
+from qualframe.functions.columns import ref, roots
 from qualframe.functions.uid import encode_uid, key_hash, largest
 from qualframe.operators.ordering import rank_groups
 from qualframe.operators.validate import table_level, validate
@@ -116,7 +116,7 @@ class Dataset:
     def _publish(self, frame: DataFrame, passed: Sequence[str], token: str) -> dict:
         """Write the columns of the document, then hash what was written; files and hash per delivery."""
         wanted = frame.where(F.col("ingestion").isin(*passed))
-        columns = [c for c in self.document.table.columns if c != "ingestion"]
+        columns = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
         shaped = project(wanted, [*columns, "ingestion"]).withColumn("uid", self.uid_of(F.col("ingestion"), token))
         write_partitions(shaped, self.published_path, ("ingestion", "uid"))
         folders = shaped.select("ingestion", "uid").distinct().collect()

@@ -294,6 +294,22 @@ def constraint_literals(spark, d):
         "o_orderdate"))
 
 
+_LISTS = "(SELECT vec_id, embedding, list_min(embedding) AS lo, list_max(embedding) AS hi FROM embeddings)"
+
+
+@query("list_elements", report_of(base_rows(_LISTS, ["vec_id", "embedding.list.element"], nulls={"embedding.list.element": "embedding"}) + [
+    rule_row(_LISTS, "vec_id", "greater_equal", "error", "0", "vec_id < 0"),
+    rule_row(_LISTS, "embedding", "less", "warning", "0.25", "hi >= CAST(0.25 AS FLOAT)").replace("'embedding' AS", "'embedding.list.element' AS"),
+    rule_row(_LISTS, "embedding", "greater_equal", "error", "-1", "lo < -1").replace("'embedding' AS", "'embedding.list.element' AS"),
+]))
+def list_elements(spark, d):
+    """Constraints on the values of a list hold if every value passes."""
+    df = table(spark, d, "embeddings").select("vec_id", "embedding")
+    spec = spec_of(df, "embeddings")
+    return validate(df, spec.replace_field(spec.field("embedding.list.element").with_rules(
+        rule("less", "0.25"), rule("greater_equal", error="-1"))).with_rules(vec_id=[rule("greater_equal", error="0")]))
+
+
 # ---- column names, types, nulls -------------------------------------------------------------------
 
 def names_query(label: str, change, present: tuple[str, ...], outcome: dict[str, tuple[int, str | None]], extra_null=None) -> None:

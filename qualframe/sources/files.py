@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualframe.document import DocumentError, TableSpec
-from qualframe.functions.columns import ref
+from qualframe.functions.columns import ref, roots
 
 MEGABYTE = 1_000_000
 
@@ -86,7 +86,7 @@ def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def project_to(df: DataFrame, spec: TableSpec) -> DataFrame:
-    return project(df, spec.columns)
+    return project(df, roots(spec.columns, df.columns))
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("ingestion",), mode: str = "overwrite") -> None:

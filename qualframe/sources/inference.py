@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualframe.document import Document, FieldSpec, Rule, TableSpec
-from qualframe.functions.columns import as_number, quoted, resolve, usable
+from qualframe.functions.columns import as_number, leaf, quoted, resolve, usable
 from qualframe.functions.predicates import APPLICABLE
 from qualframe.functions.uid import encode_uid, key_hash, largest
 from qualframe.sources.footers import footer_profile, footer_rows, with_bounds
@@ -41,10 +41,16 @@ def data_bounds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     names = [c for c in (columns or leaves) if c in leaves]
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, name in enumerate(names):
-        c, dtype = resolve(df.schema, name)
+        c, dtype, is_list = leaf(df.schema, name)
         physical, logical = parquet_type(dtype)
-        v = usable(c, dtype)
-        aggregates += [F.count_if(c.isNull()).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        if is_list:  # a footer counts a null or empty list as one null, and every null in a list
+            values = F.filter(c, lambda x: usable(x, dtype).isNotNull())
+            nulls = F.sum(F.when(c.isNull() | (F.size(c) == 0), F.lit(1)).otherwise(
+                F.size(F.filter(c, lambda x: x.isNull()))).cast("bigint"))
+            low, high = F.min(F.array_min(values)), F.max(F.array_max(values))
+        else:
+            nulls, low, high = F.count_if(c.isNull()), F.min(usable(c, dtype)), F.max(usable(c, dtype))
+        aggregates += [nulls.alias(f"n{i}"), low.alias(f"lo{i}"), high.alias(f"hi{i}")]
         text = (lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")) if is_time(dtype) else (lambda x: x.cast("string"))
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(name).alias("column"), F.lit(physical).alias("physical"),
