@@ -125,7 +125,8 @@ def _multiple_of(c: Column, dtype: T.DataType, value: Any) -> Column:
     step = _parse_step(value, dtype)
     if is_fraction(dtype):
         c, v = c.cast("double"), F.lit(step)
-        return F.abs(c - F.rint(c / v) * v) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(c))
+        near = F.abs(c - F.rint(c / v) * v) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(c))
+        return near & ~F.isnan(c)
     return (c % literal(value, dtype)) == F.lit(0)
 
 

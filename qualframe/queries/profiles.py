@@ -104,9 +104,9 @@ def _quantile_rows(spark, df, columns):
 
 @query("quantiles_exact", _quantile_sql("lineitem", {
     "l_extendedprice": "l_extendedprice", "l_quantity": "l_quantity", "l_orderkey": "CAST(l_orderkey AS DOUBLE)",
-    "l_shipdate": "CAST(epoch_us(l_shipdate) AS DOUBLE)"}))
+    "l_tax": "l_tax", "l_partkey": "CAST(l_partkey AS DOUBLE)"}))
 def quantiles_exact(spark, d):
-    return _quantile_rows(spark, table(spark, d, "lineitem"), ("l_extendedprice", "l_quantity", "l_orderkey", "l_shipdate"))
+    return _quantile_rows(spark, table(spark, d, "lineitem"), ("l_extendedprice", "l_quantity", "l_orderkey", "l_tax", "l_partkey"))
 
 
 @query("quantiles_nan_null", _quantile_sql(INJECTED, {
@@ -116,12 +116,12 @@ def quantiles_nan_null(spark, d):
 
 
 _BOUNDS = """SELECT '{c}' AS "column", count({c}) AS count, round_even(quantile_cont({c}, 0.001), 0) AS low,
-  quantile_cont({c}, 0.5) AS median, round_even(quantile_cont({c}, 0.999), 0) AS high FROM {t}"""
+  round(quantile_cont({c}, 0.5), 6) AS median, round_even(quantile_cont({c}, 0.999), 0) AS high FROM {t}"""
 
 
 @query("numeric_bounds", _BOUNDS.format(c="l_extendedprice", t="lineitem"))
 def numeric_bounds(spark, d):
-    return profile.numeric_bounds(table(spark, d, "lineitem"), "l_extendedprice")
+    return profile.numeric_bounds(table(spark, d, "lineitem"), "l_extendedprice").withColumn("median", F.round("median", 6))
 
 
 def _outlier_sql(t: str, c: str) -> str:
@@ -172,8 +172,8 @@ def time_stats(spark, d):
 
 _DESCRIBE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count({v}) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std,
-    CAST(min({v}) AS DOUBLE) AS min, CAST(quantile_cont({v}, 0.25) AS DOUBLE) AS "25%", CAST(quantile_cont({v}, 0.5) AS DOUBLE) AS "50%",
-    CAST(quantile_cont({v}, 0.75) AS DOUBLE) AS "75%", CAST(max({v}) AS DOUBLE) AS max FROM {INJECTED}"""
+    CAST(min({v}) AS DOUBLE) AS min, round(quantile_cont(CAST({v} AS DOUBLE), 0.25), 6) AS "25%", round(quantile_cont(CAST({v} AS DOUBLE), 0.5), 6) AS "50%",
+    round(quantile_cont(CAST({v} AS DOUBLE), 0.75), 6) AS "75%", CAST(max({v}) AS DOUBLE) AS max FROM {INJECTED}"""
     for c, v in (("l_quantity", "CASE WHEN NOT isnan(l_quantity) THEN l_quantity END"), ("l_extendedprice", "l_extendedprice"),
                  ("l_orderkey", "l_orderkey")))
 
@@ -181,7 +181,7 @@ _DESCRIBE = " UNION ALL ".join(
 @query("describe_numeric", _DESCRIBE)
 def describe_numeric(spark, d):
     found = profile.describe_numeric(injected(table(spark, d, "lineitem")), ["l_quantity", "l_extendedprice", "l_orderkey"])
-    return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return found.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in ("mean", "std", "25%", "50%", "75%")})
 
 
 @query("describe_text", f"""SELECT 'l_returnflag' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",

@@ -13,7 +13,7 @@ DATATYPES = ("Tabular", "Relational")
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``document, text``: one row per JSON file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("document"), F.col("value").alias("text"))
 
 

@@ -156,8 +156,8 @@ def harvested_documents(harvest: DataFrame) -> DataFrame:
     """One row per file: its columns with metadata, in file order, as a JSON list of fields."""
     fields = harvest.groupBy("path", "position", "column").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "json")))).alias("sections"))
-    listed = fields.groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct("position", "column", "sections"))).alias("fields"))
+    listed = fields.groupBy("path").agg(F.array_sort(
+        F.collect_list(F.struct("position", "column", "sections")), lambda a, b: a["position"] - b["position"]).alias("fields"))
     return listed.select("path", F.size("fields").cast("bigint").alias("columns"), F.to_json("fields").alias("fields"))
 
 

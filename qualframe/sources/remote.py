@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote
 
 from pyspark import cloudpickle
 
 
-def open_file(uri: str):
-    """A seekable binary file behind any address Arrow knows (local, HDFS, object stores)."""
+def open_file(path: str):
+    """A seekable binary file at a path as Spark lists it: nothing in it is percent-encoded.
+
+    Any address Arrow knows will do (local, HDFS, object stores).
+    """
     from pyarrow import fs
 
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(parsed.path) if parsed.scheme else uri)
-    filesystem, path = fs.FileSystem.from_uri(uri)
-    return filesystem.open_input_file(path)
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]+):)?(.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^//+", "/", rest))
+    filesystem, found = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@=+,;$&!*~()')}")
+    return filesystem.open_input_file(found)
 
 
 # Tasks get the functions above with the job, so executors need no copy of this package.
