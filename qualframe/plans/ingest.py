@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualframe.document import Document
-from qualframe.functions.columns import ref, roots
+from qualframe.functions.columns import quoted, ref, roots
 from qualframe.functions.uid import encode_uid, key_hash, largest
 from qualframe.operators.ordering import rank_groups
 from qualframe.operators.validate import table_level, validate
@@ -23,6 +23,7 @@ from qualframe.session import materialize
 from qualframe.sources.files import path_exists, project, write_partitions
 from qualframe.sources.hashes import content_hashes, folder_hash
 from qualframe.sources.reports import append_report, latest, read_reports
+from qualframe.types import spark_type
 
 MANIFEST_DDL = (
     "ingestion string, uid string, status string, validated int, part_no bigint, part_name string, path string, "
@@ -141,6 +142,8 @@ class Dataset:
     def read(self) -> DataFrame:
         """The published rows: of every delivery the newest accepted attempt."""
         accepted = latest(self.manifest().where("status = 'accepted'")).select("ingestion", "uid")
+        if accepted.isEmpty():
+            return self._nothing()
         data = self.spark.read.option("basePath", self.published_path).parquet(self.published_path)
         data = data.withColumn("ingestion", F.col("ingestion").cast("string")).withColumn("uid", F.col("uid").cast("string"))
         listed = accepted.limit(LISTED_FOLDERS + 1).collect()
@@ -148,6 +151,11 @@ class Dataset:
             return data.where(F.col("uid").isin(*[row.uid for row in listed]))
         return data.join(accepted, ["ingestion", "uid"], "left_semi")
 
+    def _nothing(self) -> DataFrame:
+        fields = [f"{quoted(f.raw_name)} {spark_type(f.pq_type, f.logical_type).simpleString()}"
+                  for f in self.document.table.fields if f.raw_name != "ingestion"]
+        return self.spark.createDataFrame([], ", ".join([*fields, "ingestion string", "uid string"]))
+
     def history(self) -> DataFrame:
         """The newest manifest row of every delivery, accepted or not."""
         return latest(self.manifest())

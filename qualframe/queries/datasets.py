@@ -338,16 +338,15 @@ def metadata_harvest(spark, d):
 # ---- deliveries -----------------------------------------------------------------------------------
 
 def month_dataset(spark, d) -> tuple[Dataset, DataFrame]:
-    """Months with a very expensive line break an error-level constraint; the others pass with warnings."""
+    """Every February with a line of 50 pieces breaks a rule at error level; the other months pass with warnings."""
     df = by_month(spark, d)
-    spec = lineitem_spec(df).with_rules(
-        l_extendedprice=[rule("less", "104000.0", "104800.0")], l_quantity=[rule("less_equal", "45", "50")])
-    document = Document("lineitem", "lineitm1", (replace(spec, name="lineitem"),))
+    spec = replace(lineitem_spec(df), table_rules=(rule("expression", error="month(l_shipdate) <> 2 OR l_quantity < 50"),))
+    document = Document("lineitem", "lineitm1", (spec,))
     return Dataset(spark, scratch_path(spark, "lineitem"), document), df
 
 
 _LEVELS = """SELECT strftime(l_shipdate, '%Y-%m') AS ingestion, count(*) AS rows,
-  CASE WHEN count(*) FILTER (WHERE l_extendedprice >= 104800) > 0 THEN 'rejected' ELSE 'accepted' END AS status FROM lineitem GROUP BY 1"""
+  CASE WHEN count(*) FILTER (WHERE month(l_shipdate) = 2 AND l_quantity >= 50) > 0 THEN 'rejected' ELSE 'accepted' END AS status FROM lineitem GROUP BY 1"""
 
 
 @query("ingest_batch", f"""SELECT ingestion, rows, status, CASE WHEN status = 'accepted'

@@ -114,3 +114,13 @@ def test_stream_takes_each_file_once(spark, tmp_path, data):
     run()
     assert sorted(r.ingestion for r in dataset.manifest().collect()) == ["day_0", "day_1", "day_2"]
     assert dataset.read().count() == events.count()
+
+
+def test_nothing_accepted_yet(spark, tmp_path, orders):
+    dataset = make(spark, tmp_path, orders, o_totalprice=[Rule("less", {"error": "0"})])
+    assert dataset.history().count() == 0
+    dataset.ingest(orders)
+    empty = dataset.read()
+    assert empty.count() == 0
+    assert set(empty.columns) == set(orders.columns) | {"uid"}
+    assert empty.schema["o_orderdate"].dataType == orders.schema["o_orderdate"].dataType
