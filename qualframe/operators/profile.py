@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ CATEGORY_LIMIT = 30
 ROBUST = (0.001, 0.5, 0.999)
 TIME_PERCENTILES = (0.01, 0.25, 0.5, 0.77, 0.99)
 QUARTILES = (0.25, 0.5, 0.75)
+# Columns per profiling aggregate.
+WIDTH = 24
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -57,18 +60,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.distinct().groupBy("column").agg(F.count("*").alias("distinct"))
 
 
-def categorical_columns(df: DataFrame, columns: Sequence[str], limit: int = CATEGORY_LIMIT) -> dict[str, int]:
+def categorical_columns(df: DataFrame, columns: Sequence[str], limit: int = CATEGORY_LIMIT,
+                        estimates: Mapping[str, int] | None = None) -> dict[str, int]:
     """Columns with fewer than ``limit`` distinct values, with their exact number.
 
-    A sketch sorts out columns that are far above the limit, so the exact count only ever shuffles columns
-    with few values.
+    A sketch (or the ``estimates`` of an earlier one) sorts out columns that are far above the limit, so the exact
+    count only ever shuffles columns with few values.
     """
     if not columns:
         return {}
-    estimates = df.agg(*[
-        F.approx_count_distinct(resolve(df.schema, name)[0]).alias(f"c{i}") for i, name in enumerate(columns)
-    ]).first()
-    few = [name for i, name in enumerate(columns) if estimates[f"c{i}"] < 4 * limit]
+    if estimates is None:
+        row = df.agg(*[
+            F.approx_count_distinct(resolve(df.schema, name)[0]).alias(f"c{i}") for i, name in enumerate(columns)
+        ]).first()
+        estimates = {name: row[f"c{i}"] for i, name in enumerate(columns)}
+    few = [name for name in columns if estimates[name] < 4 * limit]
     if not few:
         return {}
     exact = {row["column"]: row["distinct"] for row in distinct_counts(df, few).collect()}
@@ -104,11 +110,15 @@ def outliers(df: DataFrame, column: str, low: float, high: float, n: int = 10) -
     Without any value below ``low`` the low side shows ``low`` itself ``n`` times.
     """
     c, dtype = resolve(df.schema, column)
-    v = as_number(usable(c, dtype), dtype)
+    v = as_number(c, dtype)
     values = df.select(v.alias("value"))
-    # A limited sort is a top-n per task and one merge of n rows per task.
+    # Plain comparisons reach the file scan, where whole row groups without an outlier are skipped. A limited
+    # sort is a top-n per task and one merge of n rows per task. NaN sorts above all and is left out.
     below = [row.value for row in values.where(v < F.lit(low)).orderBy("value").limit(n).collect()] or [float(low)] * n
-    above = [row.value for row in values.where(v >= F.lit(high)).orderBy(F.desc("value")).limit(n).collect()]
+    high_end = values.where(v >= F.lit(high))
+    if is_fraction(dtype):
+        high_end = high_end.where(~F.isnan("value"))
+    above = [row.value for row in high_end.orderBy(F.desc("value")).limit(n).collect()]
     rows = [("low", i + 1, x) for i, x in enumerate(below)] + [("high", i + 1, x) for i, x in enumerate(above)]
     return df.sparkSession.createDataFrame(rows, "side string, rank bigint, value double")
 
@@ -120,11 +130,9 @@ def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME
     day = 86_400_000_000
     stats: list[tuple[str, float | int | None]] = [("count", found.count)]
     if found.count:
-        # The mean is a sum of whole microseconds, exact at any size.
-        mean = df.agg((F.sum(micros(c).cast("decimal(38,0)")) / F.count(c)).cast("double").alias("m")).first().m
         low = int(found.quantiles[percentiles[0]] // day * day)
         high = int(-(-found.quantiles[percentiles[-1]] // day) * day)
-        stats += [("mean", mean), ("min", found.low)]
+        stats += [("mean", found.mean), ("min", found.low)]
         stats += [(f"{round(p * 100)}%", found.quantiles[p]) for p in percentiles]
         stats += [("max", found.high), ("range_low", low), ("range_high", high), ("bins", (high - low) // day)]
     rows = [(name, None if value is None else float(value)) for name, value in stats]
@@ -135,20 +143,11 @@ def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Count, mean, sample standard deviation, minimum, quartiles and maximum per column."""
-    numbers = {}
-    for name in columns:
-        c, dtype = resolve(df.schema, name)
-        numbers[name] = as_number(usable(c, dtype), dtype)
-    moments = df.agg(*[
-        f(v).alias(f"{label}{i}") for i, v in enumerate(numbers.values())
-        for label, f in (("mean", F.avg), ("std", F.stddev_samp))
-    ]).first()
     found = robust_ranges(df, list(columns), QUARTILES, approximate)
     rows = []
-    for i, name in enumerate(columns):
+    for name in columns:
         r = found[name]
-        quartiles = [r.quantiles[q] for q in QUARTILES]
-        rows.append((name, r.count, moments[f"mean{i}"], moments[f"std{i}"], r.low, *quartiles, r.high))
+        rows.append((name, r.count, r.mean, r.std, r.low, *[r.quantiles[q] for q in QUARTILES], r.high))
     return df.sparkSession.createDataFrame(
         rows, "column string, count bigint, mean double, std double, min double, "
               "`25%` double, `50%` double, `75%` double, max double")
@@ -176,11 +175,16 @@ def duration(df: DataFrame, start: str, end: str, name: str = "duration", second
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every column at once, in one aggregate: rows, nulls, NaN, estimated distinct values, least and greatest value.
+    """Of every column: rows, nulls, NaN, estimated distinct values, least and greatest value.
 
-    It is the answer from the data where a file footer has none (see sources/footers.py).
+    One aggregate for up to ``WIDTH`` columns; a wide table takes several, each reading its own columns.
     """
     columns = list(columns or df.columns)
+    parts = [columns[i:i + WIDTH] for i in range(0, len(columns), WIDTH)]
+    return reduce(DataFrame.unionByName, [_profile_batch(df, part) for part in parts])
+
+
+def _profile_batch(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, name in enumerate(columns):
         c, dtype = resolve(df.schema, name)
@@ -208,12 +212,13 @@ def kind_of(dtype: T.DataType, categorical: bool) -> str:
     return "number"
 
 
-def kinds(df: DataFrame, flags: Mapping[str, bool | None] | None = None) -> dict[str, str]:
+def kinds(df: DataFrame, flags: Mapping[str, bool | None] | None = None,
+          estimates: Mapping[str, int] | None = None) -> dict[str, str]:
     """The kind of every column: by its flag where one is set, else by its type and number of distinct values."""
     flags = flags or {}
     open_columns = [f.name for f in df.schema.fields
                     if flags.get(f.name) is None and isinstance(f.dataType, T.AtomicType) and not is_time(f.dataType)]
-    few = categorical_columns(df, open_columns)
+    few = categorical_columns(df, open_columns, estimates=estimates)
     return {
         f.name: kind_of(f.dataType, bool(flags.get(f.name)) or f.name in few) for f in df.schema.fields
         if isinstance(f.dataType, T.AtomicType)

@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualframe.functions.columns import as_number, resolve, usable
+from qualframe.functions.columns import as_number, micros, resolve, usable
+from qualframe.types import is_time
 
 CELLS = 1024
 SKETCH_ACCURACY = 1000
+# Columns per pass; a pass reads its own columns only.
+BATCH = 12
 _LARGEST = 1.7976931348623157e308
 
 
@@ -42,6 +45,13 @@ def _number(df: DataFrame, name: str) -> Column:
     return as_number(usable(c, dtype), dtype)
 
 
+def _mean(df: DataFrame, name: str) -> Column:
+    c, dtype = resolve(df.schema, name)
+    if is_time(dtype):  # a sum of whole microseconds is exact at any size
+        return (F.sum(micros(c).cast("decimal(38,0)")) / F.count(c)).cast("double")
+    return F.avg(_number(df, name))
+
+
 def _finite(bound: float) -> float:
     return max(-_LARGEST, min(_LARGEST, bound))
 
@@ -135,12 +145,14 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]],
 
 @dataclass(frozen=True)
 class ColumnRange:
-    """Count, minimum and maximum of the usable values, and the quantiles asked for."""
+    """Count, minimum and maximum of the usable values, the quantiles asked for, mean and sample deviation."""
 
     count: int
     low: float | None
     high: float | None
     quantiles: dict[float, float | None]
+    mean: float | None = None
+    std: float | None = None
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, ColumnRange]:
@@ -149,11 +161,19 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
     Nulls and NaN are left out. The result is a handful of numbers and belongs on the driver, where
     it sets bin edges and thresholds of later jobs.
     """
+    names, found = list(wanted), {}
+    for i in range(0, len(names), BATCH):
+        found.update(_batch_quantiles(df, {name: wanted[name] for name in names[i:i + BATCH]}))
+    return found
+
+
+def _batch_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, ColumnRange]:
     slack = 2.0 / SKETCH_ACCURACY
     aggregates = []
     for i, (name, probabilities) in enumerate(wanted.items()):
         v = _number(df, name)
-        aggregates += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        aggregates += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                       _mean(df, name).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}")]
         edges = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
         if edges:
             aggregates.append(F.percentile_approx(v, edges, SKETCH_ACCURACY).alias(f"q{i}"))
@@ -173,7 +193,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
     for i, (name, probabilities) in enumerate(wanted.items()):
         n = row[f"n{i}"]
         found = {p: _interpolate(values[name], p, n) if n else None for p in probabilities}
-        out[name] = ColumnRange(n, row[f"lo{i}"], row[f"hi{i}"], found)
+        out[name] = ColumnRange(n, row[f"lo{i}"], row[f"hi{i}"], found, row[f"mean{i}"], row[f"std{i}"])
     return out
 
 
@@ -194,10 +214,12 @@ def approximate_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
     for i, (name, probabilities) in enumerate(wanted.items()):
         v = _number(df, name)
         aggregates += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                       F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
                        F.percentile_approx(v, list(probabilities), accuracy).alias(f"q{i}")]
     row = df.agg(*aggregates).first()
     return {
         name: ColumnRange(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"],
-                          dict(zip(probabilities, row[f"q{i}"] or [None] * len(probabilities))))
+                          dict(zip(probabilities, row[f"q{i}"] or [None] * len(probabilities))),
+                          row[f"mean{i}"], row[f"std{i}"])
         for i, (name, probabilities) in enumerate(wanted.items())
     }

@@ -183,8 +183,13 @@ def _error_tests(df: DataFrame, spec: TableSpec, nulls_allowed: bool) -> list[Co
     return tests
 
 
+def mark_rows(df: DataFrame, spec: TableSpec, name: str = "accepted", nulls_allowed: bool = False) -> DataFrame:
+    """Add whether a row passes every row-level constraint at error level; one scan serves both sides of a split."""
+    tests = _error_tests(df, spec, nulls_allowed)
+    return df.withColumn(name, reduce(lambda a, b: a & b, [F.coalesce(test, F.lit(True)) for test in tests], F.lit(True)))
+
+
 def split_rows(df: DataFrame, spec: TableSpec, nulls_allowed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows by the row-level constraints at error level: a narrow filter, no shuffle."""
-    tests = _error_tests(df, spec, nulls_allowed)
-    good = reduce(lambda a, b: a & b, [F.coalesce(test, F.lit(True)) for test in tests], F.lit(True))
-    return df.where(good), df.where(~good)
+    marked = mark_rows(df, spec, "_accepted", nulls_allowed)
+    return marked.where("_accepted").drop("_accepted"), marked.where("NOT _accepted").drop("_accepted")

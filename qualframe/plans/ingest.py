@@ -23,7 +23,7 @@ from qualframe.session import materialize
 from qualframe.sources.files import path_exists, project, write_partitions
 from qualframe.sources.hashes import content_hashes, folder_hash
 from qualframe.sources.reports import append_report, latest, read_reports
-from qualframe.types import spark_type
+from qualframe.types import ddl_type
 
 MANIFEST_DDL = (
     "ingestion string, uid string, status string, validated int, part_no bigint, part_name string, path string, "
@@ -52,6 +52,7 @@ class Dataset:
     spark: SparkSession
     root: str
     document: Document
+    balanced: bool = True  # False for raw data that is laid out by delivery already: published without a shuffle
 
     @property
     def published_path(self) -> str:
@@ -119,7 +120,7 @@ class Dataset:
         wanted = frame.where(F.col("ingestion").isin(*passed))
         columns = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
         shaped = project(wanted, [*columns, "ingestion"]).withColumn("uid", self.uid_of(F.col("ingestion"), token))
-        write_partitions(shaped, self.published_path, ("ingestion", "uid"))
+        write_partitions(shaped, self.published_path, ("ingestion", "uid"), balanced=self.balanced)
         folders = shaped.select("ingestion", "uid").distinct().collect()
         paths = [f"{self.published_path}/ingestion={_escaped(self.spark, row.ingestion)}/uid={row.uid}" for row in folders]
         hashed = content_hashes(self.spark, paths)
@@ -152,7 +153,7 @@ class Dataset:
         return data.join(accepted, ["ingestion", "uid"], "left_semi")
 
     def _nothing(self) -> DataFrame:
-        fields = [f"{quoted(f.raw_name)} {spark_type(f.pq_type, f.logical_type).simpleString()}"
+        fields = [f"{quoted(f.raw_name)} {ddl_type(f.pq_type, f.logical_type)}"
                   for f in self.document.table.fields if f.raw_name != "ingestion"]
         return self.spark.createDataFrame([], ", ".join([*fields, "ingestion string", "uid string"]))
 

@@ -15,6 +15,11 @@ from qualframe.operators.profile import (
 from qualframe.operators.quantiles import ColumnRange, exact_quantiles
 
 
+SUMMARY_DDL = (
+    "column string, type string, rows bigint, nulls bigint, nan bigint, distinct_estimate bigint, min string, max string"
+)
+
+
 @dataclass
 class TableProfile:
     """``summary`` covers every column; the rest is per column and computed when it is looked at."""
@@ -26,21 +31,24 @@ class TableProfile:
 
 
 def profile_table(df: DataFrame, spec: TableSpec | None = None, columns: Sequence[str] | None = None) -> TableProfile:
-    """One aggregate for all columns, one pass to tell categories from numbers, and the quantiles of all numbers together.
+    """One aggregate for all columns, an exact distinct count of those with few values, and the quantiles of all
+    numbers together; the summary is kept as the few rows it is, so looking at it again costs nothing.
 
     Columns found to be categories are flagged in the returned specification, unless it has a flag already.
     """
     if columns:
         df = df.select(*columns)
     flags = {f.raw_name: f.flag("is_categorical") for f in spec.fields} if spec else {}
-    found = kinds(df, flags)
+    rows = column_profile(df).collect()
+    summary = df.sparkSession.createDataFrame(rows, SUMMARY_DDL)
+    found = kinds(df, flags, {row["column"]: row.distinct_estimate for row in rows})
     numbers = [name for name, kind in found.items() if kind == "number"]
     ranges = exact_quantiles(df, {name: sorted({*ROBUST, *QUARTILES}) for name in numbers}) if numbers else {}
     if spec:
         for name, kind in found.items():
             if kind == "category" and name in spec.columns and flags.get(name) is None:
                 spec = spec.replace_field(spec.field(name).with_flags(is_categorical=True))
-    return TableProfile(column_profile(df), found, ranges, spec)
+    return TableProfile(summary, found, ranges, spec)
 
 
 def column_details(df: DataFrame, profile: TableProfile, column: str, bins: int = DEFAULT_BINS) -> dict[str, DataFrame]:

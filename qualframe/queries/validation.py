@@ -12,7 +12,7 @@ from qualframe.document import Document, Rule
 from qualframe.operators.checks import result_columns, rule_checks, run_checks
 from qualframe.operators.relational import orphan_keys, reference_check, validate_relational
 from qualframe.operators.uniqueness import key_counts, repeated_keys
-from qualframe.operators.validate import column_levels, column_summary, findings, split_rows, table_level, validate
+from qualframe.operators.validate import column_levels, column_summary, findings, mark_rows, split_rows, table_level, validate
 from qualframe.queries.registry import base_rows, check_row, query, report_of, rule_row, spec_of, table
 
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
@@ -490,6 +490,15 @@ def quarantine_split(spark, d):
     return both.groupBy("side", "l_orderkey", "l_linenumber").agg(F.count("*").alias("rows"))
 
 
+@query("quarantine_mark", f"""SELECT {_GOOD} AS accepted, l_linenumber, count(*) AS rows FROM {INJECTED} GROUP BY 1, 2""")
+def quarantine_mark(spark, d):
+    df = injected(table(spark, d, "lineitem"))
+    spec = spec_of(df, "lineitem").with_rules(
+        l_quantity=[rule("less_equal", "10", "49")], l_returnflag=[rule("allowed_values", error="A,N")],
+        l_extendedprice=[rule("greater", error="1000")])
+    return mark_rows(df, spec).groupBy("accepted", "l_linenumber").agg(F.count("*").alias("rows"))
+
+
 @query("unique_by_month", """SELECT ingestion, l_key AS "column", CAST(sum(n) AS BIGINT) AS evaluated,
   CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS failed FROM (
    SELECT strftime(l_shipdate, '%Y-%m') AS ingestion, 'l_orderkey' AS l_key, count(*) AS n FROM lineitem GROUP BY 1, 2, l_orderkey

@@ -89,14 +89,15 @@ def project_to(df: DataFrame, spec: TableSpec) -> DataFrame:
     return project(df, roots(spec.columns, df.columns))
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("ingestion",), mode: str = "overwrite") -> None:
+def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("ingestion",), mode: str = "overwrite",
+                     balanced: bool = True) -> None:
     """Write one folder per value of ``by``, replacing only the folders this frame has rows for.
 
     The rebalance hint lets Spark split a folder that holds most of the rows over several tasks and files,
-    and join small ones, instead of one task per folder.
+    and join small ones, instead of one task per folder. Without ``balanced`` rows stay in the tasks they are in.
     """
-    balanced = df.hint("rebalance", *[ref(c) for c in by])
-    balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    placed = df.hint("rebalance", *[ref(c) for c in by]) if balanced else df
+    placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def preview(df: DataFrame, n: int = 20, order: Sequence[str | Column] = ()) -> DataFrame:
@@ -105,13 +106,24 @@ def preview(df: DataFrame, n: int = 20, order: Sequence[str | Column] = ()) -> D
 
 
 def list_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """``path, length`` of every file below a path; contents are not read."""
+    """``path, length`` of every file below a path; contents are not read.
+
+    Spark plans the listing like a scan; for millions of files ``spark.sql.files.maxPartitionNum`` bounds its tasks.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select("path", "length")
 
 
+def spread_files(files: DataFrame) -> DataFrame:
+    """Files over all cores; hashing paths keeps big and small files apart evenly."""
+    spark = files.sparkSession
+    # Executors may still be starting up, so the configured width counts as well as the cores there are now.
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(width, "path")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.sources.files import list_files
+from qualframe.sources.files import list_files, spread_files
 from qualframe.sources.metadata import SECTION_KEY
 from qualframe.sources.remote import open_file
 
@@ -80,15 +80,9 @@ def _footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """Paths over all cores; hashing paths keeps big and small files apart evenly."""
-    spark = files.sparkSession
-    return files.select("path").repartition(spark.sparkContext.defaultParallelism, "path")
-
-
 def footer_rows(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """One row per file, row group and leaf column."""
-    return _spread(list_files(spark, path, pattern)).mapInPandas(_footer_rows, ROW_DDL)
+    return spread_files(list_files(spark, path, pattern).select("path")).mapInPandas(_footer_rows, ROW_DDL)
 
 
 def footer_profile(rows: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -149,7 +143,7 @@ def _metadata_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def harvest_metadata(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """Column metadata kept in footers, one row per file, column and section; columns without any give none."""
-    return _spread(list_files(spark, path, pattern)).mapInPandas(_metadata_rows, META_DDL)
+    return spread_files(list_files(spark, path, pattern).select("path")).mapInPandas(_metadata_rows, META_DDL)
 
 
 def harvested_documents(harvest: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.sources.files import list_files
+from qualframe.sources.files import list_files, spread_files
 from qualframe.sources.remote import open_file
 
 BLOCK = 4 * 1024 * 1024
@@ -31,9 +31,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def content_hashes(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """``path, length, sha256`` of every file: read in blocks inside the tasks, never as a whole."""
-    files = list_files(spark, path, pattern)
-    spread = files.repartition(spark.sparkContext.defaultParallelism, "path")
-    return spread.mapInPandas(_digests, "path string, length bigint, sha256 string")
+    files = spread_files(list_files(spark, path, pattern))
+    return files.mapInPandas(_digests, "path string, length bigint, sha256 string")
 
 
 def folder_hash(files: DataFrame, by: list[str]) -> DataFrame:

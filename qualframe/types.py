@@ -59,11 +59,10 @@ def is_time(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
 
 
-def spark_type(physical: str, logical: str) -> T.DataType:
-    """A Spark type that is written as this pair; for empty frames of a documented shape."""
+def ddl_type(physical: str, logical: str) -> str:
+    """Name of a Spark type that is written as this pair; for empty frames of a documented shape."""
     if logical == "decimal":
-        return T.DecimalType({"int32": 9, "int64": 18}.get(physical, 38), 0)
-    for name, pair in _SIMPLE.items():
-        if pair == (physical, logical):
-            return T.TimestampNTZType() if logical == "timestamp" else T._parse_datatype_string(name)
-    return T.StringType()
+        return f"decimal({ {'int32': 9, 'int64': 18}.get(physical, 38)},0)"
+    if logical == "timestamp":
+        return "timestamp_ntz"
+    return next((name for name, pair in _SIMPLE.items() if pair == (physical, logical)), "string")
