@@ -82,10 +82,10 @@ def categorical_columns(df: DataFrame, columns: Sequence[str], limit: int = CATE
 
 
 def robust_ranges(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = ROBUST,
-                  approximate: bool = False) -> dict[str, ColumnRange]:
-    """Low, median and high quantiles of several columns in one go; low and high become whole numbers."""
-    find = approximate_quantiles if approximate else exact_quantiles
-    return find(df, {name: list(quantiles) for name in columns})
+                  approximate: bool = False, moments: bool = False) -> dict[str, ColumnRange]:
+    """Quantiles of several columns in one go: low, median and high of the robust range unless others are asked for."""
+    wanted = {name: list(quantiles) for name in columns}
+    return approximate_quantiles(df, wanted) if approximate else exact_quantiles(df, wanted, moments)
 
 
 def rounded(value: float | None) -> float | None:
@@ -126,7 +126,7 @@ def outliers(df: DataFrame, column: str, low: float, high: float, n: int = 10) -
 def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME_PERCENTILES) -> DataFrame:
     """Statistics of a time column as (statistic, microseconds, text), the day range it spans and its days."""
     c, _ = resolve(df.schema, column)
-    found = exact_quantiles(df, {column: list(percentiles)})[column]
+    found = exact_quantiles(df, {column: list(percentiles)}, moments=True)[column]
     day = 86_400_000_000
     stats: list[tuple[str, float | int | None]] = [("count", found.count)]
     if found.count:
@@ -143,7 +143,7 @@ def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Count, mean, sample standard deviation, minimum, quartiles and maximum per column."""
-    found = robust_ranges(df, list(columns), QUARTILES, approximate)
+    found = robust_ranges(df, list(columns), QUARTILES, approximate, moments=True)
     rows = []
     for name in columns:
         r = found[name]

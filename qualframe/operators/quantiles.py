@@ -145,7 +145,7 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]],
 
 @dataclass(frozen=True)
 class ColumnRange:
-    """Count, minimum and maximum of the usable values, the quantiles asked for, mean and sample deviation."""
+    """Count, minimum and maximum of the usable values, the quantiles asked for, and moments where asked for."""
 
     count: int
     low: float | None
@@ -155,25 +155,26 @@ class ColumnRange:
     std: float | None = None
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, ColumnRange]:
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], moments: bool = False) -> dict[str, ColumnRange]:
     """Linearly interpolated quantiles of numeric or time columns (time in microseconds since 1970).
 
-    Nulls and NaN are left out. The result is a handful of numbers and belongs on the driver, where
-    it sets bin edges and thresholds of later jobs.
+    Nulls and NaN are left out. ``moments`` adds mean and deviation to the first pass. The result is a handful of
+    numbers and belongs on the driver, where it sets bin edges and thresholds of later jobs.
     """
     names, found = list(wanted), {}
     for i in range(0, len(names), BATCH):
-        found.update(_batch_quantiles(df, {name: wanted[name] for name in names[i:i + BATCH]}))
+        found.update(_batch_quantiles(df, {name: wanted[name] for name in names[i:i + BATCH]}, moments))
     return found
 
 
-def _batch_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, ColumnRange]:
+def _batch_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], moments: bool) -> dict[str, ColumnRange]:
     slack = 2.0 / SKETCH_ACCURACY
     aggregates = []
     for i, (name, probabilities) in enumerate(wanted.items()):
         v = _number(df, name)
-        aggregates += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                       _mean(df, name).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}")]
+        aggregates += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        if moments:
+            aggregates += [_mean(df, name).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}")]
         edges = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
         if edges:
             aggregates.append(F.percentile_approx(v, edges, SKETCH_ACCURACY).alias(f"q{i}"))
@@ -193,7 +194,8 @@ def _batch_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> di
     for i, (name, probabilities) in enumerate(wanted.items()):
         n = row[f"n{i}"]
         found = {p: _interpolate(values[name], p, n) if n else None for p in probabilities}
-        out[name] = ColumnRange(n, row[f"lo{i}"], row[f"hi{i}"], found, row[f"mean{i}"], row[f"std{i}"])
+        mean, std = (row[f"mean{i}"], row[f"std{i}"]) if moments else (None, None)
+        out[name] = ColumnRange(n, row[f"lo{i}"], row[f"hi{i}"], found, mean, std)
     return out
 
 

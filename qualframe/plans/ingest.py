@@ -103,37 +103,39 @@ class Dataset:
         rows = {row.ingestion: row.n for row in report.where("check = 'rows'").select(
             "ingestion", F.col("evaluated").alias("n")).collect()}
 
-        files = self._publish(frame, passed, token) if passed else {}
+        paths = {key: self._folder(key, uids[key]) for key in passed}
+        files = self._publish(frame, paths, token) if passed else {}
         stamped = report.where(F.col("ingestion").isin(*levels)).select(
             *report.columns, self.uid_of(F.col("ingestion"), token).alias("uid"), F.lit(time).alias("ingest_time"),
             F.col("ingestion").isin(*passed).alias("accepted"))
         if levels:
             append_report(stamped, self.reports_path)
-        new_rows = self._manifest_rows(passed, refused, levels, uids, rows, files, len(deliveries.columns) - 1, time)
+        new_rows = self._manifest_rows(paths, refused, levels, uids, rows, files, len(deliveries.columns) - 1, time)
         added = self.spark.createDataFrame(new_rows, MANIFEST_DDL)
         if new_rows:
             added.coalesce(1).write.mode("append").parquet(self.manifest_path)
         return added
 
-    def _publish(self, frame: DataFrame, passed: Sequence[str], token: str) -> dict:
+    def _folder(self, ingestion: str, uid: str) -> str:
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(ingestion)
+        return f"{self.published_path}/ingestion={escaped}/uid={uid}"
+
+    def _publish(self, frame: DataFrame, paths: dict[str, str], token: str) -> dict:
         """Write the columns of the document, then hash what was written; files and hash per delivery."""
-        wanted = frame.where(F.col("ingestion").isin(*passed))
+        wanted = frame.where(F.col("ingestion").isin(*paths))
         columns = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
         shaped = project(wanted, [*columns, "ingestion"]).withColumn("uid", self.uid_of(F.col("ingestion"), token))
         write_partitions(shaped, self.published_path, ("ingestion", "uid"), balanced=self.balanced)
-        folders = shaped.select("ingestion", "uid").distinct().collect()
-        paths = [f"{self.published_path}/ingestion={_escaped(self.spark, row.ingestion)}/uid={row.uid}" for row in folders]
-        hashed = content_hashes(self.spark, paths)
+        hashed = content_hashes(self.spark, list(paths.values()))
         by_uid = folder_hash(hashed.withColumn("uid", F.regexp_extract("path", "/uid=([^/]+)/", 1)), ["uid"])
         return {row.uid: row for row in by_uid.collect()}
 
-    def _manifest_rows(self, passed, refused, levels, uids, rows, files, columns, time) -> list[tuple]:
+    def _manifest_rows(self, paths, refused, levels, uids, rows, files, columns, time) -> list[tuple]:
         last = self.manifest().agg(F.max("part_no").alias("n")).first().n or 0
         out = []
-        for i, key in enumerate(passed):
+        for i, (key, path) in enumerate(paths.items()):
             number, found = last + PART_STEP * (i + 1), files[uids[key]]
             name = part_name(number, key, self.document.uid, uids[key])
-            path = f"{self.published_path}/ingestion={_escaped(self.spark, key)}/uid={uids[key]}"
             out.append((key, uids[key], "accepted", levels[key], number, name, path, rows[key], columns,
                         found.files, found.bytes, found.digest, time))
         for key in refused:
@@ -170,11 +172,6 @@ class Dataset:
         return row_trend(self.history().where("status = 'accepted'").select("ingestion", "rows"))
 
 
-def _escaped(spark: SparkSession, value: str) -> str:
-    """A value as Spark writes it into a folder name."""
-    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
-
-
 def row_trend(counts: DataFrame) -> DataFrame:
     """``x`` = 1.. from the oldest delivery on, rows, and the change against the delivery before."""
     numbered = rank_groups(counts, [F.col("ingestion").asc()], "_i").select((F.col("_i") + 1).alias("x"), "ingestion", "rows")
