@@ -61,8 +61,13 @@ def applies_to(constraint: str, names: set[str]) -> bool:
 
 def literal(value: Any, dtype: T.DataType) -> Column:
     """A constraint value as a literal of the column's type; raises ``DocumentError`` if it does not fit."""
+    return F.lit(parsed_value(value, dtype)).cast(dtype)
+
+
+def parsed_value(value: Any, dtype: T.DataType) -> Any:
+    """The value itself: a number, truth value or text (ISO text for time)."""
     try:
-        return F.lit(_parse(value, dtype)).cast(dtype)
+        return _parse(value, dtype)
     except (ValueError, TypeError, decimal.InvalidOperation) as error:
         raise DocumentError(f"value {value!r} is no {dtype.simpleString()}") from error
 
@@ -133,10 +138,7 @@ def _multiple_of(c: Column, dtype: T.DataType, value: Any) -> Column:
 def _parse_step(value: Any, dtype: T.DataType) -> Any:
     if not (is_fraction(dtype) or type(dtype) in _INTEGRAL_BITS or isinstance(dtype, T.DecimalType)):
         raise DocumentError(f"multiple_of needs a number, not {dtype.simpleString()}")
-    try:
-        step = _parse(value, dtype)
-    except (ValueError, TypeError, decimal.InvalidOperation) as error:
-        raise DocumentError(f"value {value!r} is no {dtype.simpleString()}") from error
+    step = parsed_value(value, dtype)
     if float(step) == 0.0 or not math.isfinite(float(step)):
         raise DocumentError("multiple_of needs a step other than zero")
     return step

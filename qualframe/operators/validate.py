@@ -70,7 +70,7 @@ def type_checks(df: DataFrame, spec: TableSpec, physical: Mapping[str, tuple[str
     return checks
 
 
-def _unique_rows(df: DataFrame, spec: TableSpec, by: Sequence[str], present: set[str]) -> list[DataFrame]:
+def unique_rows(df: DataFrame, spec: TableSpec, by: Sequence[str], present: set[str]) -> list[DataFrame]:
     """Results of the ``unique`` constraints, on columns and on lists of columns."""
     groups = [ref(c) for c in by]
     out = []
@@ -128,7 +128,7 @@ def validate(
         checks.append(null_check(df, field.raw_name))
         checks += rule_checks(df, field, nulls_allowed)
     checks += table_checks(df, spec)
-    parts = [run_checks(df, checks, by), *_unique_rows(df, spec, by, present)]
+    parts = [run_checks(df, checks, by), *unique_rows(df, spec, by, present)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -13,6 +13,7 @@ from qualframe.operators.checks import result_columns, rule_checks, run_checks
 from qualframe.operators.relational import orphan_keys, reference_check, validate_relational
 from qualframe.operators.uniqueness import key_counts, repeated_keys
 from qualframe.operators.validate import column_levels, column_summary, findings, mark_rows, split_rows, table_level, validate
+from qualframe.plans.statistics import validate_files
 from qualframe.queries.registry import base_rows, check_row, query, report_of, rule_row, spec_of, table
 
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
@@ -86,6 +87,12 @@ def validate_lineitem(spark, d):
     return validate(df, lineitem_spec(df))
 
 
+@query("validate_files", LINEITEM_REPORT)
+def files_report(spark, d):
+    """The same report from footers first; only what they leave open is scanned."""
+    return validate_files(spark, f"{d}/lineitem.parquet", lineitem_spec(table(spark, d, "lineitem")))
+
+
 @query("validate_by_month", MONTHLY_REPORT)
 def validate_by_month(spark, d):
     df = by_month(spark, d)
