@@ -13,8 +13,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from qualframe.document import Document
+from qualframe.document import Document, DocumentError
 from qualframe.functions.columns import quoted, ref, roots
 from qualframe.functions.uid import encode_uid, key_hash, largest
 from qualframe.operators.ordering import rank_groups
@@ -30,6 +31,8 @@ MANIFEST_DDL = (
     "rows bigint, columns int, files bigint, bytes bigint, digest string, ingest_time string"
 )
 PART_STEP = 10
+# Partition column that tells attempts at one delivery apart.
+ATTEMPT = "attempt"
 # Above this many folders a join selects what to read, instead of a list in the filter.
 LISTED_FOLDERS = 5_000
 
@@ -95,6 +98,8 @@ class Dataset:
         report = materialize(validate(frame, spec, by=["ingestion"]))
         keyed = table_level(report, ["ingestion"]).select(
             "ingestion", "validated", self.uid_of(F.col("ingestion"), token).alias("uid")).collect()
+        if any(row.ingestion is None for row in keyed):
+            raise DocumentError("there are rows that belong to no delivery: ingestion is null")
         levels = {row.ingestion: row.validated for row in keyed}
         uids = {row.ingestion: row.uid for row in keyed}
         done = {row.uid for row in self.manifest().where(F.col("uid").isin(*uids.values())).select("uid").collect()}
@@ -118,16 +123,16 @@ class Dataset:
 
     def _folder(self, ingestion: str, uid: str) -> str:
         escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(ingestion)
-        return f"{self.published_path}/ingestion={escaped}/uid={uid}"
+        return f"{self.published_path}/ingestion={escaped}/{ATTEMPT}={uid}"
 
     def _publish(self, frame: DataFrame, paths: dict[str, str], token: str) -> dict:
         """Write the columns of the document, then hash what was written; files and hash per delivery."""
         wanted = frame.where(F.col("ingestion").isin(*paths))
         columns = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
-        shaped = project(wanted, [*columns, "ingestion"]).withColumn("uid", self.uid_of(F.col("ingestion"), token))
-        write_partitions(shaped, self.published_path, ("ingestion", "uid"), balanced=self.balanced)
+        shaped = project(wanted, [*columns, "ingestion"]).withColumn(ATTEMPT, self.uid_of(F.col("ingestion"), token))
+        write_partitions(shaped, self.published_path, ("ingestion", ATTEMPT), balanced=self.balanced)
         hashed = content_hashes(self.spark, list(paths.values()))
-        by_uid = folder_hash(hashed.withColumn("uid", F.regexp_extract("path", "/uid=([^/]+)/", 1)), ["uid"])
+        by_uid = folder_hash(hashed.withColumn("uid", F.regexp_extract("path", f"/{ATTEMPT}=([^/]+)/", 1)), ["uid"])
         return {row.uid: row for row in by_uid.collect()}
 
     def _manifest_rows(self, paths, refused, levels, uids, rows, files, columns, time) -> list[tuple]:
@@ -144,20 +149,27 @@ class Dataset:
 
     def read(self) -> DataFrame:
         """The published rows: of every delivery the newest accepted attempt."""
-        accepted = latest(self.manifest().where("status = 'accepted'")).select("ingestion", "uid")
-        if accepted.isEmpty():
-            return self._nothing()
-        data = self.spark.read.option("basePath", self.published_path).parquet(self.published_path)
-        data = data.withColumn("ingestion", F.col("ingestion").cast("string")).withColumn("uid", F.col("uid").cast("string"))
+        accepted = latest(self.manifest().where("status = 'accepted'")).select("ingestion", "uid", "path")
         listed = accepted.limit(LISTED_FOLDERS + 1).collect()
-        if len(listed) <= LISTED_FOLDERS:
-            return data.where(F.col("uid").isin(*[row.uid for row in listed]))
-        return data.join(accepted, ["ingestion", "uid"], "left_semi")
+        if not listed:
+            return self._nothing()
+        if len(listed) <= LISTED_FOLDERS:  # only the folders named are listed, whatever else lies beside them
+            return self._published([row.path for row in listed])
+        named = accepted.select("ingestion", F.col("uid").alias(ATTEMPT))
+        return self._published([self.published_path]).join(named, ["ingestion", ATTEMPT], "left_semi")
+
+    def _published(self, paths: list[str]) -> DataFrame:
+        """Folder names are text: a delivery named ``007`` or an identifier of digits must not become a number."""
+        reader = self.spark.read.option("basePath", self.published_path)
+        found = reader.parquet(*paths).schema
+        as_text = T.StructType([
+            T.StructField(f.name, T.StringType()) if f.name in ("ingestion", ATTEMPT) else f for f in found.fields])
+        return reader.schema(as_text).parquet(*paths)
 
     def _nothing(self) -> DataFrame:
         fields = [f"{quoted(f.raw_name)} {ddl_type(f.pq_type, f.logical_type)}"
                   for f in self.document.table.fields if f.raw_name != "ingestion"]
-        return self.spark.createDataFrame([], ", ".join([*fields, "ingestion string", "uid string"]))
+        return self.spark.createDataFrame([], ", ".join([*fields, "ingestion string", f"{ATTEMPT} string"]))
 
     def history(self) -> DataFrame:
         """The newest manifest row of every delivery, accepted or not."""

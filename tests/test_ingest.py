@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from qualframe.document import Document, Rule
+from qualframe.document import Document, DocumentError, Rule
 from qualframe.plans.ingest import Dataset, part_name, row_trend, split_by_gate
 from qualframe.queries.registry import spec_of
 from qualframe.streaming.incremental import ingest_incremental, new_files
@@ -77,6 +77,32 @@ def test_keys_that_need_escaping(spark, tmp_path, orders):
     assert dataset.read().count() == odd.count()
 
 
+def test_keys_that_look_like_numbers_stay_text(spark, tmp_path, orders):
+    odd = orders.where("ingestion = '1996'").withColumn("ingestion", F.lit("007")).withColumn("uid", F.lit(1))
+    dataset = Dataset(spark, str(tmp_path / "dataset"), Document("o", "o", (spec_of(odd, "o", ["ingestion"]),)))
+    dataset.ingest(odd)
+    found = dataset.read()
+    assert [r.ingestion for r in found.select("ingestion").distinct().collect()] == ["007"]
+    assert found.agg(F.sum("uid")).first()[0] == odd.count()
+
+
+def test_rows_without_a_delivery_are_an_error(spark, tmp_path, orders):
+    dataset = make(spark, tmp_path, orders)
+    with pytest.raises(DocumentError):
+        dataset.ingest(orders.withColumn("ingestion", F.when(F.col("o_orderkey") > 5, F.col("ingestion"))))
+
+
+def test_many_folders_are_selected_by_a_join(spark, tmp_path, orders, monkeypatch):
+    from qualframe.plans import ingest
+
+    dataset = make(spark, tmp_path, orders)
+    dataset.ingest(orders, time="2026-01-01")
+    dataset.ingest(orders.where("ingestion = '1996' AND o_orderkey < 500"), time="2026-01-02")
+    listed = dataset.read()
+    monkeypatch.setattr(ingest, "LISTED_FOLDERS", 1)
+    assert sorted(map(str, dataset.read().select(*listed.columns).collect())) == sorted(map(str, listed.collect()))
+
+
 def test_types_of_published_files(spark, tmp_path, orders):
     """Our own files pass our own type check, timestamps included."""
     dataset = make(spark, tmp_path, orders)
@@ -122,5 +148,5 @@ def test_nothing_accepted_yet(spark, tmp_path, orders):
     dataset.ingest(orders)
     empty = dataset.read()
     assert empty.count() == 0
-    assert set(empty.columns) == set(orders.columns) | {"uid"}
+    assert set(empty.columns) == set(orders.columns) | {"attempt"}
     assert empty.schema["o_orderdate"].dataType == orders.schema["o_orderdate"].dataType
