@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualframe.functions.columns import as_number, micros, micros_text, ref, resolve, usable
+from qualframe.functions.fingerprint import identity
 from qualframe.operators.ordering import rank_groups
 from qualframe.operators.quantiles import ColumnRange, approximate_quantiles, exact_quantiles
 from qualframe.types import is_fraction, is_time
@@ -53,7 +54,7 @@ def category_table(df: DataFrame, column: str, numeric: bool | None = None) -> D
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact number of distinct values of each column (null counts as one): one shuffle of distinct values."""
     cells = F.array(*[
-        F.struct(F.lit(name).alias("column"), resolve(df.schema, name)[0].cast("string").alias("value"))
+        F.struct(F.lit(name).alias("column"), identity(resolve(df.schema, name)[0].cast("string")).alias("value"))
         for name in columns
     ])
     long = df.select(F.explode(cells).alias("s")).select("s.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualframe.functions.columns import ref, resolve
+from qualframe.functions.fingerprint import identity
 from qualframe.types import is_fraction, is_time
 
 
@@ -29,9 +30,9 @@ def _slots(c: Column, dtype: T.DataType) -> list[Column]:
     elif is_fraction(dtype):
         slot_double = c.cast("double")
     elif isinstance(dtype, T.BinaryType):
-        slot_text = F.hex(c)
+        slot_text = identity(F.hex(c))
     else:
-        slot_text = c.cast("string")
+        slot_text = identity(c.cast("string"))
     return [slot_long.alias("vl"), slot_double.alias("vd"), slot_text.alias("vs")]
 
 
@@ -70,8 +71,9 @@ def key_counts(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Da
     absent = F.lit(False)
     for part in parts:
         absent = absent | part.isNull()
-    per_key = df.groupBy(*groups, *parts).agg(F.count("*").alias("_n"))
-    per_key = per_key.select(*groups, "_n", absent.alias("_absent"))
+    compact = [identity(c) if isinstance(resolve(df.schema, key)[1], T.StringType) else c for key, c in zip(keys, parts)]
+    keyed = df.select(*groups, absent.alias("_absent"), *[c.alias(f"_k{i}") for i, c in enumerate(compact)])
+    per_key = keyed.groupBy(*groups, "_absent", *[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n"))
     repeated = ~F.col("_absent") & (F.col("_n") > 1)
     return per_key.groupBy(*groups).agg(
         F.coalesce(F.sum(F.when(~F.col("_absent"), F.col("_n"))), F.lit(0)).alias("evaluated"),

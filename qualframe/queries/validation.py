@@ -214,6 +214,14 @@ def constraint_unique(spark, d):
     return validate(df, spec).where("constraint = 'unique'")
 
 
+@query("unique_texts", report_of([unique_row("documents", "text", "warning", 1), unique_row("documents", "lang", "warning", 1)]))
+def unique_texts(spark, d):
+    """Whole documents are compared, digests of them are shuffled."""
+    df = table(spark, d, "documents")
+    spec = spec_of(df, "documents").with_rules(text=[rule("unique", "true")], lang=[rule("unique", "true")])
+    return validate(df, spec).where("constraint = 'unique'")
+
+
 INJECTED = """(SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'R') AS l_returnflag,
   CASE WHEN l_linenumber = 7 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS l_quantity,
   CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS l_extendedprice,

@@ -112,3 +112,10 @@ def test_relational_document_round_trip():
 def test_broken_documents(broken):
     with pytest.raises(DocumentError):
         Document.from_dict(broken)
+
+
+def test_long_texts_differ_in_their_last_letter(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "b",), ("s",), ("s",), (None,)], "t string")
+    assert tuple(duplicate_counts(df, ["t"]).first()) == ("t", 5, 4, 2)
+    assert tuple(key_counts(df, ["t"]).first()) == (5, 4, 2)
