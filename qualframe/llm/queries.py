@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.llm import packing, quality, sharding, tokens
+from qualframe.llm import language, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -18,6 +18,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled documents outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(toxicity.sample_features(table(spark, sf_dir, "documents"), labels.where(~language.in_part(labels["doc_id"], 4, 2))))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", language.in_part(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into windows of 2,048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -55,13 +73,20 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~language.in_part(docs["doc_id"], 5, 0)))
+    return language.identify(docs, model).select("doc_id", language.in_part(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 contiguous shards of nearly equal bytes."""
     cut = sharding.shards(table(spark, sf_dir, "documents"), SHARDS)
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_packing, op8_quality_rules, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_neighbours, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
 SQL = {"op8_quality_rules": OP8_SQL.strip()}
 
 
