@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.llm import language, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import language, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -23,6 +23,11 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled documents outside the held-out quarter."""
     labels = table(spark, sf_dir, "labels")
@@ -86,7 +91,7 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_neighbours, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
 SQL = {"op8_quality_rules": OP8_SQL.strip()}
 
 

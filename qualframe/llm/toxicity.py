@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 # Documents the model is fitted on, at most.
 SAMPLE = 16_000
 # Features kept for fitting, at most; each must occur in so many sampled documents and differ by so many standard errors.
-FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 8, 3.0
-L1, COUNTERFACTUAL, STEPS, RATE = 3e-4, 1.0, 300, 0.1
+FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 5, 3.0
+L1, COUNTERFACTUAL, STEPS, RATE = 5e-5, 1.0, 300, 0.1
 THRESHOLD = 0.3
 REMEMBERED = 500_000
 
