@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.llm import language, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import language, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word, the first line of its class, and whether it is that line."""
+    found = line_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("at").cast("bigint").alias("line"), F.col("first.key").alias("class_doc_id"),
+        F.col("first.at").cast("bigint").alias("class_line"), F.expr("first.key <=> key AND first.at = at AND first.body = body").alias("kept"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     decoded = tokens.decode(tokens.encode(table(spark, sf_dir, "documents")))
@@ -56,6 +64,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.passes(quality.DEFAULT_POLICY).alias("kept"), "fail_bits")
 
 
+OP1_SQL = r"""
+WITH RECURSIVE lines AS (SELECT doc_id, p - 1 AS pos, trim(l, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS l
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)
+    WHERE trim(l, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''),
+firsts AS (SELECT l, length(l) AS n, min({'d': doc_id, 'a': pos}) AS f, row_number() OVER (ORDER BY min({'d': doc_id, 'a': pos})) AS i FROM lines GROUP BY l),
+links AS (SELECT x.i AS a, y.i AS b FROM firsts x JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM firsts WHERE n >= 24) y ON x.n = y.m
+    WHERE x.n >= 24 AND x.i <> y.i AND levenshtein(x.l, y.l) <= 2),
+reach AS (SELECT a AS i, b AS j FROM links UNION SELECT r.i, k.b FROM reach r JOIN links k ON r.j = k.a),
+leaders AS (SELECT i, min(j) AS j FROM reach GROUP BY i)
+SELECT s.doc_id, s.pos::BIGINT AS line, c.f.d AS class_doc_id, c.f.a::BIGINT AS class_line, c.f.d = s.doc_id AND c.f.a = s.pos AS kept
+FROM lines s JOIN firsts o USING (l) LEFT JOIN leaders e ON o.i = e.i JOIN firsts c ON c.i = least(o.i, coalesce(e.j, o.i))
+"""
+
 OP8_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT r, i, w FROM (SELECT r, unnest(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w,
@@ -91,8 +112,8 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
-SQL = {"op8_quality_rules": OP8_SQL.strip()}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
+SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip()}
 
 
 def queries() -> dict:
