@@ -36,7 +36,7 @@ from qualframe.llm.packing import encoder
 # Characters of text in a block; a block is what one task puts together at a time.
 BLOCK_CHARS = 12_000_000
 # Words a task remembers before it starts anew (forgotten words are encoded again, with equal results).
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 # Stands for a null document id inside a block.
 NO_KEY = -(1 << 63)
 BLOCKS = "block bigint, bucket int, places binary, words binary"
@@ -44,22 +44,39 @@ ENCODED = "{key} bigint, n_tokens bigint, ids array<int>"
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _loosen(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+# Numbers below this are one byte in a row of numbers; others have a byte for their 65,536s and two for the rest.
+_SMALL = 192
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    """Integers by byte planes, which compress far better than whole integers."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return _squeeze(planes.tobytes())
+    """Numbers, small ones in one byte; the bytes of larger ones apart by place, which compresses better."""
+    large = numbers[numbers >= _SMALL] - _SMALL
+    first = numbers.astype(np.uint8)
+    first[numbers >= _SMALL] = np.minimum(_SMALL + (large >> 16), 255)
+    huge = large[large >> 16 >= 255 - _SMALL].astype("<u4")
+    planes = np.ascontiguousarray((large & 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T)
+    return _squeeze(len(numbers).to_bytes(8, "little") + first.tobytes() + planes.tobytes() + huge.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_loosen(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    body = _loosen(data)
+    n = int.from_bytes(body[:8], "little")
+    first = np.frombuffer(body, np.uint8, n, 8)
+    numbers, large = first.astype(np.int64), first >= _SMALL
+    count = int(large.sum())
+    low = np.ascontiguousarray(np.frombuffer(body, np.uint8, 2 * count, 8 + n).reshape(2, count).T).view("<u2").ravel()
+    values = ((first[large].astype(np.int64) - _SMALL) << 16) + low
+    huge = first[large] == 255
+    values[huge] = np.frombuffer(body, "<u4", -1, 8 + n + 2 * count)
+    numbers[large] = values + _SMALL
+    return numbers
 
 
 class _Numbers(dict):
@@ -121,7 +138,7 @@ def _encode_words(ranks: str):
         def __missing__(self, word):
             if len(self) >= REMEMBERED:
                 self.clear()
-            ids = self[word] = np.array(single.encode_ordinary(word.decode()), np.int32)
+            ids = self[word] = np.array(single.encode_ordinary(word.decode()), "<i4").tobytes()
             return ids
 
     # One word at a time is encoded, so the pattern takes it as a whole.
@@ -139,8 +156,8 @@ def _encode_words(ranks: str):
                     ends = 8 + 4 * n + np.cumsum(np.frombuffer(body, np.uint32, n, 8), dtype=np.int64)
                     starts = [8 + 4 * n, *ends[:-1].tolist()]
                     ids = [known[body[a:b]] for a, b in zip(starts, ends.tolist())]
-                    sizes = np.fromiter(map(len, ids), np.uint32, n)
-                    data = _squeeze(n.to_bytes(8, "little") + sizes.tobytes() + np.concatenate(ids).tobytes())
+                    sizes = np.fromiter(map(len, ids), np.uint32, n) // 4
+                    data = _squeeze(n.to_bytes(8, "little") + sizes.astype(np.uint32).tobytes() + b"".join(ids))
                 out.append(data)
             yield batch.set_column(3, "words", pa.array(out, pa.binary()))
 
