@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.llm import language, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import language, licenses, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -36,6 +36,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, own or inherited along source and language as directories."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, F.concat_ws("/", docs["source"], docs["lang"]))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled documents outside the held-out quarter."""
     labels = table(spark, sf_dir, "labels")
@@ -44,7 +50,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document."""
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", language.in_part(F.col("doc_id"), 4, 2).alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
@@ -112,12 +118,14 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
 SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip()}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ Scoring reads whole texts, without a shuffle; the model is a few thousand weight
 
 Defined results: null and empty texts get the score of a text without features; without labelled rows of both kinds
 every score is 0; documents labelled twice count by their larger label; repeated rows are scored alike; an empty table gives no rows;
-labels, language, source and id are no features. Columns other than key and text are dropped by ``score``.
+labels, language, source and id are no features. All columns are kept by ``score``, but for one of its own name.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 from typing import Iterator, NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,10 +147,11 @@ def fit(rows: pa.Table) -> Model:
     return Model({int(f): float(w) for f, w in zip(known, weights) if w}, float(weights[-1]))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score`` (0 to 1) of every row."""
+def scorer(model: Model):
+    """A function of a text column: its score, from 0 to 1."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         class Weighty(dict):
             """Of each word, the features that have a weight."""
 
@@ -161,11 +163,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         features, weighty = Features(), Weighty()
         for batch in batches:
-            out = []
-            for body in batch.column(1):
-                used = {f for w in set(_words((body.as_py() or "").lower())) for f in weighty[w]}
-                total = model.bias + sum(sorted(model.weights[f] for f in used))
-                out.append(float(1 / (1 + np.exp(-np.clip(total, -700, 700)))) if total > -700 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [key, "score"])
-
-    return docs.select(docs[f"`{key}`"].cast("bigint"), docs[f"`{text}`"].cast("string")).mapInArrow(scored, f"`{key}` bigint, score double")
+            totals = np.empty(len(batch))
+            for k, text in enumerate(batch):
+                used = {f for w in set(_words((text or "").lower())) for f in weighty[w]}
+                totals[k] = model.bias + sum(sorted(model.weights[f] for f in used))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(totals, -700, 700))))
+
+    return scored
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
+    """``docs`` with the score of each row; a column of that name is replaced."""
+    if not np.isfinite(model.bias):
+        return docs.withColumn(to, F.lit(0.0))
+    return docs.withColumn(to, scorer(model)(docs[f"`{text}`"].cast("string")))
