@@ -14,7 +14,7 @@ Lines are classes under chains of links. The first line of a class, by document
 Defined results: lines are compared without blanks at their ends; lines without a word are never duplicates; lines shorter
 than ``SHORTEST`` characters match only equal lines; a null text has no lines; an empty table gives no rows; equal rows (same key,
 same text) are one document; a null key comes first. Columns of the input are kept by ``without_duplicates``, dropped by ``classes``.
-Lines are told apart by 64-bit hashes while they travel; two different lines with one hash are found out and then only match equal lines.
+Lines travel as 64-bit hashes; two different lines with the same hash are found out by a second one and then only match equal lines.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ CROWDED, DEEPER = 64, 2
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _lookups(rows: DataFrame, edits: int, index_only: bool = False) -> DataFrame:
-    """``rows`` (with ``rest`` and ``below``, the key of the level above) once per lookup: its own segments (``index_only``), or
-    its substrings that a segment of another line may equal. Adds ``key``, how much ``shorter`` the other line is, and the
-    substring's place (``start``, ``size``)."""
-    wanted = [(i, shift, shorter) for shorter in range(1 if index_only else edits + 1) for i in range(edits + 1)
-              for shift in range(-i, i + 1) if abs(shift - shorter) <= edits - i and not (index_only and shift)]
+def _lookups(rows: DataFrame, edits: int) -> DataFrame:
+    """``rows`` (with ``rest`` and ``below``, the key of the level above) once per substring to look up.
+
+    Adds ``key``, the substring's place (``start``, ``size``), how much ``shorter`` the other line is, and whether it is the line's
+    ``own`` segment, which others look for.
+    """
+    wanted = [(i, shift, shorter) for shorter in range(edits + 1) for i in range(edits + 1)
+              for shift in range(-i, i + 1) if abs(shift - shorter) <= edits - i]
     specs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "shift", "shorter"), spec)]) for spec in wanted])
     each = rows.select("*", F.inline(specs))
     parts = edits + 1
@@ -49,7 +51,8 @@ def _lookups(rows: DataFrame, edits: int, index_only: bool = False) -> DataFrame
         "start", 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("shift"))
     fits = (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.length("rest")) & (other >= parts)
     part = F.col("rest").substr(F.col("start"), F.col("size"))
-    return sized.where(fits).withColumn("key", F.xxhash64("below", F.length("rest") - F.col("shorter"), "i", part)).drop("i", "shift")
+    return sized.where(fits).withColumn("key", F.xxhash64("below", F.length("rest") - F.col("shorter"), "i", part)).withColumn(
+        "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift")
 
 
 def _strip(a: Column, b: Column) -> Column:
@@ -119,55 +122,53 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         "id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
-def candidates(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowded: int = CROWDED) -> DataFrame:
-    """Pairs (a, b) of ids of ``distinct`` (id, line) that share a segment, and more of them where a segment is crowded."""
-    lines = distinct.where(F.length("line") >= shortest)
-    indexed = lines.select("id", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("below"))
-    probing, found = indexed, None
+def shared_segments(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Lookups of ``lines`` (id, line) that meet the segment of another line: ``id``, ``key``, ``start``, ``size``, ``shorter``, ``own``.
+
+    Keys are first reduced to the smallest and largest id that has them, combined before the shuffle; nearly all belong to one line alone.
+    """
+    keyed = _lookups(lines.select("id", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("below")), edits)
+    met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
+    return keyed.join(met.where("low <> high AND own").select("key"), "key", "left_semi").select(
+        "id", "key", "start", "size", "shorter", "own").distinct()
+
+
+def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs (a, b) of ids of ``lines`` (id, line; copies are welcome) that are within ``edits`` edits."""
+    rows = stored(shared_segments(lines, edits), "shared-segments")
+    texts = stored(lines.select("id", "line").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.first("line").alias("line")), "candidate-lines")
+    found = None
     for level in range(DEEPER + 1):
-        segments = _lookups(indexed, edits, True).select("id", "key", "shorter")
-        probes = _lookups(probing, edits)
-        if level:
-            probes = probes.where("shorter = fixed")
-        probes = probes.select("id", "key", "shorter")
+        segments = rows.where("own")
         full = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key")
         single = segments if level == DEEPER else segments.join(full, "key", "left_anti")
-        pairs = single.alias("s").join(probes.alias("p"), "key").where("s.id <> p.id").select(
+        pairs = single.alias("s").join(rows.alias("p"), "key").where("s.id <> p.id").select(
             F.least("s.id", "p.id").alias("a"), F.greatest("s.id", "p.id").alias("b"))
         found = pairs if found is None else found.union(pairs)
-        if level < DEEPER:
-            # Lines under a crowded key go on with what they have outside of it.
-            indexed, probing = (_outside(rows.join(full, "key", "left_semi"), known, edits, only)
-                                for rows, known, only in ((segments, indexed, True), (probes, probing, False)))
-    return found.distinct()
-
-
-def _outside(busy: DataFrame, rows: DataFrame, edits: int, index_only: bool) -> DataFrame:
-    """What the lines of ``busy`` (id, key, shorter) have outside of their key, with a line break for the gap."""
-    wanted = busy.select("id", F.col("key").alias("wanted"), F.col("shorter").alias("fixed")).distinct()
-    entries = _lookups(rows.select("id", "rest", "below").join(wanted, "id"), edits, index_only).where("key = wanted AND shorter = fixed")
-    rest = F.concat(F.col("rest").substr(F.lit(1), F.col("start") - 1), F.lit("\n"),
-                    F.col("rest").substr(F.col("start") + F.col("size"), F.length("rest")))
-    return entries.select("id", rest.alias("rest"), F.col("key").alias("below"), "fixed").distinct()
-
-
-def links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowded: int = CROWDED) -> DataFrame:
-    """Candidates whose lines are within ``edits`` edits."""
-    pairs = candidates(distinct, edits, shortest, crowded)
-    one = pairs.join(distinct.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    both = one.join(distinct.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+        if level == DEEPER:
+            break
+        # Lines under a crowded key go on with what they have outside of it, a line break for the gap.
+        busy = rows.join(full, "key", "left_semi")
+        busy = busy if level else busy.join(texts.withColumnRenamed("line", "rest"), "id")
+        line = F.col("rest")
+        outside = F.concat(line.substr(F.lit(1), F.col("start") - 1), F.lit("\n"), line.substr(F.col("start") + F.col("size"), F.length(line)))
+        left = busy.select("id", F.col("key").alias("below"), F.col("shorter").alias("fixed"), F.col("own").alias("was_own"), outside.alias("rest"))
+        rows = stored(_lookups(left, edits).where("shorter = fixed").withColumn("own", F.expr("own AND was_own")).select(
+            "id", "key", "start", "size", "shorter", "own", "rest").distinct(), "crowded-segments")
+    one = found.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Every line with a word: ``key``, ``body`` (hash of the text), ``at``, and ``first``, the first line of its class (key, at, body)."""
     lines = _lines(docs, key, text)
-    distinct = lines.where(F.length("line") >= shortest).groupBy("id").agg(
-        F.first("line").alias("line"), F.min("check").alias("low"), F.max("check").alias("high")).where("low = high").select("id", "line")
-    linked = components(links(distinct, edits, shortest))
+    linked = components(links(lines.where(F.length("line") >= shortest).select("id", "line"), edits))
     firsts = lines.groupBy("id", "check").agg(F.min(F.struct("key", "at", "body")).alias("first"))
     # Only lines that have a link to a different one look further than their own copies.
-    joined = stored(firsts.join(linked, "id"), "linked")
+    clashes = firsts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    joined = stored(firsts.join(linked, "id").join(clashes, "id", "left_anti"), "linked")
     first_of = joined.groupBy("component").agg(F.min("first").alias("class_first"))
     moved = joined.join(first_of, "component").select("id", "check", "class_first")
     known = firsts.join(moved, ["id", "check"], "left").select("id", "check", F.coalesce("class_first", "first").alias("first"))
