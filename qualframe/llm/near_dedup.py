@@ -7,8 +7,8 @@ which would need 1,536. Two sets with a similarity of 0.75 share a key with a pr
 Sub-keys are counted first: only those that two sets share are combined, so documents without a near
 copy never reach the tables. Candidates are then found without listing the pairs of a bucket:
 
-1. Each bucket of the tables (i, i) names a leader, another one in every table; members are verified against it, and
-   what is linked becomes one component.
+1. Each bucket of the tables (i, i) names a leader, the set whose sub-keys are shared most (in a group of edited copies, the
+   one closest to them all); members are verified against it, and what is linked becomes one component.
 2. Only buckets of any table that still hold several components are open. Their members are joined exactly: two sets that
    are similar enough share one of the rarest shingles of either (the prefix of the set in order of rarity). Pairs
    within a component are never formed, and the places of the shingle bound the overlap.
@@ -124,8 +124,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _led(keys: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its leader; a different one in each table, by hash."""
-    leaders = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("leader"),
+    """Pairs of each bucket's members with its leader: the set whose sub-keys most others share, among equals by hash."""
+    leaders = keys.groupBy("key").agg(F.max(F.struct("popular", F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("leader"),
                                       F.count("*").alias("members")).where("members > 1")
     pairs = keys.join(leaders, "key").where("id <> leader")
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -172,14 +172,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # Sub-keys that at least two sets have, by set.
     single = nodes.select("id", "n", F.posexplode("subkeys").alias("i", "key"))
-    shared = single.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    shared = single.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
     entry = F.struct((F.col("i") % SUBKEYS).alias("i"), "key")
-    sets = stored(single.join(shared, "key", "left_semi").groupBy("id", "n").agg(
+    sets = stored(single.join(shared, "key").groupBy("id", "n").agg(F.sum("sets").alias("popular"),
         F.collect_list(F.when(F.col("i") < SUBKEYS, entry)).alias("left"),
         F.collect_list(F.when(F.col("i") >= SUBKEYS, entry)).alias("right")).where("size(left) > 0 AND size(right) > 0"), "sets")
     texts = stored(plain.join(sets.select("id").distinct(), "id", "left_semi"), "texts")
 
-    first = stored(confirm(_led(_tables(sets.select("id", "left", "right"), F.col("l.i") == F.col("r.i"))), texts), "first-links")
+    first = stored(confirm(_led(_tables(sets.select("id", "popular", "left", "right"), F.col("l.i") == F.col("r.i"))), texts), "first-links")
     grouped = components(first)
     members = sets.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keys = _tables(members.select("id", "n", "component", "left", "right"), F.lit(True))
