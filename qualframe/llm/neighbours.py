@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from qualframe.llm.common import stored
 
-SAMPLE, BRANCHES, LEAF, ROUNDS = 20_000, 16, 48, 10
-CALIBRATED, RECALL = 256, 0.97
+SAMPLE, BRANCHES, LEAF, ROUNDS = 8_192, 8, 256, 10
+CALIBRATED, RECALL = 256, 0.95
 # Rows, and queries, that meet in one cell, about.
-CELL_ROWS, CELL_QUERIES = 8_192, 2_048
+CELL_ROWS, CELL_QUERIES = 4_096, 4_096
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -125,7 +125,7 @@ def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> pa.Table:
     """The ``k`` best rows of each query among ``rows``, by exact inner products; ties to the smaller id.
 
     A matrix product finds who can be among the best, with a margin for its rounding; their products are then computed the
@@ -133,23 +133,31 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     """
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
-    rough = queries @ rows.T
-    rough[query_ids[:, None] == row_ids[None, :]] = -np.inf
-    margin = 1e-12 * np.linalg.norm(queries, axis=1) * (np.linalg.norm(rows, axis=1).max() if len(rows) else 0.0)
-    out = []
-    for q in range(len(queries)):
-        line = rough[q]
-        floor = np.partition(line, -k)[-k] - margin[q] if len(line) > k else -np.inf
-        near = np.flatnonzero((line >= floor) & (line > -np.inf))
-        exact = (rows[near] * queries[q]).sum(axis=1)
-        for i in np.lexsort((row_ids[near], -exact))[:k]:
-            out.append((int(query_ids[q]), int(row_ids[near[i]]), float(exact[i])))
-    return out
-
-
-def _found(rows: list[tuple[int, int, float]]) -> pa.Table:
-    ids, others, scores = zip(*rows) if rows else ((), (), ())
-    return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.float64())})
+    longest = np.linalg.norm(rows, axis=1).max() if len(rows) else 0.0
+    taken, found = min(len(rows), k + 8), []
+    for start in range(0, len(queries), 256):
+        asked, ids = queries[start:start + 256], query_ids[start:start + 256]
+        rough = asked @ rows.T
+        for q, (low, high) in enumerate(zip(np.searchsorted(row_ids, ids), np.searchsorted(row_ids, ids, "right"))):
+            rough[q, low:high] = -np.inf
+        near = np.argpartition(-rough, taken - 1, axis=1)[:, :taken] if taken < len(rows) else np.tile(np.arange(len(rows)), (len(asked), 1))
+        values = np.take_along_axis(rough, near, axis=1)
+        exact = np.where(np.isneginf(values), -np.inf, (rows[near] * asked[:, None, :]).sum(axis=2))
+        first = np.lexsort((row_ids[near], -exact), axis=1)[:, :k]
+        near, exact = np.take_along_axis(near, first, axis=1), np.take_along_axis(exact, first, axis=1)
+        if taken < len(rows):
+            # More rows tie with the last one than were taken: look at all of them.
+            margin = 1e-12 * np.linalg.norm(asked, axis=1) * longest
+            floor = -np.partition(-values, k - 1, axis=1)[:, k - 1] - margin
+            for q in np.flatnonzero(values.min(axis=1) >= floor):
+                tied = np.flatnonzero(rough[q] >= floor[q])
+                score = (rows[tied] * asked[q]).sum(axis=1)
+                chosen = np.lexsort((row_ids[tied], -score))[:k]
+                near[q, :len(chosen)], exact[q, :len(chosen)] = tied[chosen], score[chosen]
+        real = ~np.isneginf(exact)
+        found.append((np.repeat(ids, real.sum(axis=1)), row_ids[near[real]], exact[real]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -211,10 +219,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("group"), "query_id", "vector")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return _found([])
-        return _found(best(_vectors(left["vector"], size), left["query_id"].to_numpy(), _vectors(right["vector"], size),
-                           right["vec_id"].to_numpy(), k))
+        return best(_vectors(left["vector"], size), left["query_id"].to_numpy(), _vectors(right["vector"], size),
+                    right["vec_id"].to_numpy(), k)
 
     cells = ["leaf", "block", "group"]
     found = groups.groupBy(*cells).cogroup(blocks.groupBy(*cells)).applyInArrow(cell, FOUND)
@@ -232,7 +238,7 @@ def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, rows: np.ndarr
         for batch in batches:
             leaf = dict(zip(batch["vec_id"].to_pylist(), batch["leaf"].to_pylist()))
             top = best(points, asked, _vectors(batch["vector"], size), batch["vec_id"].to_numpy(), k)
-            yield from _found(top).append_column("leaf", pa.array([leaf[r[1]] for r in top], pa.int32())).to_batches()
+            yield from top.append_column("leaf", pa.array([leaf[i] for i in top["vec_id"].to_pylist()], pa.int32())).to_batches()
 
     nearest = _ranked(index.mapInArrow(truth, f"{FOUND}, leaf int"), k).select("query_id", "leaf").toArrow()
     walks = {int(q): {leaf: n for n, leaf in enumerate(visits(tree, p, rows, tree.leaves, 0), 1)} for q, p in zip(asked, points)}
