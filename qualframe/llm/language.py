@@ -34,8 +34,9 @@ START = "▁"  # the vocabulary's mark for the start of a word
 LETTERS = r"\p{L}+"
 # Added to every expected count.
 SMOOTHING = 0.1
-LOT_CHARS = 1_000_000
-REMEMBERED = 200_000
+# Characters of text whose words are counted, or scored, together; words a task remembers before it starts anew.
+COUNTED_CHARS, LOT_CHARS = 12_000_000, 2_000_000
+REMEMBERED = 400_000
 UNKNOWN = "und"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,13 +60,19 @@ class Vocabulary:
         keys = np.array([list(_hashed(_codes([p])))[-1][0, 0] for p in sorted(pieces) if 0 < len(p) <= LONGEST_PIECE], np.uint64)
         self.keys = np.unique(keys)
         self.size = len(self.keys)
+        self.filled = np.zeros(1 << 20, bool)  # by the first bits of a hash: whether any piece has them
+        self.filled[self.keys >> np.uint64(44)] = True
 
     def pieces(self, codes: np.ndarray) -> list[np.ndarray]:
         """By length - 1: the piece that starts at each place, or -1."""
         out = []
         for length, value in enumerate(_hashed(codes), 1):
-            at = np.minimum(np.searchsorted(self.keys, value), self.size - 1)
-            out.append(np.where(self.keys[at] == value, at, self.size if length == 1 else -1))
+            found = np.full(value.shape, self.size if length == 1 else -1, np.int32)
+            likely = self.filled[value >> np.uint64(44)]
+            some = value[likely]
+            at = np.minimum(np.searchsorted(self.keys, some), self.size - 1)
+            found[likely] = np.where(self.keys[at] == some, at, found[likely])
+            out.append(found)
         return out
 
 
@@ -166,7 +173,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
                 for word in find(lower):
                     words[word] = words.get(word, 0) + 1
                 chars += len(lower)
-                if chars >= 4 * LOT_CHARS:
+                if chars >= COUNTED_CHARS:
                     add()
                     chars = 0
         add()
