@@ -45,7 +45,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled documents outside the held-out quarter."""
     labels = table(spark, sf_dir, "labels")
-    return toxicity.fit(toxicity.sample_features(table(spark, sf_dir, "documents"), labels.where(~language.in_part(labels["doc_id"], 4, 2))))
+    return toxicity.fit(*toxicity.sample_features(table(spark, sf_dir, "documents"), labels.where(~language.in_part(labels["doc_id"], 4, 2))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualframe.llm.common import stored
+
 # Documents the model is fitted on, at most.
 SAMPLE = 16_000
 # Features kept for fitting, at most; each must occur in so many sampled documents and differ by so many standard errors.
@@ -74,59 +76,73 @@ def swapped(words: set[str], turn: int = 1) -> set[str] | None:
     return {siblings.get(w, w) for w in words} if any(w in siblings for w in words) else None
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(column: pa.Array) -> list[set[str]]:
+    return [set(_words((t.as_py() or "").lower())) for t in column]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, and labelled ones, with each feature."""
     features = Features()
-    flat = lambda words: sorted({f for w in words for f in features[w]})
     for batch in batches:
-        bags = [set(_words((t.as_py() or "").lower())) for t in batch.column(0)]
-        pairs = [swapped(b) for b in bags]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([flat(b) for b in bags], pa.list_(pa.int64())), pa.array([None if p is None else flat(p) for p in pairs], pa.list_(pa.int64())),
-            batch.column(1).cast(pa.int32())], ["features", "swapped", "label"])
+        counts: dict[int, list[int]] = {}
+        for bag, label in zip(_bags(batch.column(0)), batch.column(1).to_pylist()):
+            for f in {f for w in bag for f in features[w]}:
+                count = counts.setdefault(f, [0, 0])
+                count[0] += 1
+                count[1] += label
+        seen, marked = zip(*counts.values()) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(seen, pa.int64()), pa.array(marked, pa.int64())],
+                                         ["feature", "seen", "marked"])
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE):
-    """Features of the sampled labelled documents, on the driver: at most ``sample`` rows."""
-    known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_id")).agg(F.max(f"`{label}`").alias("_label"))
+    """Of the sampled labelled documents, on the driver: the features that go with the label (``FEATURES`` at most, sorted), and by document
+    its label, which of them it has, and which it has with its identity terms swapped (null without any)."""
+    known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_id")).agg(
+        F.max(F.when(F.col(f"`{label}`") > 0, 1).otherwise(0)).alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("_text"))
+    texts = docs.select(docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("text"))
     # Copies of an id in ``docs`` are one labelled text.
-    joined = texts.join(chosen, texts["_key"] == chosen["_id"]).dropDuplicates(["_id"]).select("_text", "_label")
-    return joined.mapInArrow(_sampled, "features array<bigint>, swapped array<bigint>, label int").toArrow()
+    joined = stored(texts.join(chosen, texts["_key"] == chosen["_id"]).groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+                    .select("text", "label"), "labelled")
+    total = joined.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("marked")).first()
+    n, rate = total["n"], total["marked"] / max(total["n"], 1)
+    if not 0 < rate < 1:
+        return np.zeros(0, np.int64), joined.limit(0).selectExpr("label", "array(1) AS has", "array(1) AS swapped").toArrow(), rate
+    counted = joined.mapInArrow(_counted, "feature bigint, seen bigint, marked bigint").groupBy("feature").agg(
+        F.sum("seen").alias("seen"), F.sum("marked").alias("marked"))
+    spread = F.sqrt(F.col("seen") * rate * (1 - rate) * F.greatest(1 - F.col("seen") / n, F.lit(1e-9)))
+    strong = counted.withColumn("z", F.abs(F.col("marked") - F.col("seen") * rate) / spread).where((F.col("seen") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z))
+    picked = sorted(r["feature"] for r in strong.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect())
+    places = {f: k for k, f in enumerate(picked)}
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        has = lambda words: sorted({places[f] for w in words for f in features[w] if f in places})
+        for batch in batches:
+            bags = _bags(batch.column(0))
+            pairs = [swapped(b) for b in bags]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(1), pa.array([has(b) for b in bags], pa.list_(pa.int32())),
+                pa.array([None if p is None else has(p) for p in pairs], pa.list_(pa.int32()))], ["label", "has", "swapped"])
+
+    return np.array(picked, np.int64), joined.mapInArrow(shown, "label int, has array<int>, swapped array<int>").toArrow(), rate
 
 
-def _places(lists: pa.ListArray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every known feature (``known`` is sorted) in every list: its place in ``known``, and the list."""
-    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    if not len(known):
-        return flat[:0], owner[:0]
-    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    hit = known[at] == flat
-    return at[hit], owner[hit]
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of the lists, and the list of each."""
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
-def fit(rows: pa.Table) -> Model:
+def fit(known: np.ndarray, rows: pa.Table, rate: float) -> Model:
     """Logistic loss, an L1 term and the counterfactual term, minimised by Adam with soft thresholds."""
-    label = np.array(rows["label"].to_pylist(), np.float64).clip(0, 1)
-    n, positive = len(label), label.sum()
-    if not positive or positive == n:
+    if not 0 < rate < 1:
         return Model({}, float("-inf"))
-    bags = rows["features"].combine_chunks()
-    flat = bags.flatten().to_numpy()
-    owner = np.repeat(np.arange(n), np.diff(bags.offsets.to_numpy()))
-    known, inverse = np.unique(flat, return_inverse=True)
-    seen = np.bincount(inverse)
-    toxic = np.bincount(inverse, label[owner])
-    rate = positive / n
-    z = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) * np.maximum(1 - seen / n, 1e-9))
-    strong = np.flatnonzero((seen >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    strong = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:FEATURES]])
-    known = known[strong]
-    at, owner = _places(bags, known)
+    label, n, size = rows["label"].to_numpy().astype(np.float64), len(rows), len(known)
+    at, owner = _flat(rows["has"].combine_chunks())
     swaps = rows["swapped"].combine_chunks()
     origin = np.flatnonzero(swaps.is_valid().to_numpy(zero_copy_only=False))
-    at_pair, pair = _places(swaps.drop_null(), known)
-    size = len(known)
+    at_pair, pair = _flat(swaps.drop_null())
     weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     weights[-1] = np.log(rate / (1 - rate))
     dot = lambda a, o, count: np.bincount(o, weights[a], minlength=count)
