@@ -34,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Keys of 8 bytes that may be sent to every task.
+SENT = 1_000_000
+
+
+def among(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in ``few`` (stored, one bigint). Up to ``SENT`` of them, counted first, are sent to every task; more are
+    joined by a shuffle, where Spark's own Bloom filter keeps most rows back."""
+    return rows.join(F.broadcast(few) if few.count() <= SENT else few, column, "left_semi")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

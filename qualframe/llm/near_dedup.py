@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import stored
+from qualframe.llm.common import among, stored
 from qualframe.llm.components import components
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = stored(single.join(shared, "key").groupBy("id", "n").agg(F.sum("sets").alias("popular"),
         F.collect_list(F.when(F.col("i") < SUBKEYS, entry)).alias("left"),
         F.collect_list(F.when(F.col("i") >= SUBKEYS, entry)).alias("right")).where("size(left) > 0 AND size(right) > 0"), "sets")
-    texts = stored(plain.join(sets.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = stored(among(plain, stored(sets.select("id").distinct(), "candidates"), "id"), "texts")
 
     first = stored(confirm(_led(_tables(sets.select("id", "popular", "left", "right"), F.col("l.i") == F.col("r.i"))), texts), "first-links")
     grouped = components(first)
