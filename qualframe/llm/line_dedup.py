@@ -22,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import let, stored
+from qualframe.llm.common import among, let, stored
 from qualframe.llm.components import components
 
 EDITS = 2
 SHORTEST = 24
 # Lines that share a segment, from which more segments are asked for; how many more.
 CROWDED, DEEPER = 64, 2
+# Characters after which a candidate is looked at again.
+HEAD = 12
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -41,18 +43,18 @@ def _lookups(rows: DataFrame, edits: int) -> DataFrame:
     wanted = [(i, shift, shorter) for shorter in range(edits + 1) for i in range(edits + 1)
               for shift in range(-i, i + 1) if abs(shift - shorter) <= edits - i]
     specs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "shift", "shorter"), spec)]) for spec in wanted])
-    each = rows.select("*", F.inline(specs))
+    each = rows.withColumn("n", F.length("rest")).select("*", F.inline(specs))
     parts = edits + 1
-    other = F.length("rest") - F.col("shorter")
+    other = F.col("n") - F.col("shorter")
     base = F.call_function("div", other, F.lit(parts)).cast("int")
     # The last (length mod parts) segments are one character longer.
     first_long = parts - (other - base * parts)
     sized = each.withColumn("size", base + (F.col("i") >= first_long).cast("int")).withColumn(
         "start", 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("shift"))
-    fits = (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.length("rest")) & (other >= parts)
+    fits = (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")) & (other >= parts)
     part = F.col("rest").substr(F.col("start"), F.col("size"))
-    return sized.where(fits).withColumn("key", F.xxhash64("below", F.length("rest") - F.col("shorter"), "i", part)).withColumn(
-        "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift")
+    return sized.where(fits).withColumn("key", F.xxhash64("below", other, "i", part)).withColumn(
+        "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift", "n")
 
 
 def _strip(a: Column, b: Column) -> Column:
@@ -92,7 +94,8 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     for _ in range(edits):
         start |= (start << (width + 1)) & band
 
-    def run(x: Column, y: Column) -> Column:
+    def state_after(x: Column, y: Column) -> Column:
+        """The state when all of ``x`` is read; ``y`` is padded in front, places after its end match nothing."""
         def step(state: Column, i: Column) -> Column:
             matches = F.lit(0).cast("bigint")
             for d in range(diagonals):
@@ -101,15 +104,23 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
                 both(F.shiftleft(F.shiftright(both(state, band & ~spread), 1), width), band))
             return F.when(state == 0, state).otherwise(inserted(let(matches, moved)))
 
-        last = F.size(x)
-        end = let(F.aggregate(F.sequence(F.lit(0), last - 1), number(start), step), lambda s: s)
-        final = F.size(y) - 2 * edits - last + edits  # the diagonal on which both texts end
-        return let(end, lambda s: F.call_function("shiftright", s, final).bitwiseAND(number(spread)) != 0)
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), number(start), step)
 
     characters = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
     padding = F.array_repeat(F.lit(""), edits)
-    compared = lambda m: F.when(F.least(F.length(m["a"]), F.length(m["b"])) == 0, F.greatest(F.length(m["a"]), F.length(m["b"])) <= edits).otherwise(
-        let(characters(m["a"]), lambda x: let(F.concat(padding, characters(m["b"]), padding), lambda y: run(x, y))))
+
+    def state_of(x: Column, y: Column) -> Column:
+        return let(characters(x), lambda p: let(F.concat(padding, characters(y)), lambda q: state_after(p, q)))
+
+    def compared(m: Column) -> Column:
+        x, y = m["a"], m["b"]
+        shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+        # Most candidates are beyond the limit after a few characters, so those are read first.
+        begins = state_of(F.substring(x, 1, HEAD), F.substring(y, 1, HEAD + edits)) != 0
+        last = F.length(y) - F.length(x) + edits  # the diagonal on which both texts end
+        ends = let(state_of(x, y), lambda s: F.call_function("shiftright", s, last).bitwiseAND(number(spread)) != 0)
+        return F.when(shorter == 0, longer <= edits).otherwise(begins & ends)
+
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(let(_strip(a, b), compared))
 
 
@@ -129,15 +140,15 @@ def shared_segments(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     keyed = _lookups(lines.select("id", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("below")), edits)
     met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
-    return keyed.join(met.where("low <> high AND own").select("key"), "key", "left_semi").select(
-        "id", "key", "start", "size", "shorter", "own").distinct()
+    keys = stored(met.where("low <> high AND own").select("key"), "met-keys")
+    return among(keyed, keys, "key").select("id", "key", "start", "size", "shorter", "own").distinct()
 
 
 def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataFrame:
     """Pairs (a, b) of ids of ``lines`` (id, line; copies are welcome) that are within ``edits`` edits."""
     rows = stored(shared_segments(lines, edits), "shared-segments")
-    texts = stored(lines.select("id", "line").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
-        F.first("line").alias("line")), "candidate-lines")
+    ids = stored(rows.select("id").distinct(), "candidates")
+    texts = stored(among(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line")), "candidate-lines")
     found = None
     for level in range(DEEPER + 1):
         segments = rows.where("own")
@@ -154,6 +165,8 @@ def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataF
         line = F.col("rest")
         outside = F.concat(line.substr(F.lit(1), F.col("start") - 1), F.lit("\n"), line.substr(F.col("start") + F.col("size"), F.length(line)))
         left = busy.select("id", F.col("key").alias("below"), F.col("shorter").alias("fixed"), F.col("own").alias("was_own"), outside.alias("rest"))
+        if not busy.take(1):
+            break
         rows = stored(_lookups(left, edits).where("shorter = fixed").withColumn("own", F.expr("own AND was_own")).select(
             "id", "key", "start", "size", "shorter", "own", "rest").distinct(), "crowded-segments")
     one = found.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
