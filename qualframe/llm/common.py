@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from typing import Callable, Iterable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ from qualframe.session import configure, scratch_path
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+def travels(module: str) -> None:
+    """Lets tasks get the functions of a module with the job, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def once(name: str, make: Callable[[], object]):
+    """What ``make`` returns, made once per process and kept between tasks."""
+    kept = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+travels(__name__)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,6 @@ rows count each; an empty table gives no rows; columns of the input other than k
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -27,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from qualframe.llm.common import once, travels
+
+travels(__name__)
 
 LONGEST = 24
 LONGEST_PIECE = 10
@@ -81,9 +83,8 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return once(f"vocabulary {path}", lambda: Vocabulary(path))
 
 
 def forward(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:

@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import among, stored
+from qualframe.llm.common import among, stored, travels
 from qualframe.llm.components import components
 
+travels(__name__)
+
 SHINGLE = 5
 # Similarity of a link, in hundredths.
 SIMILAR = 75

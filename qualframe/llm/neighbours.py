@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import stored
+from qualframe.llm.common import stored, travels
+
+travels(__name__)
 
 SAMPLE, BRANCHES, LEAF, ROUNDS = 8_192, 8, 256, 10
 CALIBRATED, RECALL = 256, 0.95
@@ -185,12 +187,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     if fitted is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     tree, size = fitted
-    shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _vectors(batch.column(1), size)
-            yield batch.append_column("leaf", pa.array(assign(shared.value, points), pa.int32()))
+            yield batch.append_column("leaf", pa.array(assign(tree, points), pa.int32()))
 
     index = stored(vectors.where(F.size("vector") == size).mapInArrow(placed, "vec_id bigint, vector array<double>, asks boolean, leaf int"), "leaves")
     queries = index.where("asks").select(F.col("vec_id").alias("query_id"), "vector")
@@ -202,7 +203,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                listed = [visits(shared.value, p, rows, number, k + 1) for p in _vectors(part.column(1), size)]
+                listed = [visits(tree, p, rows, number, k + 1) for p in _vectors(part.column(1), size)]
                 yield part.append_column("leaves", pa.array(listed, pa.list_(pa.int32())))
 
     walked = queries.mapInArrow(walks, "query_id bigint, vector array<double>, leaves array<int>").select(

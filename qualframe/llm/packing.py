@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -25,6 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 import public_tokenizers
+from qualframe.llm.common import once, travels
+
+travels(__name__)
 
 WINDOW = 2048
 END_MARK = 1
@@ -34,12 +36,15 @@ LOT = 65_536
 SCHEMA = "{key} bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """A tokenizer from a file of ranks; one per worker process."""
+def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
+    """A tokenizer from a file of ranks; one per worker process."""
+    return once(f"encoder {path} {pattern}", lambda: tiktoken.Encoding(
+        path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={}))
 
 
 class OpenWindows:

@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import stored
+from qualframe.llm.common import stored, travels
+
+travels(__name__)
 
 # Bytes a row counts besides its text.
 ROW_BYTES = 8

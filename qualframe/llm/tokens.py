@@ -16,22 +16,22 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qualframe.llm.common import shuffle_width
-from qualframe.llm.packing import encoder
+from qualframe.llm.common import once, shuffle_width, travels
+from qualframe.llm.packing import encoder, ranks_of
+
+travels(__name__)
 
 # Characters of text in a block; a block is what one task puts together at a time.
 BLOCK_CHARS = 12_000_000
@@ -142,8 +142,7 @@ def _encode_words(ranks: str):
             return ids
 
     # One word at a time is encoded, so the pattern takes it as a whole.
-    base = encoder(ranks)
-    single = tiktoken.Encoding("word", pat_str=r"(?s:.+)", mergeable_ranks=base._mergeable_ranks, special_tokens={})
+    single = encoder(ranks, r"(?s:.+)")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Encoded()
@@ -208,14 +207,16 @@ def _blocks(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, bloc
     return cut.repartition(buckets, where).mapInArrow(encode, BLOCKS)
 
 
-@lru_cache(maxsize=2)
 def token_bytes(ranks: str) -> list[bytes]:
     """The table of token bytes, by id."""
-    table = encoder(ranks)._mergeable_ranks
-    out = [b""] * (max(table.values()) + 1)
-    for token, rank in table.items():
-        out[rank] = token
-    return out
+    def made() -> list[bytes]:
+        table = ranks_of(ranks)
+        out = [b""] * (max(table.values()) + 1)
+        for token, rank in table.items():
+            out[rank] = token
+        return out
+
+    return once(f"bytes {ranks}", made)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, pattern: str | None = None,

@@ -25,7 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import stored
+from qualframe.llm.common import stored, travels
+
+travels(__name__)
 
 # Documents the model is fitted on, at most.
 SAMPLE = 16_000
