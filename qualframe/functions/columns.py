@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,12 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def dates_as_times(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the named columns, where they are dates, as their midnights."""
+    dates = [name for name in names if isinstance(resolve(df.schema, name)[1], T.DateType)]
+    return df.withColumns({name: ref(name).cast("timestamp") for name in dates}) if dates else df
+
+
 def epoch_seconds(c: Column) -> Column:
     return micros(c) / F.lit(1e6)
 

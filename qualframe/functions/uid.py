@@ -36,8 +36,8 @@ def decode_uid(text: Column, length: int = LENGTH) -> Column:
     for place in range(length):
         digit = F.call_function("instr", F.lit(DIGITS), F.substring(padded, place + 1, 1)) - F.lit(1)
         number = number * F.lit(BASE) + digit.cast("bigint")
-    valid = (F.length(text) <= length) & text.rlike(r"^[0-9A-Za-z]*\z")
-    return F.when(valid & (number <= F.lit(largest(length))), number)
+    well_formed = (F.length(text) <= length) & text.rlike(r"^[0-9A-Za-z]*\z")
+    return F.when(well_formed & (number <= F.lit(largest(length))), number)
 
 
 def key_hash(*keys: Column, algorithm: str = "xxhash64") -> Column:
@@ -45,7 +45,9 @@ def key_hash(*keys: Column, algorithm: str = "xxhash64") -> Column:
     if algorithm == "xxhash64":
         return F.pmod(F.xxhash64(*keys), F.lit(2**60))
     if algorithm == "md5":
-        text = F.concat_ws("|", *[F.coalesce(key.cast("string"), F.lit("\\N")) for key in keys])
+        # Each part with its length before it, so that no two lists of parts give the same text; null has none.
+        parts = [key.cast("string") for key in keys]
+        text = F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
         return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     raise ValueError(f"unknown algorithm {algorithm!r}")
 

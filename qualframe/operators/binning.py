@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualframe.functions.columns import as_number, epoch_seconds, resolve, usable
+from qualframe.functions.columns import as_number, dates_as_times, epoch_seconds, resolve, usable
 from qualframe.operators.quantiles import exact_quantiles
 from qualframe.types import is_time
 
@@ -58,8 +58,10 @@ class Axis:
 
 
 def number_column(df: DataFrame, column: str) -> Column:
-    """The value binned: a double, or seconds since 1970 for time."""
+    """The value binned: a double, or seconds since 1970 for time (a date counts as its midnight)."""
     c, dtype = resolve(df.schema, column)
+    if isinstance(dtype, T.DateType):
+        return epoch_seconds(c.cast("timestamp"))
     return epoch_seconds(c) if is_time(dtype) else as_number(c, dtype)
 
 
@@ -67,6 +69,7 @@ def make_axis(df: DataFrame, column: str, bins: int = DEFAULT_BINS, low: float |
               high: float | None = None, trim: float | None = None) -> Axis:
     """The range where the caller gives none: least to greatest value, 5 % wider on both sides if both bounds
     are open, or the quantiles ``trim`` and ``1 - trim``."""
+    df = dates_as_times(df, column)
     c, dtype = resolve(df.schema, column)
     unit = 1e6 if is_time(dtype) else 1.0
     if trim is not None:
@@ -163,7 +166,7 @@ def density_xy(df: DataFrame, x: str, y: str, bins: tuple[int, int] = (30, 30),
                x_range: tuple[float, float] | None = None, y_range: tuple[float, float] | None = None,
                x_trim: tuple[float, float] = (0.001, 0.99), y_trim: tuple[float, float] = (0.001, 0.995)) -> DataFrame:
     """Two-dimensional density between given bounds, or between quantiles where none are given."""
-    wanted = {}
+    df, wanted = dates_as_times(df, x, y), {}
     if x_range is None:
         wanted[x] = x_trim
     if y_range is None:

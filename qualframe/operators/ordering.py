@@ -9,54 +9,36 @@ from pyspark.sql import functions as F
 
 from qualframe.session import materialize
 
-# Up to this many rows a plain window may number them in one task; the count is checked, not assumed.
-SMALL = 100_000
-# Copies of one row are numbered in blocks of this many, each block by itself.
-BLOCK = 100_000
-
-
-def partition_offsets(sorted_rows: DataFrame, weight: Column) -> DataFrame:
-    """Rows of a materialised, range-sorted frame with the total weight of all partitions before their own."""
-    tagged = sorted_rows.withColumn("_part", F.spark_partition_id())
-    sums = tagged.groupBy("_part").agg(F.sum(weight).alias("_sum"))
-    # One row per partition: as many rows as the sort has tasks, independent of the data.
+# Copies of one row are dealt out over the tasks of the sort by a number below this.
+SPREAD = 1 << 20
+# monotonically_increasing_id(): the partition above these bits, the row within it below.
+_ROW_BITS = 33
+
+
+def _numbered(ranked: DataFrame, index: str) -> DataFrame:
+    """Rows of a materialised, globally sorted frame with their number from 0: rows in partitions before, plus the place within."""
+    tagged = ranked.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", _ROW_BITS)
+    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    # One row per task of the sort, whatever the number of rows: what is sent to every task is bounded by the sort's width.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    return tagged.join(F.broadcast(offsets), "_part")
+    offsets = F.broadcast(counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    placed = tagged.withColumn("_part", part).join(offsets, "_part")
+    number = F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.withColumn(index, number).drop("_part", "_offset", "_id")
 
 
-def with_index(df: DataFrame, order: Sequence[Column], index: str = "index", small: int = SMALL) -> DataFrame:
+def with_index(df: DataFrame, order: Sequence[Column], index: str = "index") -> DataFrame:
     """Number rows 0, 1, ... by ``order`` (ties by the remaining columns, so the result is determined).
 
-    Equal rows are counted first and numbered from their count, so a third of all rows being copies
-    of one is one row in the sort. Large frames are range-sorted, written once, and numbered from sums
-    per partition; only those sums are looked at in one place.
+    Equal rows may be any part of the frame: a running number, last in the order, spreads them over the tasks of the sort.
     """
-    columns = list(df.columns)
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("_copies"))
-    ties = [F.col(f"`{c}`").asc_nulls_first() for c in columns]
-    ranked = materialize(counted.orderBy(*order, *ties))
-    preceding = Window.orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    if ranked.limit(small + 1).count() <= small:
-        first = ranked.withColumn("_first", F.coalesce(F.sum("_copies").over(preceding), F.lit(0)))
-    else:
-        inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-        placed = partition_offsets(ranked, F.col("_copies")).withColumn("_row", F.monotonically_increasing_id())
-        first = placed.withColumn("_first", F.col("_offset") + F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("_copies") - 1, F.lit(BLOCK).cast("bigint")))
-    blocked = first.withColumn("_block", F.explode(blocks))
-    inner = F.sequence(F.lit(0).cast("bigint"),
-                       F.least(F.lit(BLOCK - 1).cast("bigint"), F.col("_copies") - 1 - F.col("_block") * BLOCK))
-    expanded = blocked.withColumn("_in", F.explode(inner))
-    number = F.col("_first") + F.col("_block") * BLOCK + F.col("_in")
-    return expanded.select(number.alias(index), *[F.col(f"`{c}`") for c in columns])
-
-
-def rank_groups(df: DataFrame, order: Sequence[Column], index: str = "index", small: int = SMALL) -> DataFrame:
+    ties = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns]
+    spread = df.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    ranked = materialize(spread.orderBy(*order, *ties, "_spread").drop("_spread"))
+    return _numbered(ranked, index).select(index, *[F.col(f"`{c}`") for c in df.columns])
+
+
+def rank_groups(df: DataFrame, order: Sequence[Column], index: str = "index") -> DataFrame:
     """The same for frames whose rows are distinct already, such as the result of an aggregate."""
-    ranked = materialize(df.orderBy(*order))
-    if ranked.limit(small + 1).count() <= small:
-        return ranked.withColumn(index, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    placed = partition_offsets(ranked, F.lit(1)).withColumn("_row", F.monotonically_increasing_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_row")).cast("bigint") - 1
-    return placed.withColumn(index, F.col("_offset") + inside).drop("_part", "_offset", "_row")
+    return _numbered(materialize(df.orderBy(*order)), index)

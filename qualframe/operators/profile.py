@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualframe.functions.columns import as_number, micros, micros_text, ref, resolve, usable
-from qualframe.functions.fingerprint import identity
+from qualframe.functions.columns import as_number, dates_as_times, micros, micros_text, ref, resolve, usable
 from qualframe.operators.ordering import rank_groups
 from qualframe.operators.quantiles import ColumnRange, approximate_quantiles, exact_quantiles
+from qualframe.operators.uniqueness import typed_slots
 from qualframe.types import is_fraction, is_time
 
 # A column with fewer distinct values is a category; quantiles of the robust range and of time.
 CATEGORY_LIMIT = 30
+# Relative standard error of the sketch of distinct values.
+SKETCH_ERROR = 0.05
 ROBUST = (0.001, 0.5, 0.999)
 TIME_PERCENTILES = (0.01, 0.25, 0.5, 0.77, 0.99)
 QUARTILES = (0.25, 0.5, 0.75)
@@ -53,29 +55,27 @@ def category_table(df: DataFrame, column: str, numeric: bool | None = None) -> D
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact number of distinct values of each column (null counts as one): one shuffle of distinct values."""
-    cells = F.array(*[
-        F.struct(F.lit(name).alias("column"), identity(resolve(df.schema, name)[0].cast("string")).alias("value"))
-        for name in columns
-    ])
+    cells = F.array(*[F.struct(F.lit(name).alias("column"), *typed_slots(*resolve(df.schema, name))) for name in columns])
     long = df.select(F.explode(cells).alias("s")).select("s.*")
     return long.distinct().groupBy("column").agg(F.count("*").alias("distinct"))
 
 
 def categorical_columns(df: DataFrame, columns: Sequence[str], limit: int = CATEGORY_LIMIT,
-                        estimates: Mapping[str, int] | None = None) -> dict[str, int]:
+                        estimates: Mapping[str, int] | None = None, margin: float | None = 4) -> dict[str, int]:
     """Columns with fewer than ``limit`` distinct values, with their exact number.
 
-    A sketch (or the ``estimates`` of an earlier one) sorts out columns that are far above the limit, so the exact
-    count only ever shuffles columns with few values.
+    A sketch (or the ``estimates`` of an earlier one) sorts out columns whose estimate is ``margin`` times the limit or more, so the
+    exact count only ever shuffles columns with few values. The sketch's standard error is ``SKETCH_ERROR``: with the margin of 4 a
+    column below the limit would have to be estimated 60 standard errors too high to be missed. ``margin=None`` counts every column.
     """
     if not columns:
         return {}
-    if estimates is None:
+    if estimates is None and margin is not None:
         row = df.agg(*[
-            F.approx_count_distinct(resolve(df.schema, name)[0]).alias(f"c{i}") for i, name in enumerate(columns)
+            F.approx_count_distinct(resolve(df.schema, name)[0], SKETCH_ERROR).alias(f"c{i}") for i, name in enumerate(columns)
         ]).first()
         estimates = {name: row[f"c{i}"] for i, name in enumerate(columns)}
-    few = [name for name in columns if estimates[name] < 4 * limit]
+    few = [name for name in columns if margin is None or estimates[name] < margin * limit]
     if not few:
         return {}
     exact = {row["column"]: row["distinct"] for row in distinct_counts(df, few).collect()}
@@ -125,7 +125,8 @@ def outliers(df: DataFrame, column: str, low: float, high: float, n: int = 10) -
 
 
 def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME_PERCENTILES) -> DataFrame:
-    """Statistics of a time column as (statistic, microseconds, text), the day range it spans and its days."""
+    """Statistics of a time column (a date counts as its midnight) as (statistic, microseconds, text), the day range and its days."""
+    df = dates_as_times(df, column)
     c, _ = resolve(df.schema, column)
     found = exact_quantiles(df, {column: list(percentiles)}, moments=True)[column]
     day = 86_400_000_000

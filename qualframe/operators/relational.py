@@ -25,7 +25,7 @@ def orphan_keys(child: DataFrame, columns: Sequence[str], parent: DataFrame, key
     """
     names = [f"_k{i}" for i in range(len(columns))]
     counted = child.groupBy(*[ref(c).alias(n) for c, n in zip(columns, names)]).agg(F.count("*").alias("rows"))
-    counted = counted.dropna(subset=names)
+    counted = counted.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))  # NaN is a key
     known = parent.select(*[ref(k).alias(n) for k, n in zip(keys, names)])
     orphans = counted.join(known, names, "left_anti")
     return orphans.select(*[F.col(n).alias(c) for n, c in zip(names, columns)], "rows")
@@ -35,7 +35,7 @@ def reference_check(child: DataFrame, columns: Sequence[str], parent: DataFrame,
     """One row: rows with a complete reference, rows whose reference leads nowhere, and how many keys that are."""
     names = [f"_k{i}" for i in range(len(columns))]
     counted = child.groupBy(*[ref(c).alias(n) for c, n in zip(columns, names)]).agg(F.count("*").alias("rows"))
-    counted = counted.dropna(subset=names)
+    counted = counted.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))  # NaN is a key
     known = parent.select(*[ref(k).alias(n) for k, n in zip(keys, names)]).distinct().withColumn("_known", F.lit(True))
     joined = counted.join(known, names, "left")
     orphan = F.col("_known").isNull()

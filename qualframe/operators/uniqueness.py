@@ -6,6 +6,7 @@ network once per map task, not once per row. Only counts per value go on to the
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from qualframe.functions.fingerprint import identity
 from qualframe.types import is_fraction, is_time
 
 
-def _slots(c: Column, dtype: T.DataType) -> list[Column]:
+def typed_slots(c: Column, dtype: T.DataType) -> list[Column]:
     """One typed cell per column, so several columns can be counted in one shuffle without losing exactness."""
     whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or is_time(dtype)
     slot_long = F.lit(None).cast("bigint")
@@ -28,7 +29,7 @@ def _slots(c: Column, dtype: T.DataType) -> list[Column]:
     elif whole:
         slot_long = c.cast("bigint")
     elif is_fraction(dtype):
-        slot_double = c.cast("double")
+        slot_double = c.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
     elif isinstance(dtype, T.BinaryType):
         slot_text = identity(F.hex(c))
     else:
@@ -41,7 +42,7 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     cells = []
     for name in columns:
         c, dtype = resolve(df.schema, name)
-        cells.append(F.struct(F.lit(name).alias("column"), c.isNull().alias("absent"), *_slots(c, dtype)))
+        cells.append(F.struct(F.lit(name).alias("column"), c.isNull().alias("absent"), *typed_slots(c, dtype)))
     groups = [ref(c) for c in by]
     if len(cells) == 1:
         long = df.select(*groups, cells[0].alias("_c"))
@@ -86,4 +87,5 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that occur more than once, with their number of rows."""
     parts = [ref(key) for key in keys]
     counted = df.groupBy(*parts).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    return counted.dropna(subset=list(keys))
+    # Not dropna, which also takes NaN away: NaN is a key like any other.
+    return counted.where(reduce(lambda a, b: a & b, [ref(key).isNotNull() for key in keys]))

@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 from qualframe.document import Document, DocumentError
 from qualframe.functions.columns import quoted, ref, roots
 from qualframe.functions.uid import encode_uid, key_hash, largest
+from qualframe.operators.deliveries import STATED, row_rows, stated_rows
 from qualframe.operators.ordering import rank_groups
 from qualframe.operators.validate import table_level, validate
 from qualframe.session import materialize
-from qualframe.sources.files import path_exists, project, write_partitions
+from qualframe.sources.files import list_files, path_exists, project, write_partitions
+from qualframe.sources.footers import footers_of
 from qualframe.sources.hashes import content_hashes, folder_hash
-from qualframe.sources.reports import append_report, latest, read_reports
+from qualframe.sources.remote import hadoop_path
+from qualframe.sources.reports import latest, read_reports, write_report
 from qualframe.types import ddl_type
 
 MANIFEST_DDL = (
@@ -33,8 +36,8 @@ MANIFEST_DDL = (
 PART_STEP = 10
 # Partition column that tells attempts at one delivery apart.
 ATTEMPT = "attempt"
-# Above this many folders a join selects what to read, instead of a list in the filter.
-LISTED_FOLDERS = 5_000
+# By default each file is a delivery, named like it.
+FILE_KEY = r"^(.*?)(\.[A-Za-z]+)*$"
 
 
 def part_name(number: int, ingestion: str, dataset_uid: str, uid: str) -> str:
@@ -43,7 +46,7 @@ def part_name(number: int, ingestion: str, dataset_uid: str, uid: str) -> str:
 
 
 def split_by_gate(levels: dict[str, int]) -> tuple[list[str], list[str]]:
-    """Deliveries that pass (valid, or warnings only) and those with an error."""
+    """Deliveries that pass (nothing found, or warnings only) and those with an error."""
     passed = sorted(key for key, level in levels.items() if level < 2)
     return passed, sorted(set(levels) - set(passed))
 
@@ -81,12 +84,41 @@ class Dataset:
         """Identifier of one delivery: the same again for the same dataset, delivery and token."""
         return encode_uid(key_hash(F.lit(self.document.uid), ingestion, F.lit(token)) % F.lit(largest() + 1))
 
+    def ingest_files(self, source: str, key_pattern: str = FILE_KEY, only: DataFrame | None = None, token: str | None = None,
+                     time: str | None = None) -> DataFrame:
+        """Take in Parquet files below ``source`` (of the deliveries in ``only``, a frame with ``ingestion``, if given).
+
+        The name of a file says which delivery it belongs to. Names and types are checked file by file, from the footers, before any
+        data is read; a delivery that lacks a column or stores another type is refused without being read.
+        """
+        key = lambda path: F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), key_pattern, 1)
+        found = list_files(self.spark, source, "*.parquet").select("path", key(F.col("path")).alias("ingestion"))
+        if only is not None:
+            found = found.join(only.select("ingestion").distinct(), "ingestion", "left_semi")
+        footers = materialize(footers_of(found.select("path")).withColumn("ingestion", key(F.col("path"))))
+        spec = self.document.table
+        stated = materialize(stated_rows(footers, spec))
+        refused = stated.where("severity = 2").select("ingestion").distinct()
+        # One path for each file to read, which Spark's own file index holds as well.
+        paths = [row.path for row in footers.select("path", "ingestion").distinct().join(refused, "ingestion", "left_anti").collect()]
+        fields = [f"{quoted(f.raw_name)} {ddl_type(f.pq_type, f.logical_type)}" for f in spec.fields if "." not in f.raw_name]
+        plain = len(fields) == len(spec.fields)
+        reader = self.spark.read.schema(", ".join(fields)) if plain else self.spark.read
+        if paths:
+            read = reader.parquet(*[hadoop_path(path) for path in paths])
+            frame = read.withColumn("ingestion", F.regexp_extract(F.col("_metadata.file_name"), key_pattern, 1))
+        else:
+            frame = self.spark.createDataFrame([], ", ".join([*fields, "ingestion string"]))
+        unread = row_rows(footers.join(refused, "ingestion", "left_semi"))
+        return self.ingest(frame, token=token, time=time, stated=stated.unionByName(unread))
+
     def ingest(self, deliveries: DataFrame, only: Sequence[str] | None = None, token: str | None = None,
-               time: str | None = None) -> DataFrame:
+               time: str | None = None, stated: DataFrame | None = None) -> DataFrame:
         """Take in every delivery of a frame with an ``ingestion`` column (or ``only`` some); returns manifest rows.
 
         ``token`` tells one attempt from another. Repeating an attempt, as a restarted stream does, publishes
-        into the same folders and adds nothing to the manifest twice.
+        into the same folders, writes its report over the earlier one and adds nothing to the manifest twice. ``stated`` holds
+        name and type checks per delivery, known from its files, which take the place of those of the frame.
         """
         spec = self.document.table
         time = time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
@@ -95,7 +127,10 @@ class Dataset:
         if only is not None:
             frame = frame.where(F.col("ingestion").isin(*map(str, only)))
 
-        report = materialize(validate(frame, spec, by=["ingestion"]))
+        report = validate(frame, spec, by=["ingestion"])
+        if stated is not None:
+            report = report.where(~F.col("check").isin(*STATED)).unionByName(stated.select(*report.columns))
+        report = materialize(report)
         keyed = table_level(report, ["ingestion"]).select(
             "ingestion", "validated", self.uid_of(F.col("ingestion"), token).alias("uid")).collect()
         if any(row.ingestion is None for row in keyed):
@@ -110,11 +145,12 @@ class Dataset:
 
         paths = {key: self._folder(key, uids[key]) for key in passed}
         files = self._publish(frame, paths, token) if passed else {}
-        stamped = report.where(F.col("ingestion").isin(*levels)).select(
+        level = table_level(report, ["ingestion"])
+        stamped = report.join(level, "ingestion").select(
             *report.columns, self.uid_of(F.col("ingestion"), token).alias("uid"), F.lit(time).alias("ingest_time"),
-            F.col("ingestion").isin(*passed).alias("accepted"))
+            (F.col("validated") < 2).alias("accepted"))
         if levels:
-            append_report(stamped, self.reports_path)
+            write_report(stamped, self.reports_path, token)
         new_rows = self._manifest_rows(paths, refused, levels, uids, rows, files, len(deliveries.columns) - 1, time)
         added = self.spark.createDataFrame(new_rows, MANIFEST_DDL)
         if new_rows:
@@ -148,23 +184,23 @@ class Dataset:
         return out
 
     def read(self) -> DataFrame:
-        """The published rows: of every delivery the newest accepted attempt."""
-        accepted = latest(self.manifest().where("status = 'accepted'")).select("ingestion", "uid", "path")
-        listed = accepted.limit(LISTED_FOLDERS + 1).collect()
-        if not listed:
+        """The published rows: of every delivery the newest accepted attempt; the delivery's columns come last.
+
+        A join with the manifest selects them, whatever their number; Spark prunes the folders by it where the manifest is small.
+        """
+        if not path_exists(self.spark, self.published_path):
             return self._nothing()
-        if len(listed) <= LISTED_FOLDERS:  # only the folders named are listed, whatever else lies beside them
-            return self._published([row.path for row in listed])
+        accepted = latest(self.manifest().where("status = 'accepted'"))
         named = accepted.select("ingestion", F.col("uid").alias(ATTEMPT))
-        return self._published([self.published_path]).join(named, ["ingestion", ATTEMPT], "left_semi")
+        published = self._published()
+        return published.join(named, ["ingestion", ATTEMPT], "left_semi").select(*[ref(c) for c in published.columns])
 
-    def _published(self, paths: list[str]) -> DataFrame:
+    def _published(self) -> DataFrame:
         """Folder names are text: a delivery named ``007`` or an identifier of digits must not become a number."""
-        reader = self.spark.read.option("basePath", self.published_path)
-        found = reader.parquet(*paths).schema
-        as_text = T.StructType([
-            T.StructField(f.name, T.StringType()) if f.name in ("ingestion", ATTEMPT) else f for f in found.fields])
-        return reader.schema(as_text).parquet(*paths)
+        found = self.spark.read.parquet(self.published_path).schema
+        keys = ("ingestion", ATTEMPT)
+        as_text = T.StructType([f for f in found.fields if f.name not in keys] + [T.StructField(k, T.StringType()) for k in keys])
+        return self.spark.read.schema(as_text).parquet(self.published_path)
 
     def _nothing(self) -> DataFrame:
         fields = [f"{quoted(f.raw_name)} {ddl_type(f.pq_type, f.logical_type)}"

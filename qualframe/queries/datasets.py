@@ -147,12 +147,20 @@ def default_constraints_from_data(spark, d):
     return inference.default_constraints(inference.data_bounds(table(spark, d, "lineitem")))
 
 
-@query("row_fingerprint", """SELECT strftime(o_orderdate, '%Y') AS ingestion, count(*) AS rows,
-  CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
+def _part(c: str) -> str:
+    """A part of a hashed key: its length, a colon, its text."""
+    return f"CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR)"
+
+
+_PARTS = " || ".join(map(_part, ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+
+
+@query("row_fingerprint", f"""SELECT strftime(o_orderdate, '%Y') AS ingestion, count(*) AS rows,
+  CAST(sum(CAST(CAST('0x' || substr(md5({_PARTS}), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
   FROM orders GROUP BY 1""")
 def fingerprint(spark, d):
     df = table(spark, d, "orders").withColumn("ingestion", F.date_format("o_orderdate", "yyyy"))
-    return row_fingerprint(df, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["ingestion"], "md5")
+    return row_fingerprint(df, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], ["ingestion"], "md5")
 
 
 @query("content_hash")
@@ -184,7 +192,7 @@ def uid_decode(spark, d):
     return table(spark, d, "orders").select("o_orderkey", decode_uid(F.expr(_TEXT.replace("VARCHAR", "STRING"))).alias("number"))
 
 
-_HASHED = "(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)), 1, 15) AS BIGINT) % 100000000000000)"
+_HASHED = f"(CAST('0x' || substr(md5({_part('o_orderkey')} || {_part('o_custkey')}), 1, 15) AS BIGINT) % 100000000000000)"
 
 
 @query("uid_assign", f"SELECT o_orderkey, {_encoded('h')} AS uid FROM (SELECT o_orderkey, {_HASHED} AS h FROM orders)")
@@ -202,7 +210,7 @@ _LAST = "[" + ", ".join(f"'{n}'" for n in LAST_NAMES) + "]"
 
 
 @query("synthetic_names", f"""SELECT c_custkey, {_FIRST}[h % 20 + 1] || ' ' || {_LAST}[(h // 20) % 20 + 1] AS name FROM
-  (SELECT c_custkey, CAST('0x' || substr(md5('7|' || CAST(c_custkey AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM customer)""")
+  (SELECT c_custkey, CAST('0x' || substr(md5('1:7' || {_part('c_custkey')}), 1, 15) AS BIGINT) AS h FROM customer)""")
 def synthetic_names(spark, d):
     """Names for every customer, through a Parquet file and back."""
     path = scratch_path(spark, "names")

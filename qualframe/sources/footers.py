@@ -82,7 +82,12 @@ def _footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def footer_rows(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """One row per file, row group and leaf column."""
-    return spread_files(list_files(spark, path, pattern).select("path")).mapInPandas(_footer_rows, ROW_DDL)
+    return footers_of(list_files(spark, path, pattern).select("path"))
+
+
+def footers_of(files: DataFrame) -> DataFrame:
+    """The same for the files of a frame with ``path``."""
+    return spread_files(files).mapInPandas(_footer_rows, ROW_DDL)
 
 
 def footer_profile(rows: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,11 @@ from urllib.parse import quote
 from pyspark import cloudpickle
 
 
+def hadoop_path(path: str) -> str:
+    """A path as Spark lists it, for a reader that takes patterns: characters of patterns stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def open_file(path: str):
     """A seekable binary file at a path as Spark lists it: nothing in it is percent-encoded.
 

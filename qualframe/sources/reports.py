@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folder of one attempt.
+BATCH = "batch"
 STAMPS = ("ingestion", "uid", "ingest_time", "accepted")
 
 
@@ -15,8 +17,14 @@ def append_report(report: DataFrame, path: str) -> None:
     report.write.mode("append").parquet(path)
 
 
+def write_report(report: DataFrame, path: str, token: str) -> None:
+    """The report of one attempt, in a folder of its own: written again, it takes the place of what is there."""
+    batch = F.sha2(F.lit(token).cast("binary"), 256)
+    report.withColumn(BATCH, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(BATCH)
 
 
 def report_json(report: DataFrame, by: Sequence[str] = ("ingestion",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from qualframe.document import Document, DocumentError, Rule
 from qualframe.plans.ingest import Dataset, part_name, row_trend, split_by_gate
 from qualframe.queries.registry import spec_of
-from qualframe.streaming.incremental import ingest_incremental, new_files
+from qualframe.streaming.incremental import ingest_incremental, ingest_new_files, new_files
 
 
 @pytest.fixture
@@ -92,15 +92,87 @@ def test_rows_without_a_delivery_are_an_error(spark, tmp_path, orders):
         dataset.ingest(orders.withColumn("ingestion", F.when(F.col("o_orderkey") > 5, F.col("ingestion"))))
 
 
-def test_many_folders_are_selected_by_a_join(spark, tmp_path, orders, monkeypatch):
-    from qualframe.plans import ingest
-
+def test_the_newest_attempt_is_read_with_one_column_order(spark, tmp_path, orders):
     dataset = make(spark, tmp_path, orders)
     dataset.ingest(orders, time="2026-01-01")
     dataset.ingest(orders.where("ingestion = '1996' AND o_orderkey < 500"), time="2026-01-02")
-    listed = dataset.read()
-    monkeypatch.setattr(ingest, "LISTED_FOLDERS", 1)
-    assert sorted(map(str, dataset.read().select(*listed.columns).collect())) == sorted(map(str, listed.collect()))
+    found = dataset.read()
+    assert found.columns == [c for c in orders.columns if c != "ingestion"] + ["ingestion", "attempt"]
+    assert found.where("ingestion = '1996'").agg(F.max("o_orderkey")).first()[0] < 500
+
+
+def test_a_retried_attempt_writes_its_report_once(spark, tmp_path, orders, monkeypatch):
+    dataset = make(spark, tmp_path, orders)
+    with monkeypatch.context() as patch:  # the job dies between report and manifest
+        patch.setattr(Dataset, "_manifest_rows", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            dataset.ingest(orders, token="t")
+    assert dataset.manifest().count() == 0
+    dataset.ingest(orders, token="t")
+    assert dataset.reports().groupBy("ingestion", "column", "check").count().where("count > 1").count() == 0
+    assert dataset.reports().select("ingestion").distinct().count() == dataset.manifest().count()
+
+
+def faulty_files(spark, folder, orders):
+    """One file per delivery: fine, without a column, with another type, with one more column, in another order; one of two files."""
+    part = lambda year: orders.where(F.col("ingestion") == year).drop("ingestion").limit(50).toPandas()
+    folder.mkdir(exist_ok=True)
+    frames = {
+        "a": part("1995"), "b": part("1996").drop(columns="o_totalprice"),
+        "c": part("1995").assign(o_custkey=lambda f: f.o_custkey.astype("int32")), "d": part("1996").assign(x=1),
+        "e": part("1995")[["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]],
+        "f-1": part("1995"), "f-2": part("1996").drop(columns="o_orderstatus"),
+    }
+    for name, frame in frames.items():
+        frame.to_parquet(folder / f"{name}.parquet", coerce_timestamps="us", index=False)
+
+
+NAMES = {"a": {("columns_validated", 0)}, "b": {("missing_columns", 2)}, "c": {("columns_validated", 0)}, "d": {("extra_columns", 1)},
+         "e": {("column_order", 1)}, "f": {("missing_columns", 2)}}
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_files_are_checked_one_by_one(spark, tmp_path, orders, streamed):
+    dataset, source = make(spark, tmp_path, orders), tmp_path / "in"
+    faulty_files(spark, source, orders)
+    if streamed:
+        ingest_new_files(dataset, str(source), str(tmp_path / "state"), r"^([a-z])", files_per_batch=3).awaitTermination()
+    else:
+        dataset.ingest_files(str(source), r"^([a-z])")
+    report = dataset.reports().join(dataset.history().select("uid"), "uid", "left_semi").collect()
+    found = {}
+    for r in report:
+        if r.check in ("columns_validated", "missing_columns", "extra_columns", "column_order", "different_columns"):
+            found.setdefault(r.ingestion, set()).add((r.check, r.severity))
+    assert found == NAMES
+    assert {(r.ingestion, r.value) for r in report if r.check == "parquet_type"} == {("c", "int64:int32")}
+    assert {r.ingestion: (r.status, r.rows) for r in dataset.history().collect()} == {
+        "a": ("accepted", 50), "b": ("rejected", 50), "c": ("rejected", 50), "d": ("accepted", 50), "e": ("accepted", 50), "f": ("rejected", 100)}
+    assert dataset.read().groupBy("ingestion").count().orderBy("ingestion").collect() == [("a", 50), ("d", 50), ("e", 50)]
+
+
+def test_a_delivery_in_two_batches_is_whole(spark, tmp_path, orders):
+    dataset, source = make(spark, tmp_path, orders), tmp_path / "in"
+    source.mkdir()
+    run = lambda: ingest_new_files(dataset, str(source), str(tmp_path / "state"), r"^([a-z])").awaitTermination()
+    for number in (1, 2):
+        orders.drop("ingestion").where(F.col("o_orderkey") % 2 == number - 1).toPandas().to_parquet(
+            source / f"g-{number}.parquet", coerce_timestamps="us", index=False)
+        run()
+    assert dataset.read().count() == orders.count()
+
+
+def test_a_second_part_is_refused_loudly(spark, tmp_path, orders):
+    dataset, source = make(spark, tmp_path, orders), tmp_path / "in"
+    source.mkdir()
+    rows = orders.drop("ingestion")
+    run = lambda: ingest_incremental(
+        dataset, new_files(dataset, str(source), rows.schema, r"^([a-z])"), str(tmp_path / "state")).awaitTermination()
+    rows.limit(5).toPandas().to_parquet(source / "g-1.parquet", coerce_timestamps="us", index=False)
+    run()
+    rows.limit(6).toPandas().to_parquet(source / "g-2.parquet", coerce_timestamps="us", index=False)
+    with pytest.raises(Exception, match="taken in before"):
+        run()
 
 
 def test_types_of_published_files(spark, tmp_path, orders):

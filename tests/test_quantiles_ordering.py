@@ -58,27 +58,29 @@ def test_approximate(spark):
     assert abs(found.quantiles[0.5] - 5000) <= 2
 
 
-def test_index_is_the_same_small_and_distributed(spark):
+def test_index_follows_the_order(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") < 1000, 5).otherwise(F.col("id") % 40).alias("a"), (F.col("id") % 7).alias("b"))
-    rows = lambda frame: sorted((r["n"], r.a, r.b) for r in frame.collect())
-    small = rows(with_index(df, [F.col("a").desc()], "n"))
-    assert rows(with_index(df, [F.col("a").desc()], "n", small=10)) == small
-    assert [n for n, _, _ in small] == list(range(3000))
-    assert [(a, b) for _, a, b in small] == sorted(((r.a, r.b) for r in df.collect()), key=lambda t: (-t[0], t[1]))
+    found = sorted((r["n"], r.a, r.b) for r in with_index(df, [F.col("a").desc()], "n").collect())
+    assert [n for n, _, _ in found] == list(range(3000))
+    assert [(a, b) for _, a, b in found] == sorted(((r.a, r.b) for r in df.collect()), key=lambda t: (-t[0], t[1]))
 
 
-def test_copies_are_numbered_in_blocks(spark, monkeypatch):
-    from qualframe.operators import ordering
+def test_no_task_holds_more_than_its_share_of_copies(spark):
+    df = spark.range(40_000).select((F.col("id") % 3).alias("a"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # Spark joins small partitions, whatever is in them
+    try:
+        numbered = with_index(df, [F.col("a")], "n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 40_000 / 8
+    assert numbered.groupBy("a").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).orderBy("a").collect() == [
+        (0, 0, 13333), (1, 13334, 26666), (2, 26667, 39999)]
 
-    monkeypatch.setattr(ordering, "BLOCK", 7)
-    df = spark.range(100).select(F.lit(1).alias("a")).unionByName(spark.range(3).select(F.lit(0).alias("a")))
-    found = sorted((r["n"], r.a) for r in with_index(df, [F.col("a")], "n").collect())
-    assert found == [(i, 0 if i < 3 else 1) for i in range(103)]
 
-
-def test_rank_groups_distributed(spark):
+def test_rank_groups(spark):
     df = spark.range(500).selectExpr("id AS v", "id % 3 AS n")
-    order = [F.col("n").desc(), F.col("v")]
-    rows = lambda frame: sorted((r["i"], r.v) for r in frame.select("i", "v").collect())
-    assert rows(rank_groups(df, order, "i", small=5)) == rows(rank_groups(df, order, "i"))
+    found = {r["i"]: (r.v, r.n) for r in rank_groups(df, [F.col("n").desc(), F.col("v")], "i").collect()}
+    wanted = sorted(((v, v % 3) for v in range(500)), key=lambda t: (-t[1], t[0]))
+    assert [found[i] for i in range(500)] == wanted
