@@ -7,7 +7,7 @@ full text by a banded bit-parallel automaton: one bit per diagonal of the band a
 integer, one step per character.
 
 Segments shared by many lines (``CROWDED``) are not joined by that segment alone: what is left of the lines outside it must again
-share a segment, so the join goes on with both, and once more, which loses no pair. Everything is DataFrame and SQL functions.
+share a segment, so the join goes on with both, up to ``DEEPER`` times, which loses no pair. Everything is DataFrame and SQL functions.
 
 Lines are classes under chains of links. The first line of a class, by document and place, is kept.
 
@@ -19,6 +19,8 @@ Lines travel as 64-bit hashes; two different lines with the same hash are found
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,17 @@ from qualframe.llm.components import components
 EDITS = 2
 SHORTEST = 24
 # Lines that share a segment, from which more segments are asked for; how many more.
-CROWDED, DEEPER = 64, 2
+CROWDED, DEEPER = 8, 8
 # Characters after which a candidate is looked at again.
 HEAD = 12
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _wide(text: Column) -> Column:
+    """Four bytes for each character, so that a part is cut out without counting characters from the start."""
+    return F.encode(text, "UTF-32")
+
+
 def _lookups(rows: DataFrame, edits: int) -> DataFrame:
     """``rows`` (with ``rest`` and ``below``, the key of the level above) once per substring to look up.
 
@@ -43,7 +50,8 @@ def _lookups(rows: DataFrame, edits: int) -> DataFrame:
     wanted = [(i, shift, shorter) for shorter in range(edits + 1) for i in range(edits + 1)
               for shift in range(-i, i + 1) if abs(shift - shorter) <= edits - i]
     specs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "shift", "shorter"), spec)]) for spec in wanted])
-    each = rows.withColumn("n", F.length("rest")).select("*", F.inline(specs))
+    each = rows.withColumn("wide", _wide(F.col("rest"))).withColumn("n", F.call_function("div", F.octet_length("wide"), F.lit(4)).cast("int"))
+    each = each.select("*", F.inline(specs))
     parts = edits + 1
     other = F.col("n") - F.col("shorter")
     base = F.call_function("div", other, F.lit(parts)).cast("int")
@@ -52,23 +60,28 @@ def _lookups(rows: DataFrame, edits: int) -> DataFrame:
     sized = each.withColumn("size", base + (F.col("i") >= first_long).cast("int")).withColumn(
         "start", 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("shift"))
     fits = (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")) & (other >= parts)
-    part = F.col("rest").substr(F.col("start"), F.col("size"))
+    part = F.substring("wide", 4 * F.col("start") - 3, 4 * F.col("size"))
     return sized.where(fits).withColumn("key", F.xxhash64("below", other, "i", part)).withColumn(
-        "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift", "n")
+        "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift", "n", "wide")
 
 
 def _strip(a: Column, b: Column) -> Column:
     """Both texts without their common beginning and end."""
-    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    steps = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
 
     def same(most: Column, part) -> Column:
+        """The longest stretch that is equal, found by halving."""
         return F.aggregate(steps, F.lit(0), lambda done, step: F.when(
-            (step <= most - done) & (part(a, done, step) == part(b, done, step)), done + step).otherwise(done))
+            (step <= most - done) & part(done, step), done + step).otherwise(done))
+
+    def stripped(x: Column, y: Column, m: Column, n: Column) -> Column:
+        shorter = F.least(m, n)
+        begins = lambda done, step: F.substring(x, 4 * done + 1, 4 * step) == F.substring(y, 4 * done + 1, 4 * step)
+        ends = lambda done, step: F.substring(x, 4 * (m - done - step) + 1, 4 * step) == F.substring(y, 4 * (n - done - step) + 1, 4 * step)
+        return let(same(shorter, begins), lambda p: let(same(shorter - p, ends), lambda s: F.struct(
+            F.substring(a, p + 1, m - p - s).alias("a"), F.substring(b, p + 1, n - p - s).alias("b"))))
 
-    begin = same(F.least(F.length(a), F.length(b)), lambda t, done, step: F.substring(t, done + 1, step))
-    return let(begin, lambda p: let(
-        same(F.least(F.length(a), F.length(b)) - p, lambda t, done, step: F.substring(t, F.length(t) - done - step + 1, step)),
-        lambda s: F.struct(F.substring(a, p + 1, F.length(a) - p - s).alias("a"), F.substring(b, p + 1, F.length(b) - p - s).alias("b"))))
+    return let(_wide(a), lambda x: let(_wide(b), lambda y: let(F.length(a), lambda m: let(F.length(b), lambda n: stripped(x, y, m, n)))))
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -149,14 +162,14 @@ def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataF
     rows = stored(shared_segments(lines, edits), "shared-segments")
     ids = stored(rows.select("id").distinct(), "candidates")
     texts = stored(among(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line")), "candidate-lines")
-    found = None
+    found = []
     for level in range(DEEPER + 1):
         segments = rows.where("own")
         full = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key")
         single = segments if level == DEEPER else segments.join(full, "key", "left_anti")
         pairs = single.alias("s").join(rows.alias("p"), "key").where("s.id <> p.id").select(
             F.least("s.id", "p.id").alias("a"), F.greatest("s.id", "p.id").alias("b"))
-        found = pairs if found is None else found.union(pairs)
+        found.append(stored(pairs.distinct(), "pairs"))
         if level == DEEPER:
             break
         # Lines under a crowded key go on with what they have outside of it, a line break for the gap.
@@ -169,7 +182,7 @@ def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataF
             break
         rows = stored(_lookups(left, edits).where("shorter = fixed").withColumn("own", F.expr("own AND was_own")).select(
             "id", "key", "start", "size", "shorter", "own", "rest").distinct(), "crowded-segments")
-    one = found.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    one = reduce(DataFrame.union, found).distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
