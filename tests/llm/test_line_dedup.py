@@ -1,6 +1,7 @@
 """Line classes against brute force over all pairs, and the edit distance against its definition."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,9 +49,13 @@ def brute(rows, edits=line_dedup.EDITS, shortest=line_dedup.SHORTEST):
             line = group[line]
         return line
 
+    counts = {line: Counter(line) for line in lines}
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= shortest and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if min(len(a), len(b)) < shortest or abs(len(a) - len(b)) > edits:
+                continue
+            # Each edit changes the counts of characters by two at most.
+            if ((counts[a] - counts[b]) + (counts[b] - counts[a])).total() <= 2 * edits and distance(a, b) <= edits:
                 group[root(a)] = root(b)
     first = {}
     for line in lines:
@@ -66,7 +71,7 @@ def found(frame):
 def test_within_is_the_edit_distance(spark, edits):
     rng = random.Random(edits)
     rows = []
-    for _ in range(600):
+    for _ in range(300):
         a = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 14)))
         rows.append((a, edited(a, rng.randint(0, edits + 2), rng)))
     rows += [("", ""), ("", "abc"), ("x" * 70_000 + "a" + "y" * 70_000, "x" * 70_000 + "bc" + "y" * 70_000)]
@@ -80,12 +85,12 @@ def test_links_lose_no_pair(spark, crowded):
     """Families of edited copies, with crowded segments at every level."""
     rng = random.Random(9)
     bases = ["".join(rng.choice("abcde ") for _ in range(rng.randint(24, 60))).strip() for _ in range(4)]
-    lines = sorted({edited(b, rng.randint(0, 5), rng).strip() for b in bases for _ in range(40)})
+    lines = sorted({edited(b, rng.randint(0, 5), rng).strip() for b in bases for _ in range(25)})
     lines = [line for line in lines if len(line) >= 24]
     frame = spark.createDataFrame(list(enumerate(lines)) + [(0, lines[0])], "id bigint, line string")
     got = {(r.a, r.b) for r in line_dedup.links(frame, crowded=crowded).collect()}
     assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2}
-    assert len(got) > 50
+    assert len(got) > 30
 
 
 def test_classes_match_brute_force(spark):
