@@ -32,8 +32,9 @@ travels(__name__)
 # Documents the model is fitted on, at most.
 SAMPLE = 16_000
 # Features kept for fitting, at most; each must occur in so many sampled documents and differ by so many standard errors.
-FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 5, 3.0
-L1, COUNTERFACTUAL, STEPS, RATE = 5e-5, 1.0, 300, 0.1
+FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 4, 4.5
+# The L1 term is L1 / sqrt(documents), as the noise of a weight is.
+L1, COUNTERFACTUAL, STEPS, RATE = 6e-3, 1.0, 300, 0.1
 THRESHOLD = 0.3
 REMEMBERED = 500_000
 
@@ -161,7 +162,7 @@ def fit(known: np.ndarray, rows: pa.Table, rate: float) -> Model:
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient ** 2
         scale = RATE / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-6)
         weights -= scale * first / (1 - 0.9 ** step)
-        weights[:-1] = np.sign(weights[:-1]) * np.maximum(np.abs(weights[:-1]) - scale[:-1] * L1, 0)
+        weights[:-1] = np.sign(weights[:-1]) * np.maximum(np.abs(weights[:-1]) - scale[:-1] * L1 / np.sqrt(n), 0)
     return Model({int(f): float(w) for f, w in zip(known, weights) if w}, float(weights[-1]))
 
 
