@@ -12,14 +12,17 @@ from dataclasses import replace
 from typing import Any, Callable, Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualframe.document import Document, DocumentError, TableSpec
 from qualframe.functions.columns import has_column, leaf
 from qualframe.functions.predicates import parsed_value
 from qualframe.operators.checks import Check, null_check, rule_checks, run_checks, table_checks
+from qualframe.operators.deliveries import name_rows
 from qualframe.operators.relational import validate_relational
 from qualframe.operators.validate import name_checks, type_checks, unique_rows, validate
+from qualframe.session import materialize
 from qualframe.sources.footers import footer_profile, footer_rows
 from qualframe.types import is_time
 
@@ -60,8 +63,11 @@ def proven(constraint: str, value: Any, dtype: T.DataType, stats: Row) -> bool:
     return low is not None and high is not None and _PROOFS[constraint](low, high, _comparable(value, dtype))
 
 
-def settled(check: Check, df: DataFrame, stats: Mapping[str, Row]) -> Check:
-    """The same check with numbers instead of counts where the footers know them."""
+def settled(check: Check, df: DataFrame, stats: Mapping[str, Row], total: int) -> Check:
+    """The same check with numbers instead of counts where all footers know them; ``total`` are the rows of all files.
+
+    Rows of files that lack the column count as null.
+    """
     found = stats.get(check.column)
     if check.column is None or found is None or found.nulls is None:
         return check
@@ -69,32 +75,45 @@ def settled(check: Check, df: DataFrame, stats: Mapping[str, Row]) -> Check:
     if is_list:
         return check
     if check.check == "nulls":
-        return replace(check, evaluated=found.rows, failed=found.nulls)
+        return replace(check, evaluated=total, failed=found.nulls + total - found.rows)
     if check.check == "constraint" and proven(check.constraint, check.value, dtype, found):
         return replace(check, evaluated=found.rows - found.nulls, failed=0)
     return check
 
 
-def file_statistics(spark: SparkSession, path: str | list[str]) -> dict[str, Row]:
-    """One row per column: as many as the table is wide."""
-    return {row["column"]: row for row in footer_profile(footer_rows(spark, path)).collect()}
+def file_statistics(footers: DataFrame) -> tuple[dict[str, Row], int]:
+    """One row per column, as many as the table is wide, and the rows of all files."""
+    groups = footers.groupBy("path", "row_group").agg(F.max("rows").alias("n"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return {row["column"]: row for row in footer_profile(footers).collect()}, total
+
+
+def _columns_of_all(spark: SparkSession, path: str, stats: Mapping[str, Row]) -> DataFrame:
+    """The table with the columns of all its files; with those of one file where they disagree about a type."""
+    agree = all(row.types == 1 for row in stats.values())
+    return spark.read.option("mergeSchema", agree).parquet(path)
 
 
 def validate_files(spark: SparkSession, path: str, spec: TableSpec, nulls_allowed: bool = False) -> DataFrame:
-    """The same report as ``validate`` gives for the table at ``path``, with exact file types and as little reading as possible."""
-    stats = file_statistics(spark, path)
-    df = spark.read.parquet(path)
+    """The same report as ``validate`` gives for the table at ``path``, with exact file types and as little reading as possible.
+
+    Names are checked file by file: a column that some of the files lack is missing.
+    """
+    footers = materialize(footer_rows(spark, path))
+    stats, total = file_statistics(footers)
+    df = _columns_of_all(spark, path, stats)
     # Files that disagree about a column's type have no type the document could state.
     physical = {c: ("mixed", "mixed") if row.types > 1 else (row.physical, row.logical) for c, row in stats.items()}
     present = [field for field in spec.fields if has_column(df.schema, field.raw_name)]
-    counted = [Check(None, "rows", max((row.rows for row in stats.values()), default=0), 0, 0)]
-    counted += name_checks(df.columns, spec) + type_checks(df, spec, physical)
+    counted = [Check(None, "rows", total, 0, 0), *type_checks(df, spec, physical)]
     for field in present:
         for check in (null_check(df, field.raw_name), *rule_checks(df, field, nulls_allowed)):
-            counted.append(settled(check, df, stats))
+            counted.append(settled(check, df, stats, total))
     counted += table_checks(df, spec)
     is_open = any(not isinstance(check.evaluated, int) for check in counted)
     parts = [run_checks(df if is_open else spark.range(1), counted)]
+    named = name_rows(footers.withColumn("files", F.lit("")), spec, "files").drop("files")
+    parts.append(named if stats else run_checks(spark.range(1), name_checks(df.columns, spec)))  # files without rows have no footers to compare
     parts += unique_rows(df, spec, (), {field.raw_name for field in present})
     report = parts[0]
     for part in parts[1:]:
@@ -116,12 +135,12 @@ def validate_document(document: Document, data: DataFrame | Mapping[str, DataFra
 
 def open_columns(spark: SparkSession, path: str, spec: TableSpec) -> list[str]:
     """Columns the scan of ``validate_files`` still has to read, without starting it."""
-    stats = file_statistics(spark, path)
-    df = spark.read.parquet(path)
+    stats, total = file_statistics(footer_rows(spark, path))
+    df = _columns_of_all(spark, path, stats)
     found = []
     for field in spec.fields:
         if has_column(df.schema, field.raw_name):
             checks = [null_check(df, field.raw_name), *rule_checks(df, field)]
-            if any(not isinstance(settled(check, df, stats).evaluated, int) for check in checks):
+            if any(not isinstance(settled(check, df, stats, total).evaluated, int) for check in checks):
                 found.append(field.raw_name)
     return found

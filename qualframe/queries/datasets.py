@@ -91,7 +91,7 @@ def _footer_sql(types: dict[str, tuple[str, str]]) -> str:
 
     return " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST({i} AS INTEGER) AS position, '{pq}' AS physical, '{logical}' AS logical, "
-        f"CAST(1 AS BIGINT) AS types, count(*) AS rows, count(*) - count({c}) AS nulls, true AS complete, "
+        f"CAST(1 AS BIGINT) AS types, count(*) AS rows, count(*) - count({c}) AS nulls, true AS complete, '{_ARROW[pq, logical]}' AS arrow_type, "
         + ", ".join(bound(side, c, pq, logical, slot) for slot in ("long", "double", "text") for side in ("min", "max"))
         + " FROM lineitem" for i, (c, (pq, logical)) in enumerate(types.items()))
 
@@ -101,6 +101,10 @@ _LINEITEM_TYPES = dict(zip(LINEITEM, [
     ("double", "none"), ("double", "none"), ("byte_array", "string"), ("byte_array", "string"), ("int64", "timestamp")]))
 
 
+_ARROW = {("int64", "none"): "int64", ("int32", "none"): "int32", ("double", "none"): "double", ("byte_array", "string"): "string",
+          ("int64", "timestamp"): "timestamp[us]"}
+
+
 @query("footer_profile", _footer_sql(_LINEITEM_TYPES))
 def footer_profile(spark, d):
     return footers.footer_profile(footers.footer_rows(spark, f"{d}/lineitem.parquet")).drop("row_groups")

@@ -22,7 +22,7 @@ from qualframe.sources.remote import open_file
 ROW_DDL = (
     "path string, row_group int, position int, column string, physical string, logical string, rows bigint, "
     "has_stats boolean, nulls bigint, min_long bigint, max_long bigint, min_double double, max_double double, "
-    "min_text string, max_text string, bytes bigint"
+    "min_text string, max_text string, bytes bigint, arrow string"
 )
 META_DDL = "path string, position int, column string, section string, json string"
 
@@ -52,6 +52,26 @@ def _slots(value) -> tuple[int | None, float | None, str | None]:
     return None, None, str(value)
 
 
+def _arrow_type(schema, path: str) -> str | None:
+    """The Arrow type of a leaf; members of lists and maps by their place, whatever their names in the file are."""
+    first, *rest = path.split(".")
+    if schema.get_field_index(path) >= 0:
+        return str(schema.field(path).type)
+    if schema.get_field_index(first) < 0:
+        return None
+    kind = schema.field(first).type
+    while rest:
+        step = rest.pop(0)
+        if hasattr(kind, "value_type") and not hasattr(kind, "key_type"):
+            kind, rest = kind.value_type, rest[1:] if rest else rest
+        elif hasattr(kind, "key_type"):
+            if rest:
+                kind, rest = (kind.key_type if rest[0] == "key" else kind.item_type), rest[1:]
+        elif hasattr(kind, "get_field_index") and kind.get_field_index(step) >= 0:
+            kind = kind.field(step).type
+    return str(kind)
+
+
 def _footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
 
@@ -59,7 +79,8 @@ def _footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
             with open_file(path) as source:
-                footer = pq.ParquetFile(source).metadata
+                file = pq.ParquetFile(source)
+                footer, schema = file.metadata, file.schema_arrow
             rows = []
             for group in range(footer.num_row_groups):
                 part = footer.row_group(group)
@@ -73,6 +94,7 @@ def _footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         path, group, position, column.path_in_schema, column.physical_type.lower(),
                         footer.schema.column(position).logical_type.type.lower(), part.num_rows, ranged, nulls,
                         low[0], high[0], low[1], high[1], low[2], high[2], column.total_compressed_size,
+                        _arrow_type(schema, column.path_in_schema),
                     ))
             frame = pd.DataFrame(rows, columns=names)
             for name in ("nulls", "min_long", "max_long"):
@@ -94,15 +116,16 @@ def footer_profile(rows: DataFrame, columns: Sequence[str] | None = None, by: Se
     """Per column over all files: types, rows, row groups, nulls, least and greatest value.
 
     ``types`` counts the distinct type pairs (more than one means the files disagree); ``complete`` says
-    whether every row group carries statistics.
+    whether every row group states its range or holds nulls only. ``nulls`` is null unless every row group states them.
     """
     if columns is not None:
         rows = rows.where(F.col("column").isin(list(columns)))
     return rows.groupBy(*by, "column").agg(
         F.min("position").alias("position"), F.min("physical").alias("physical"), F.min("logical").alias("logical"),
         F.count_distinct("physical", "logical").alias("types"),
-        F.sum("rows").alias("rows"), F.count("*").alias("row_groups"), F.sum("nulls").alias("nulls"),
-        F.bool_and("has_stats").alias("complete"),
+        F.sum("rows").alias("rows"), F.count("*").alias("row_groups"), F.when(F.bool_and(F.col("nulls").isNotNull()), F.sum("nulls")).alias("nulls"),
+        F.bool_and(F.col("has_stats") | F.coalesce(F.col("nulls") == F.col("rows"), F.lit(False))).alias("complete"),
+        F.min("arrow").alias("arrow_type"),
         F.min("min_long").alias("min_long"), F.max("max_long").alias("max_long"),
         F.min("min_double").alias("min_double"), F.max("max_double").alias("max_double"),
         F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),

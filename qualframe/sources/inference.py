@@ -84,10 +84,16 @@ def _uid(spark: SparkSession, text: str) -> str:
 
 
 def infer_document(spark: SparkSession, path: str, name: str, columns: Sequence[str] | None = None) -> Document:
-    """A document from the footers of all files below a path; from the data where footers lack statistics."""
+    """A document from the footers of all files below a path; ranges of numbers that footers lack come from a scan of those columns."""
     profile = with_bounds(footer_profile(footer_rows(spark, path), columns))
-    if not profile.agg(F.bool_and("complete").alias("ok")).first().ok:
-        profile = data_bounds(spark.read.parquet(path), columns)
+    lacking = profile.where(~F.col("complete") & F.col("physical").isin(*NUMERIC_PHYSICAL)).select("column").collect()
+    if lacking:  # as many as the table has columns
+        names = [row["column"] for row in lacking]
+        agree = profile.agg(F.max("types")).first()[0] == 1
+        bounds = data_bounds(spark.read.option("mergeSchema", agree).parquet(path), names).select(
+            "column", F.col("min").alias("_min"), F.col("max").alias("_max"))
+        profile = profile.join(bounds, "column", "left").withColumns(
+            {side: F.when(F.col("column").isin(names), F.col(f"_{side}")).otherwise(F.col(side)) for side in ("min", "max")})
     return Document(name=name, uid=_uid(spark, name), tables=(infer_table(profile, name),))
 
 

@@ -7,6 +7,7 @@ from qualframe.document import Document, DocumentError, Rule
 from qualframe.operators.validate import validate
 from qualframe.plans.statistics import open_columns, validate_document, validate_files
 from qualframe.queries.registry import spec_of
+from qualframe.sources.footers import footer_profile, footer_rows
 
 
 @pytest.fixture
@@ -74,3 +75,47 @@ def test_dispatch(spark):
         validate_document(relational, df)
     with pytest.raises(DocumentError):
         validate_document(tabular, {"t": df})
+
+
+def test_files_that_lack_a_column(spark, tmp_path):
+    """Nulls of rows whose file has no such column, as ``validate`` counts them; the names are checked file by file."""
+    import pandas as pd
+
+    pd.DataFrame({"id": range(10), "b": [None, *range(9)]}).astype({"b": "Int64"}).to_parquet(tmp_path / "1.parquet", index=False)
+    pd.DataFrame({"id": range(20)}).to_parquet(tmp_path / "2.parquet", index=False)
+    df = spark.read.option("mergeSchema", True).parquet(str(tmp_path))
+    spec = spec_of(df, "t").with_rules(b=[Rule("greater_equal", {"error": "0"})], id=[Rule("less", {"error": "5"})])
+    plain = lambda report: {(r["column"], r.check, r["constraint"]): (r.evaluated, r.failed) for r in report.collect()}
+    by_files, by_data = plain(validate_files(spark, str(tmp_path), spec)), plain(validate(df, spec))
+    assert by_files.pop((None, "missing_columns", None)) == (1, 1) and by_data.pop((None, "columns_validated", None)) == (1, 0)
+    assert by_files == by_data and by_files["b", "nulls", None] == (30, 21)
+
+
+def test_row_groups_without_statistics(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, stats in (("1", True), ("2", False)):
+        pq.write_table(pa.table({"id": pa.array([1, None, 3], pa.int64()), "t": pa.array([None] * 3, pa.string())}), tmp_path / f"{name}.parquet", write_statistics=stats)
+    df = spark.read.parquet(str(tmp_path))
+    spec = spec_of(df, "t").with_rules(id=[Rule("less", {"error": "3"})])
+    plain = lambda report: sorted(map(str, report.select("column", "check", "evaluated", "failed").collect()))
+    assert plain(validate_files(spark, str(tmp_path), spec)) == plain(validate(df, spec))
+    assert {r["column"]: r.nulls for r in footer_profile(footer_rows(spark, str(tmp_path))).collect()} == {"id": None, "t": None}
+
+
+def test_only_numbers_without_ranges_are_scanned(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from qualframe.sources import inference
+
+    seen, bounds = [], inference.data_bounds
+    monkeypatch.setattr(inference, "data_bounds", lambda df, columns: seen.append(list(columns)) or bounds(df, columns))
+    whole = pa.table({"id": pa.array([4, 9], pa.int64()), "x": pa.array([0.5, None]), "t": pa.array([None, None], pa.string())})
+    pq.write_table(whole, tmp_path / "1.parquet")
+    document = inference.infer_document(spark, str(tmp_path), "d")
+    assert seen == []
+    pq.write_table(whole, tmp_path / "2.parquet", write_statistics=["x", "t"])
+    again = inference.infer_document(spark, str(tmp_path), "d")
+    assert seen == [["id"]] and again.table.fields == document.table.fields
