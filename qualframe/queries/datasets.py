@@ -12,13 +12,13 @@ from qualframe.functions.fingerprint import row_fingerprint
 from qualframe.functions.transforms import FIRST_NAMES, LAST_NAMES, latlon_to_cell, miles_to_km, str_to_date, synthetic_name
 from qualframe.functions.uid import DIGITS, decode_uid, encode_uid, uid_collisions, with_uid
 from qualframe.functions.columns import clock_today, part_number
-from qualframe.operators.validate import validate
+from qualframe.operators.validate import NAME_SEVERITY, validate
 from qualframe.plans.ingest import Dataset, row_counts, row_trend
 from qualframe.queries.registry import query, spec_of, table
 from qualframe.queries.validation import LINEITEM, MONTHLY_REPORT, by_month, lineitem_spec, rule
 from qualframe.session import scratch_path
 from qualframe.sources import catalog, files, footers, hashes, inference, metadata, reports
-from qualframe.streaming.incremental import ingest_incremental, new_files
+from qualframe.streaming.incremental import ingest_incremental, ingest_new_files, new_files
 
 
 # ---- scans, sources, sinks ------------------------------------------------------------------------
@@ -414,6 +414,54 @@ def report_history(spark, d):
         F.max("severity").alias("validated"), F.count("*").alias("checks"), F.sum("failed").alias("failed"))
 
 
+_FAULTS = """SELECT event_id % 5 AS k, count(*) AS n FROM events GROUP BY 1"""
+
+
+@query("ingest_checked_files", f"""SELECT 'events_' || k AS ingestion, n AS rows, CASE WHEN k IN (1, 3) THEN 'rejected' ELSE 'accepted' END AS status,
+  CASE k WHEN 1 THEN 'missing_columns' WHEN 2 THEN 'extra_columns' WHEN 4 THEN 'column_order' ELSE 'columns_validated' END AS names,
+  CASE k WHEN 3 THEN 1 ELSE 0 END::BIGINT AS wrong_types, CASE WHEN k IN (1, 3) THEN 0 ELSE n END::BIGINT AS published FROM ({_FAULTS})""")
+def checked_files(spark, d):
+    """Deliveries of several files each: fine, without a column, with one more, with another type, in another order."""
+    dataset, source = _faulty_deliveries(spark, d)
+    dataset.ingest_files(source, r"^(\w+)-")
+    return _delivered(dataset)
+
+
+@query("stream_checked_files", f"""SELECT 'events_' || k AS ingestion, n AS rows, CASE WHEN k IN (1, 3) THEN 'rejected' ELSE 'accepted' END AS status,
+  CASE k WHEN 1 THEN 'missing_columns' WHEN 2 THEN 'extra_columns' WHEN 4 THEN 'column_order' ELSE 'columns_validated' END AS names,
+  CASE k WHEN 3 THEN 1 ELSE 0 END::BIGINT AS wrong_types, CASE WHEN k IN (1, 3) THEN 0 ELSE n END::BIGINT AS published FROM ({_FAULTS})""")
+def streamed_files(spark, d):
+    """The same as they arrive, in batches that cut deliveries in two."""
+    dataset, source = _faulty_deliveries(spark, d)
+    ingest_new_files(dataset, source, scratch_path(spark, "stream"), r"^(\w+)-", files_per_batch=7).awaitTermination()
+    return _delivered(dataset)
+
+
+def _faulty_deliveries(spark, d):
+    events = table(spark, d, "events")
+    source = scratch_path(spark, "deliveries")
+    spec = spec_of(events, "events")
+    for k in range(5):
+        part = events.where(F.col("event_id") % 5 == k)
+        part = {1: part.drop("value"), 2: part.withColumn("x", F.lit(1)), 3: part.withColumn("user_id", F.col("user_id").cast("int")),
+                4: part.select(*reversed(part.columns))}.get(k, part)
+        folder = scratch_path(spark, "staging")
+        part.repartition(2, "event_id").write.parquet(folder)
+        for i, row in enumerate(files.list_files(spark, folder, "*.parquet").orderBy("path").collect()):  # two files
+            copy_file(spark, row.path, f"{source}/events_{k}-{i}.parquet")
+    return Dataset(spark, scratch_path(spark, "events"), Document("events", "events01", (spec,))), source
+
+
+def _delivered(dataset):
+    history = dataset.history().select("ingestion", "uid", "rows", "status")
+    report = dataset.reports().join(history.select("uid"), "uid", "left_semi")
+    named = report.where(F.col("check").isin(*NAME_SEVERITY)).select("ingestion", F.col("check").alias("names"))
+    wrong = report.groupBy("ingestion").agg(F.count_if(F.col("check") == "parquet_type").alias("wrong_types"))
+    read = dataset.read().groupBy("ingestion").agg(F.count("*").alias("n"))
+    return history.join(named, "ingestion").join(wrong, "ingestion").join(read, "ingestion", "left").select(
+        "ingestion", "rows", "status", "names", "wrong_types", F.coalesce("n", F.lit(0)).alias("published"))
+
+
 @query("report_json", f"""SELECT ingestion, CAST(max(severity) AS INTEGER) AS validated, CAST(count(DISTINCT coalesce("column", '-')) AS INTEGER) AS columns,
   CAST(sum(failed) AS BIGINT) AS failed FROM ({MONTHLY_REPORT}) GROUP BY 1""")
 def report_json(spark, d):

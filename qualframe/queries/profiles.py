@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualframe.functions.columns import fill_template
 from qualframe.operators import binning, profile
 from qualframe.operators.quantiles import exact_quantiles
-from qualframe.plans.profiling import profile_table
+from qualframe.plans.profiling import column_details, profile_table
 from qualframe.queries.registry import query, spec_of, table
 from qualframe.queries.validation import INJECTED, injected
 from qualframe.session import materialize
@@ -76,7 +80,9 @@ def column_kinds(spark, d):
 
 _SUMMARY = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", '{kind}' AS type, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
-    count(*) FILTER (WHERE {'isnan(' + c + ')' if kind == 'double' else 'false'}) AS nan FROM {INJECTED}"""
+    count(*) FILTER (WHERE {'isnan(' + c + ')' if kind == 'double' else 'false'}) AS nan,
+    CAST(min({c}){' FILTER (WHERE NOT isnan(' + c + '))' if kind == 'double' else ''} AS VARCHAR) AS min,
+    CAST(max({c}){' FILTER (WHERE NOT isnan(' + c + '))' if kind == 'double' else ''} AS VARCHAR) AS max FROM {INJECTED}"""
     for c, kind in (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_returnflag", "string"), ("l_quantity", "double"),
                     ("l_extendedprice", "double"), ("l_empty", "bigint")))
 
@@ -84,7 +90,48 @@ _SUMMARY = " UNION ALL ".join(
 @query("column_profile", _SUMMARY)
 def column_profile(spark, d):
     found = profile.column_profile(injected(table(spark, d, "lineitem")))
-    return found.select("column", "type", "rows", "nulls", "nan")
+    return found.select("column", "type", "rows", "nulls", "nan", "min", "max")
+
+
+@query("distinct_values", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {v}) + max(CASE WHEN {v} IS NULL THEN 1 ELSE 0 END) AS \"distinct\" FROM {INJECTED}"
+    for c, v in (("l_orderkey", "l_orderkey"), ("l_returnflag", "l_returnflag"), ("l_quantity", "l_quantity"), ("zero", "l_linenumber % 2"))))
+def distinct_values(spark, d):
+    """Exact numbers, in which -0.0 and 0.0 are one value, all NaN are one, and null is one."""
+    df = injected(table(spark, d, "lineitem"))
+    df = df.withColumn("zero", (F.col("l_linenumber") % 2) * F.when(F.col("l_linenumber") % 4 == 0, -1.0).otherwise(1.0))
+    return profile.distinct_counts(df, ["l_orderkey", "l_returnflag", "l_quantity", "zero"])
+
+
+@query("table_profile", """WITH c AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1)
+  SELECT 'o_orderstatus' AS "column", 'categories' AS part, count(*)::BIGINT AS rows FROM c
+  UNION ALL SELECT 'o_orderpriority', 'categories', count(DISTINCT o_orderpriority)::BIGINT FROM orders
+  UNION ALL SELECT 'o_orderdate', 'summary', 12::BIGINT
+  UNION ALL SELECT 'o_totalprice', 'histogram', 42::BIGINT UNION ALL SELECT 'o_totalprice', 'outliers', 20::BIGINT
+  UNION ALL SELECT 'o_orderkey', 'histogram', 42::BIGINT UNION ALL SELECT 'o_orderkey', 'outliers', 20::BIGINT
+  UNION ALL SELECT 'o_custkey', 'histogram', 42::BIGINT UNION ALL SELECT 'o_custkey', 'outliers', 20::BIGINT""")
+def whole_profile(spark, d):
+    """Every page of the profile of a table: which parts each column has, and how many rows they have."""
+    df = table(spark, d, "orders")
+    found = profile_table(df)
+    parts = [part.agg(F.count("*").alias("rows")).select(F.lit(column).alias("column"), F.lit(name).alias("part"), "rows")
+             for column in found.kinds for name, part in column_details(df, found, column).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("date_stats", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS x FROM orders)
+  SELECT count(*)::BIGINT AS "count", CAST(min(x) AS VARCHAR) AS low, CAST(max(x) AS VARCHAR) AS high FROM d""")
+def date_stats(spark, d):
+    """A date column in the time summary: its days, not microseconds since 1970."""
+    found = profile.time_summary(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("x")), "x")
+    at = lambda name, c: F.max(F.when(F.col("statistic") == name, c))
+    day = F.to_date(F.timestamp_micros(F.col("value").cast("bigint"))).cast("string")
+    return found.agg(at("count", F.col("value")).cast("bigint").alias("count"), at("min", day).alias("low"), at("max", day).alias("high"))
+
+
+@query("template_fill", """SELECT DISTINCT 'data/' || o_orderstatus || '/raw/' || o_orderstatus || '.parquet' AS path FROM orders""")
+def template_fill(spark, d):
+    return table(spark, d, "orders").select(fill_template("data/{x}/raw/{x}.parquet", F.col("o_orderstatus")).alias("path")).distinct()
 
 
 _QUANTILES = (0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0)
