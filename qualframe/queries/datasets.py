@@ -268,7 +268,9 @@ def part_documents(spark, d) -> DataFrame:
         F.when(size % 7 != 0, F.col("p_brand")).alias("name"),
         F.when(size % 11 == 0, F.lit("Cube")).otherwise(F.lit("Tabular")).alias("datatype"),
         F.concat_ws("-", F.col("p_brand"), F.col("p_type")).alias("uid"))
-    model = F.struct(F.array(field(same), field(F.when(size % 5 == 0, same).otherwise(F.lit("bbbbbbbb")))).alias("fields"))
+    table_data = F.struct(F.when(size % 13 != 0, F.col("p_brand")).alias("name"), F.lit("cccccccc").alias("uid"))
+    status = F.struct(F.when(size % 8 != 0, F.lit("raw")).alias("status"))
+    model = F.struct(status.alias("status"), table_data.alias("table_data"), F.array(field(same), field(F.when(size % 5 == 0, same).otherwise(F.lit("bbbbbbbb")))).alias("fields"))
     text = F.to_json(F.struct(dataset.alias("dataset"), model.alias("model")))
     broken = F.when(k % 50 == 0, F.lit("{not json")).otherwise(text)
     return table(spark, d, "part").select(k.cast("string").alias("document"), broken.alias("text"))
@@ -280,6 +282,8 @@ _BROKEN_DOCUMENTS = f"""
   UNION ALL SELECT 'missing', 'dataset.' || u, 1 FROM part, (VALUES ('name'), ('datatype'), ('uid')) AS v(u) WHERE NOT ({_OK})
   UNION ALL SELECT 'missing', 'model', 1 FROM part WHERE NOT ({_OK})
   UNION ALL SELECT 'missing', 'dataset.name', 1 FROM part WHERE {_OK} AND p_size % 7 = 0
+  UNION ALL SELECT 'missing', 'model.table_data.name', 1 FROM part WHERE {_OK} AND p_size % 13 = 0
+  UNION ALL SELECT 'missing', 'model.status.status', 1 FROM part WHERE {_OK} AND p_size % 8 = 0
   UNION ALL SELECT 'unknown_datatype', 'Cube', 1 FROM part WHERE {_OK} AND p_size % 11 = 0
   UNION ALL SELECT 'duplicate_field_uid', NULL, 1 FROM part WHERE {_OK} AND p_size % 5 = 0
   UNION ALL SELECT 'duplicate_raw_name', NULL, 1 FROM part WHERE {_OK} AND p_size % 10 <> 3

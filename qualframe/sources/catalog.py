@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualframe.document import DOCUMENT_DDL
+from qualframe.document import DOCUMENT_DDL, FLAG_KEYS, NAME_KEYS, TYPE_KEYS
 from qualframe.functions.predicates import APPLICABLE
 
 DATATYPES = ("Tabular", "Relational")
@@ -44,10 +44,50 @@ def _each(items: Column, issues_of) -> Column:
     return F.coalesce(F.flatten(F.transform(items, issues_of)), F.array().cast(_ISSUES))
 
 
+# Paths whose JSON type is fixed, with the start of its name: in a document, and in each field.
+_PATHS = {"dataset": "OBJECT", "dataset.name": "STRING", "dataset.datatype": "STRING", "dataset.uid": "STRING", "model": "OBJECT",
+          "model.table_data": "OBJECT", "model.table_data.name": "STRING", "model.table_data.uid": "STRING", "model.status": "OBJECT",
+          "model.status.status": "STRING", "model.fields": "ARRAY", "model.relational": "ARRAY"}
+_FIELD_PATHS = {"names": "OBJECT", "types": "OBJECT", "flags": "OBJECT", "constraints": "ARRAY",
+                **{f"names.{key}": "STRING" for key in NAME_KEYS}, **{f"types.{key}": "STRING" for key in TYPE_KEYS},
+                **{f"flags.{key}": "BOOLEAN" for key in FLAG_KEYS}}
+
+
+def _wrong_types() -> Column:
+    """For text that is JSON but not of the fixed layout: the paths of another type."""
+    def misfits(value: str, paths: dict[str, str], prefix: Column) -> Column:
+        cases = []
+        for path, wanted in paths.items():
+            kind = F.expr(f"schema_of_variant(try_variant_get({value}, '$.{path}', 'variant'))")
+            cases.append((kind.isNotNull() & (kind != "VOID") & ~kind.startswith(wanted), "wrong_type", F.concat(prefix, F.lit(path))))
+        return _issues(*cases)
+
+    fields = F.expr("try_variant_get(_json, '$.model.fields', 'array<variant>')")
+    of_fields = F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("i")))
+    each = F.flatten(F.transform(of_fields, lambda x: F.filter(F.array(*[
+        F.struct(F.call_function("schema_of_variant", F.try_variant_get(x["f"], f"$.{path}", "variant")).alias("kind"), F.lit(wanted).alias("wanted"),
+                 F.concat(F.lit("model.fields["), x["i"].cast("string"), F.lit(f"].{path}")).alias("path"))
+        for path, wanted in _FIELD_PATHS.items()]), lambda k: k["kind"].isNotNull() & (k["kind"] != "VOID") & ~k["kind"].startswith(k["wanted"]))))
+    in_fields = F.transform(each, lambda k: F.struct(F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("field"),
+                                                     F.lit("wrong_type").alias("issue"), k["path"].alias("detail")))
+    found = F.concat(misfits("_json", _PATHS, F.lit("")), F.coalesce(in_fields, F.array().cast(_ISSUES)))
+    return found
+
+
+def _table_required(table: Column, path: str) -> list[tuple[Column, str, str]]:
+    """What a table must state: its name and identifier, its status, at least one field."""
+    return [(table["table_data"]["name"].isNull(), "missing", f"{path}.table_data.name"),
+            (table["table_data"]["uid"].isNull(), "missing", f"{path}.table_data.uid"),
+            (table["status"]["status"].isNull(), "missing", f"{path}.status.status"),
+            (table["fields"].isNull() | (F.size(table["fields"]) == 0), "missing", f"{path}.fields")]
+
+
 def _document_issues() -> Column:
     datatype = F.col("dataset.datatype")
+    tabular = F.col("model").isNotNull() & (F.coalesce(datatype, F.lit("Tabular")) != "Relational")
     return _issues(
         (F.col("_broken").isNotNull(), "not_readable", None),
+        *[(tabular & missing, issue, path) for missing, issue, path in _table_required(F.col("model"), "model")],
         *[(F.col(f"dataset.{key}").isNull(), "missing", f"dataset.{key}") for key in ("name", "datatype", "uid")],
         (~datatype.isin(*DATATYPES), "unknown_datatype", datatype),
         (F.col("model").isNull(), "missing", "model"),
@@ -97,10 +137,14 @@ def lint_documents(documents: DataFrame) -> DataFrame:
     parsed = parse_documents(documents)
     name = F.coalesce(F.col("model.table_data.name"), F.col("dataset.name"))
     own = _table_issues(name, F.col("model.fields"))
-    related = _each(F.col("model.relational"), lambda t: _table_issues(t["table_data"]["name"], t["fields"]))
+    related = _each(F.col("model.relational"), lambda t: F.concat(
+        _issues(*_table_required(t, "model.relational"), table=t["table_data"]["name"]), _table_issues(t["table_data"]["name"], t["fields"])))
     issues = F.concat(_document_issues(), F.coalesce(own, F.array().cast(_ISSUES)), related)
     found = parsed.select("document", F.explode(issues).alias("i")).select("document", "i.*")
-    return found.unionByName(repeated_datasets(documents))
+    # Documents that do not fit the layout, but are JSON, are looked at path by path.
+    odd = parsed.where("_broken IS NOT NULL").withColumn("_json", F.expr("try_parse_json(text)")).where("_json IS NOT NULL")
+    wrong = odd.select("document", F.explode(_wrong_types()).alias("i")).select("document", "i.*")
+    return found.unionByName(wrong).unionByName(repeated_datasets(documents))
 
 
 def repeated_datasets(documents: DataFrame) -> DataFrame:

@@ -154,6 +154,13 @@ def test_catalog_of_files(spark, data, tmp_path):
     lacking["model"]["fields"][1]["constraints"][0]["name"] = "min_length"
     (tmp_path / "lacking.json").write_text(json.dumps(lacking))
     (tmp_path / "broken.json").write_text('{"dataset": ')
+    wrong = json.loads(good.to_json())
+    wrong["dataset"] = {"name": 5, "datatype": "Tabular", "uid": "other"}
+    wrong["model"]["fields"][1]["flags"]["is_raw"] = "yes"
+    wrong["model"]["fields"][2]["names"] = ["a"]
+    del wrong["model"]["table_data"], wrong["model"]["status"]
+    (tmp_path / "wrong.json").write_text(json.dumps(wrong))
+    (tmp_path / "empty.json").write_text('{"dataset": {"name": "a", "datatype": "Tabular", "uid": "b"}, "model": {}}')
     found = catalog.lint_documents(catalog.read_documents(spark, str(tmp_path))).collect()
     by_file = {}
     for r in found:
@@ -162,6 +169,9 @@ def test_catalog_of_files(spark, data, tmp_path):
         ("missing", "dataset.datatype"), ("missing", "types.pq_type"), ("duplicate_field_uid", None),
         ("constraint_not_applicable", "min_length")}
     assert ("not_readable", None) in by_file["broken.json"]
+    assert {detail for issue, detail in by_file["wrong.json"] if issue == "wrong_type"} == {
+        "dataset.name", "model.fields[1].flags.is_raw", "model.fields[2].names"}
+    assert by_file["empty.json"] == {("missing", f"model.{path}") for path in ("table_data.name", "table_data.uid", "status.status", "fields")}
     assert by_file["good.json"] == {("duplicate_dataset_uid", good.uid)}
 
 
