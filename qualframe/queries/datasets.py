@@ -82,6 +82,12 @@ def footprint(spark, d):
     return files.footprint(spark, {"parquet": f"{d}/lineitem.parquet"}, table(spark, d, "lineitem"))
 
 
+@query("footprint_memory", "SELECT 'memory' AS kind, count(*) AS rows, CAST(11 AS INTEGER) AS columns FROM lineitem")
+def footprint_memory(spark, d):
+    found = files.footprint(spark, {"parquet": f"{d}/lineitem.parquet"}, table(spark, d, "lineitem"))
+    return found.where("kind = 'memory' AND megabytes > 0").select("kind", "rows", "columns")
+
+
 def _footer_sql(types: dict[str, tuple[str, str]]) -> str:
     def bound(side: str, column: str, pq: str, logical: str, slot: str) -> str:
         value = f"epoch_us({side}({column}))" if logical == "timestamp" else f"{side}({column})"
@@ -114,7 +120,7 @@ def footer_profile(spark, d):
 def footer_profile_many_files(spark, d):
     """Several files with several row groups each give the same profile as one file with one."""
     path = scratch_path(spark, "rowgroups")
-    table(spark, d, "lineitem").repartition(4).write.option("parquet.block.size", 65536).parquet(path)
+    table(spark, d, "lineitem").repartition("l_orderkey").write.option("parquet.block.size", 65536).parquet(path)
     return footers.footer_profile(footers.footer_rows(spark, path)).drop("row_groups")
 
 
@@ -346,9 +352,24 @@ def metadata_harvest(spark, d):
     path = scratch_path(spark, "harvest")
     df = described_orders(spark, d)
     df = metadata.keep_metadata(df.withColumn("year", F.date_format("o_orderdate", "yyyy")), df)
-    df.repartition(1, "year").write.partitionBy("year").parquet(path)
+    df.write.partitionBy("year").parquet(path)
     found = footers.harvest_metadata(spark, path)
-    return found.groupBy("column", "section", "json").agg(F.count_distinct("path").alias("rows"))
+    year = F.regexp_extract("path", "/year=([0-9]+)/", 1)
+    return found.groupBy("column", "section", "json").agg(F.count_distinct(year).alias("rows"))
+
+
+@query("harvested_documents", """SELECT strftime(o_orderdate, '%Y') AS year, CAST(2 AS BIGINT) AS columns, 'o_custkey,o_totalprice' AS names
+  FROM orders GROUP BY 1""")
+def harvested(spark, d):
+    """The documents put together from the footers of one folder per order year; every file of a folder says the same."""
+    path = scratch_path(spark, "harvest")
+    df = described_orders(spark, d)
+    df = metadata.keep_metadata(df.withColumn("year", F.date_format("o_orderdate", "yyyy")), df)
+    df.write.partitionBy("year").parquet(path)
+    found = footers.harvested_documents(footers.harvest_metadata(spark, path))
+    names = F.from_json("fields", "array<struct<column: string>>")
+    return found.select(F.regexp_extract("path", "/year=([0-9]+)/", 1).alias("year"), "columns",
+                        F.array_join(F.transform(names, lambda f: f["column"]), ",").alias("names")).distinct()
 
 
 # ---- deliveries -----------------------------------------------------------------------------------
@@ -492,14 +513,14 @@ def incremental(spark, d):
     def arrive(number: int) -> None:
         part = events.where(F.col("event_id") % 3 == number)
         folder = f"{scratch_path(spark, 'staging')}/events_{number}.parquet"
-        part.coalesce(1).write.parquet(folder)
-        written = files.list_files(spark, folder, "*.parquet").first().path
-        copy_file(spark, written, f"{source}/events_{number}.parquet")
+        part.write.parquet(folder)
+        for i, row in enumerate(files.list_files(spark, folder, "*.parquet").orderBy("path").collect()):
+            copy_file(spark, row.path, f"{source}/events_{number}-{i}.parquet")
 
     for arrivals in ((0, 1), (2,)):
         for number in arrivals:
             arrive(number)
-        stream = new_files(dataset, source, events.schema)
+        stream = new_files(dataset, source, events.schema, r"^(\w+)-")
         ingest_incremental(dataset, stream, state).awaitTermination()
     return dataset.history().select("ingestion", "rows", "status", "validated")
 

@@ -14,6 +14,10 @@ SETTINGS = {
 }
 
 
+# The scratch folder of each application.
+_SCRATCH: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings results depend on; everything else stays the cluster's choice."""
     for key, value in SETTINGS.items():
@@ -47,5 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, for files a job writes and reads again."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder, for files a job writes and reads again; removed when the driver ends."""
+    context = spark.sparkContext
+    top = _SCRATCH.get(context.applicationId)
+    if top is None:
+        top = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(top)
+        system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _SCRATCH[context.applicationId] = top
+    return f"{top}/{name}-{uuid.uuid4().hex}"
