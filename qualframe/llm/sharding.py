@@ -66,10 +66,9 @@ def shards(docs: DataFrame, number: int, key: str = "doc_id", text: str = "text"
                         text_crc32(body).alias("text_crc32")).select(
         "key", (F.col("_length") + ROW_BYTES).alias("size"), "text_crc32")
     summed = prefix_sums(sized, ["key", "text_crc32", "size"])
-    total = sized.agg(F.sum("size").alias("total"))  # one row
+    total = summed.agg(F.max(F.col("bytes_before") + F.col("size"))).first()[0] or 1  # one number
     middle = 2 * F.col("bytes_before") + F.col("size")
-    cut = F.call_function("div", middle * number, 2 * F.col("total")).cast("int")
-    placed = summed.join(F.broadcast(total)).withColumn("shard", cut)
+    placed = summed.withColumn("shard", F.call_function("div", middle * number, F.lit(2 * total).cast("bigint")).cast("int"))
     starts = placed.groupBy("shard").agg(F.min("rows_before").alias("_start"))  # at most ``number`` rows
     return placed.join(F.broadcast(starts), "shard").select(
         F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("rows_before") - F.col("_start")).alias("slot"))
