@@ -17,15 +17,15 @@ _ROW_BITS = 33
 
 def _numbered(ranked: DataFrame, index: str) -> DataFrame:
     """Rows of a materialised, globally sorted frame with their number from 0: rows in partitions before, plus the place within."""
-    tagged = ranked.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", _ROW_BITS)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    tagged = ranked.withColumn("__row", F.monotonically_increasing_id())
+    part = F.shiftright("__row", _ROW_BITS)
+    counts = tagged.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
     # One row per task of the sort, whatever the number of rows: what is sent to every task is bounded by the sort's width.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
-    placed = tagged.withColumn("_part", part).join(offsets, "_part")
-    number = F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return placed.withColumn(index, number).drop("_part", "_offset", "_id")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")))
+    placed = tagged.withColumn("__part", part).join(offsets, "__part")
+    number = F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.withColumn(index, number).drop("__part", "__before", "__row")
 
 
 def with_index(df: DataFrame, order: Sequence[Column], index: str = "index") -> DataFrame:
@@ -34,8 +34,8 @@ def with_index(df: DataFrame, order: Sequence[Column], index: str = "index") ->
     Equal rows may be any part of the frame: a running number, last in the order, spreads them over the tasks of the sort.
     """
     ties = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns]
-    spread = df.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
-    ranked = materialize(spread.orderBy(*order, *ties, "_spread").drop("_spread"))
+    spread = df.withColumn("__spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    ranked = materialize(spread.orderBy(*order, *ties, "__spread").drop("__spread"))
     return _numbered(ranked, index).select(index, *[F.col(f"`{c}`") for c in df.columns])
 
 
