@@ -37,6 +37,8 @@ travels(__name__)
 BLOCK_CHARS = 12_000_000
 # Words a task remembers before it starts anew (forgotten words are encoded again, with equal results).
 REMEMBERED = 300_000
+# Words whose ids are laid out at a time.
+PUT_TOGETHER = 1 << 17
 # Stands for a null document id inside a block.
 NO_KEY = -(1 << 63)
 BLOCKS = "block bigint, bucket int, places binary, words binary"
@@ -184,13 +186,15 @@ def _put_together(key: str):
         begin = np.cumsum(length) - length
         at = np.empty(len(length), np.int64)  # by word number: which entry
         at[np.concatenate(places) if places else np.zeros(0, np.int64)] = np.arange(len(length))
-        entry = at[run]
-        size = length[entry]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(begin[entry] - (ends - size), size) + np.arange(int(size.sum()))]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+        ends = np.concatenate([[0], np.cumsum(length[at[run]], dtype=np.int64)])  # ids before each word
+        edges = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        ids = np.empty(int(ends[-1]), np.int32)
+        for first in range(0, len(run), PUT_TOGETHER):
+            entry = at[run[first:first + PUT_TOGETHER]]
+            low, high = ends[first], ends[min(first + PUT_TOGETHER, len(run))]
+            ids[low:high] = flat[np.repeat(begin[entry] - ends[first:first + len(entry)], length[entry]) + np.arange(low, high)]
         return pa.table({key: pa.array(keys, mask=keys == NO_KEY), "n_tokens": pa.array(np.diff(edges)),
-                         "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))})
+                         "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))})
 
     return joined
 
