@@ -2,8 +2,8 @@
 
 A line of n characters is cut into ``EDITS`` + 1 segments. If another line is within ``EDITS`` edits, one segment of the shorter line
 is found unchanged in the longer one, near its place; how near follows from the difference in length and from the segment's number,
-so only a few substrings of a line are looked up, under (length, segment, content). Candidates are verified on their
-full text by a banded bit-parallel automaton: one bit per diagonal of the band and number of edits, all in one
+so only a few substrings of a line are looked up, under (length, segment, content). An edit changes how often two characters
+occur at most, so candidates must agree in all but a few parities of character counts; they are verified on their full text by a banded bit-parallel automaton: one bit per diagonal of the band and number of edits, all in one
 integer, one step per character.
 
 Segments shared by many lines (``CROWDED``) are not joined by that segment alone: what is left of the lines outside it must again
@@ -30,7 +30,7 @@ from qualframe.llm.components import components
 EDITS = 2
 SHORTEST = 24
 # Lines that share a segment, from which more segments are asked for; how many more.
-CROWDED, DEEPER = 8, 8
+CROWDED, DEEPER = 64, 2
 # Characters after which a candidate is looked at again.
 HEAD = 12
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,6 +65,12 @@ def _lookups(rows: DataFrame, edits: int) -> DataFrame:
         "own", F.expr("shift = 0 AND shorter = 0")).drop("i", "shift", "n", "wide")
 
 
+def _parities(text: Column) -> Column:
+    """A bit per code point modulo 64: whether an odd number of such characters occurs. An edit changes two bits at most."""
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))))
+
+
 def _strip(a: Column, b: Column) -> Column:
     """Both texts without their common beginning and end."""
     steps = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
@@ -141,7 +147,10 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with a word: the document's key and a hash of its text, the place, the trimmed line and two hashes of it."""
     body = docs[f"`{text}`"].cast("string")
     each = docs.select(docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("body"), F.posexplode(F.split(body, "\n", -1)).alias("at", "line"))
-    line = F.call_function("btrim", F.col("line"), F.lit(BLANKS))
+    # Spaces are quickly taken off; the other blanks only where there are any.
+    spaced = F.trim("line")
+    others = reduce(Column.__or__, [spaced.startswith(b) | spaced.endswith(b) for b in BLANKS if b != " "])
+    line = F.when(others, F.call_function("btrim", F.col("line"), F.lit(BLANKS))).otherwise(spaced)
     return each.withColumn("line", line).where("line <> ''").withColumns({
         "id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
@@ -161,27 +170,30 @@ def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataF
     """Pairs (a, b) of ids of ``lines`` (id, line; copies are welcome) that are within ``edits`` edits."""
     rows = stored(shared_segments(lines, edits), "shared-segments")
     ids = stored(rows.select("id").distinct(), "candidates")
-    texts = stored(among(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line")), "candidate-lines")
-    found = []
+    texts = among(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+    texts = stored(texts.withColumn("parities", _parities(F.col("line"))), "candidate-lines")
+    rows, found = rows.join(texts.select("id", "parities"), "id"), []
+    alike = F.bit_count(F.col("s.parities").bitwiseXOR(F.col("p.parities"))) <= 2 * edits
     for level in range(DEEPER + 1):
         segments = rows.where("own")
         full = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key")
         single = segments if level == DEEPER else segments.join(full, "key", "left_anti")
-        pairs = single.alias("s").join(rows.alias("p"), "key").where("s.id <> p.id").select(
+        met = (F.col("s.key") == F.col("p.key")) & (F.col("s.id") != F.col("p.id")) & alike
+        pairs = single.alias("s").join(rows.alias("p"), met).select(
             F.least("s.id", "p.id").alias("a"), F.greatest("s.id", "p.id").alias("b"))
         found.append(stored(pairs.distinct(), "pairs"))
         if level == DEEPER:
             break
         # Lines under a crowded key go on with what they have outside of it, a line break for the gap.
         busy = rows.join(full, "key", "left_semi")
-        busy = busy if level else busy.join(texts.withColumnRenamed("line", "rest"), "id")
+        busy = busy if level else busy.join(texts.select("id", F.col("line").alias("rest")), "id")
         line = F.col("rest")
         outside = F.concat(line.substr(F.lit(1), F.col("start") - 1), F.lit("\n"), line.substr(F.col("start") + F.col("size"), F.length(line)))
-        left = busy.select("id", F.col("key").alias("below"), F.col("shorter").alias("fixed"), F.col("own").alias("was_own"), outside.alias("rest"))
+        left = busy.select("id", "parities", F.col("key").alias("below"), F.col("shorter").alias("fixed"), F.col("own").alias("was_own"), outside.alias("rest"))
         if not busy.take(1):
             break
         rows = stored(_lookups(left, edits).where("shorter = fixed").withColumn("own", F.expr("own AND was_own")).select(
-            "id", "key", "start", "size", "shorter", "own", "rest").distinct(), "crowded-segments")
+            "id", "key", "start", "size", "shorter", "own", "rest", "parities").distinct(), "crowded-segments")
     one = reduce(DataFrame.union, found).distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
