@@ -2,8 +2,9 @@
 
 A line of n characters is cut into ``EDITS`` + 1 segments. If another line is within ``EDITS`` edits, one segment of the shorter line
 is found unchanged in the longer one, near its place; how near follows from the difference in length and from the segment's number,
-so only a few substrings of a line are looked up, under (length, segment, content). An edit changes how often two characters
-occur at most, so candidates must agree in all but a few parities of character counts; they are verified on their full text by a banded bit-parallel automaton: one bit per diagonal of the band and number of edits, all in one
+so only a few substrings of a line are looked up, under (length, segment, content). An edit takes away and
+adds four pairs of neighbouring characters at most, so candidates must agree in all but a few parities of the numbers of
+pairs; they are verified on their full text by a banded bit-parallel automaton: one bit per diagonal of the band and number of edits, all in one
 integer, one step per character.
 
 Segments shared by many lines (``CROWDED``) are not joined by that segment alone: what is left of the lines outside it must again
@@ -31,6 +32,8 @@ EDITS = 2
 SHORTEST = 24
 # Lines that share a segment, from which more segments are asked for; how many more.
 CROWDED, DEEPER = 64, 2
+# Pairs of neighbouring characters that an edit changes at most.
+PAIRS = 4
 # Characters after which a candidate is looked at again.
 HEAD = 12
 BLANKS = " \t\n\x0b\x0c\r"
@@ -66,9 +69,14 @@ def _lookups(rows: DataFrame, edits: int) -> DataFrame:
 
 
 def _parities(text: Column) -> Column:
-    """A bit per code point modulo 64: whether an odd number of such characters occurs. An edit changes two bits at most."""
-    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))))
+    """Pairs of neighbouring characters fall into 64 classes; a bit says whether a class has an odd number of them. An edit changes
+    ``PAIRS`` bits at most: a replaced character is in two pairs before and in two after."""
+    def bits(codes: Column) -> Column:
+        classes = F.zip_with(codes, F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: F.pmod(a * 31 + b, F.lit(64)))
+        return F.aggregate(classes, F.lit(0).cast("bigint"), lambda bits, c: F.when(c.isNull(), bits).otherwise(
+            bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c))))
+
+    return let(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.ascii), bits)
 
 
 def _strip(a: Column, b: Column) -> Column:
@@ -173,7 +181,7 @@ def links(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataF
     texts = among(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
     texts = stored(texts.withColumn("parities", _parities(F.col("line"))), "candidate-lines")
     rows, found = rows.join(texts.select("id", "parities"), "id"), []
-    alike = F.bit_count(F.col("s.parities").bitwiseXOR(F.col("p.parities"))) <= 2 * edits
+    alike = F.bit_count(F.col("s.parities").bitwiseXOR(F.col("p.parities"))) <= PAIRS * edits
     for level in range(DEEPER + 1):
         segments = rows.where("own")
         full = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key")
