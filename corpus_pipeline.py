@@ -38,7 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 2,048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=queries.added_tokens())
 
 
 STAGES = [

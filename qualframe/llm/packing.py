@@ -5,6 +5,9 @@ longest first, to the open window with the least room that still holds it, which
 capacities finds in log2(window) steps. Every task packs the documents it reads, in lots of bounded size: no shuffle, no
 global state, and windows carry the number of their task, so they are unique without any coordination.
 
+Ids come from a file of ranks; ``added`` gives tokens that a text may hold literally and that are one id each, such as those of a
+tokenizer's JSON file. Without it such strings are ordinary text.
+
 Defined results: a null or empty text is one end mark; repeated rows are packed each for itself; an empty table gives no
 rows; a document of any length is cut, never dropped. The input should be a table or a checkpoint (a retried
 task must see the same rows in the same order).
@@ -13,6 +16,7 @@ task must see the same rows in the same order).
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from typing import Iterator
 
@@ -41,10 +45,20 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens a tokenizer's JSON file adds to its vocabulary, which texts are cut at before anything else."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    for token in found:
+        if any(token[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} is not matched literally")
+    return {token["content"]: token["id"] for token in found}
+
+
+def encoder(path: str, pattern: str = public_tokenizers.PATTERN, added: dict[str, int] | None = None) -> tiktoken.Encoding:
     """A tokenizer from a file of ranks; one per worker process."""
-    return once(f"encoder {path} {pattern}", lambda: tiktoken.Encoding(
-        path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={}))
+    return once(f"encoder {path} {pattern} {sorted((added or {}).items())}", lambda: tiktoken.Encoding(
+        path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens=added or {}))
 
 
 class OpenWindows:
@@ -97,12 +111,12 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, window: int = WINDOW,
-         lot: int = LOT) -> DataFrame:
+         lot: int = LOT, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: ``key``, where it starts in its document and how long it is, the CRC of its ids, and its place."""
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, used = encoder(ranks).encode_ordinary, TaskContext.get().partitionId() << 40, 0
+        tokenizer, whole, base, used = encoder(ranks, added=added), set(added or {}), TaskContext.get().partitionId() << 40, 0
         rest: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -119,7 +133,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str |
         for batch in batches:
             full: list[tuple] = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(body.as_py() or ""), END_MARK], "<u4")
+                ids = np.array([*tokenizer.encode(body.as_py() or "", allowed_special=whole, disallowed_special=()), END_MARK], "<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
                     row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from qualframe.llm import language, licenses, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
@@ -55,9 +56,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def added_tokens() -> dict[str, int]:
+    """Of the published tokenizer whose vocabulary the rank file holds."""
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into windows of 2,048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=added_tokens())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

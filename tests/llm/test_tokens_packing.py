@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from qualframe.llm import packing, tokens
+import corpus_pipeline
+from qualframe.llm import packing, queries, tokens
 from qualframe.llm.packing import OpenWindows, best_fit_decreasing, encoder
 
 TEXTS = [None, "", " ", "hello world", "hello  world\n\n it's", "naïve 北京 😀 emoji", "<|endoftext|>", "a" * 5_000, "1234567 8 9", " \t\n" * 500,
@@ -113,3 +114,26 @@ def test_pieces_cover_every_document_once(spark, plain, lot):
             assert p.offset == end
             end += p.length
         assert end <= 2048
+
+
+MARKED = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x", "end \n <|endoftext|>", "<|endof<|endoftext|>text|>", "word <|endoftext|>" * 900]
+
+
+def test_registered_packing_takes_the_ids_of_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    spark.createDataFrame(list(enumerate(MARKED)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = []
+    for doc, text in enumerate(MARKED):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, packing.END_MARK], "<u4")
+        wanted += [(doc, s, len(ids[s:s + 2048]), zlib.crc32(ids[s:s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(wanted)
+
+
+def test_added_tokens_that_are_not_literal_are_refused(tmp_path):
+    path = tmp_path / "tokenizer.json"
+    path.write_text('{"added_tokens": [{"id": 1, "content": "x", "single_word": false, "lstrip": true, "rstrip": false, "normalized": false}]}')
+    with pytest.raises(ValueError):
+        packing.added_tokens(str(path))
