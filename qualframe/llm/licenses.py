@@ -1,10 +1,15 @@
-"""Licence scans: TF-IDF cosine of every line to licence notices, and inheritance along directories.
+"""Licence scans: TF-IDF cosine of lines and passages to licence notices, and inheritance along directories.
 
 The weight of a notice's terms comes from the number of documents that have them, over all documents. A line is compared with every
 notice by the cosine of their sparse vectors; words no notice has count as the rarest. Only lines that can reach ``SIMILAR`` are
 compared: of each notice the heaviest terms are cues, as many as it takes that a line without any of them cannot reach it.
 
-A document's own licence is its best line. A document that is at least half licence lines is a licence file of its directory. Others take
+A notice inside a longer line, or broken over lines, is found in a passage: as many terms as the notice has, across line breaks, around one of
+its cues and beginning with one of its terms. Terms count at least once each in a passage's length, which bounds the cosine from above;
+passages that pass the bound are compared exactly. A line that matches as a whole is one notice, whatever passages lie inside it.
+
+A document's own licence is its best line or passage, at the line where that begins. A document of which at least half the terms are those of
+licence lines or notice terms of passages is a licence file of its directory. Others take
 the licence of the nearest directory above them that has such a file: each distinct directory is joined by path with the directories
 that have one, so a directory with a third of all documents is one row there.
 
@@ -23,7 +28,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualframe.llm.common import stored
+from qualframe.llm.common import let, stored
 
 SIMILAR = 0.75
 FILE_SHARE = 0.5
@@ -44,6 +49,16 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("proprietary", "All rights reserved."),
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MIT", "Licensed under the MIT License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
 
@@ -88,14 +103,75 @@ def cues(vectors: list[tuple[int, str, dict[str, float]]], similar: float = SIMI
     return sorted(out)
 
 
-def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+def _hits(docs: DataFrame, key: str, text: str, cue: Column) -> DataFrame:
+    body = docs[f"`{text}`"]
+    return docs.select(docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("body"), body.alias("text"), F.size(terms_of(body)).alias("n_terms")).where(F.arrays_overlap(terms_of(body), cue))
+
+
+def _map(pairs: dict[str, object]) -> Column:
+    return F.create_map(*[x for t in sorted(pairs) for x in (F.lit(t), pairs[t] if isinstance(pairs[t], Column) else F.lit(pairs[t]))])
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR,
+             known: tuple[dict[str, float], float] | None = None) -> DataFrame:
+    """Passages with a licence: ``key``, ``body``, ``n_terms``, ``line`` and ``last_line``, ``license``, ``score`` and ``spots`` (place and line of
+    each notice term)."""
+    idf, rarest = known or weights(docs, text)
+    vectors = _vectors(idf)
+    length = {number: sum(_notice_terms(NOTICES[number][1]).values()) for number, _, _ in vectors}
+    longest = max(length.values())
+    own = {number: cues([(number, licence, v)], similar) for number, licence, v in vectors}
+    asked = {t: F.array(*[F.struct(F.lit(number).alias("number"), F.lit(length[number]).alias("length")) for number in sorted(own) if t in own[number]])
+             for t in cues(vectors, similar)}
+    cue = F.array(*[F.lit(t) for t in sorted(asked)])
+    idf_of, of_notice = _map(idf), F.array(*[_map(v) for _, _, v in vectors])
+    zero = F.lit(0.0)
+    at = F.flatten(F.transform(F.split("text", "\n", -1), lambda body, line: F.transform(terms_of(body), lambda t: F.struct(line.alias("line"), t.alias("term")))))
+
+    def around(at: Column) -> Column:
+        """Each cue with the terms that a passage with it can have; ``left`` of them before it."""
+        places = F.filter(F.transform(at, lambda x, i: F.struct(i.alias("place"), x["term"].alias("term"))), lambda x: F.array_contains(cue, x["term"]))
+        first = lambda x: F.greatest(x["place"] - (longest - 1), F.lit(0))
+        return F.transform(places, lambda x: F.struct(
+            x["place"].alias("place"), x["term"].alias("term"), (x["place"] - first(x)).alias("left"),
+            F.slice(at, first(x) + 1, F.lit(2 * longest - 1)).alias("near")))
+
+    found = _hits(docs, key, text, cue).select("key", "body", "n_terms", F.inline(let(at, around)))
+    each = found.select("key", "body", "n_terms", "place", "left", "near", F.inline(F.element_at(_map(asked), F.col("term"))))
+    before = F.least(F.col("left"), F.col("length") - 1)
+    each = each.select("key", "body", "n_terms", "number", "length", before.alias("before"), (F.col("place") - before).alias("from"),
+                       F.slice("near", F.col("left") - before + 1, before + F.col("length")).alias("near"))
+
+    def weighed(x: Column, place: Column) -> Column:
+        w = F.coalesce(F.try_element_at(idf_of, x["term"]), F.lit(rarest))
+        return F.struct((F.col("from") + place).alias("place"), x["line"].alias("line"), x["term"].alias("term"), (w * w).alias("square"),
+                        F.coalesce(w * F.try_element_at(F.element_at(of_notice, F.col("number") + 1), x["term"]), zero).alias("dot"))
+
+    def total(rows: Column, of) -> Column:
+        return F.aggregate(rows, zero, lambda sofar, x: sofar + of(x))
+
+    def likely(near: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.col("before")), lambda s: F.get(near, s)["dot"] > 0)
+        cut = F.transform(starts, lambda s: F.slice(near, s + 1, F.col("length")))
+        return F.filter(cut, lambda p: F.pow(total(p, lambda x: x["dot"]), F.lit(2.0)) >= similar ** 2 * (1 - 1e-6) * total(p, lambda x: x["square"]))
+
+    cut = each.select("key", "body", "n_terms", "number", F.explode(let(F.transform("near", weighed), likely)).alias("p"))
+    norm = total(F.col("p"), lambda x: x["square"] * F.size(F.filter("p", lambda y: y["term"] == x["term"])))
+    license_of = F.element_at(F.array(*[F.lit(licence) for _, licence, _ in vectors]), F.col("number") + 1)
+    spots = F.transform(F.filter("p", lambda x: x["dot"] > 0), lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line")))
+    scored = cut.select("key", "body", "n_terms", F.element_at("p", 1)["line"].alias("line"), F.element_at("p", -1)["line"].alias("last_line"),
+                        license_of.alias("license"), F.round(total(F.col("p"), lambda x: x["dot"]) / F.sqrt(norm), 6).alias("score"), spots.alias("spots"))
+    return scored.where(F.col("score") >= similar)
+
+
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR,
+            known: tuple[dict[str, float], float] | None = None) -> DataFrame:
     """Lines with a licence: ``key``, ``body`` (hash of the text), ``n_terms`` (of the text), ``line`` (from 0), ``words``,
     ``license`` and ``score``."""
-    idf, rarest = weights(docs, text)
+    idf, rarest = known or weights(docs, text)
     vectors = _vectors(idf)
     cue = F.array(*[F.lit(t) for t in cues(vectors, similar)])
-    body = docs[f"`{text}`"]
-    hit = docs.select(docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("body"), body.alias("text"), F.size(terms_of(body)).alias("n_terms")).where(F.arrays_overlap(terms_of(body), cue))
+    hit = _hits(docs, key, text, cue)
     lines = hit.select("key", "body", "n_terms", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("terms", terms_of(F.col("text")))
     words = lines.where(F.arrays_overlap("terms", cue)).select("key", "body", "n_terms", "line", F.explode("terms").alias("term"))
     counted = words.groupBy("key", "body", "n_terms", "line", "term").agg(F.count("*").alias("n"))
@@ -120,9 +196,19 @@ def scan(docs: DataFrame, directory: Column, key: str = "doc_id", text: str = "t
     """Per document: ``key``, ``license``, ``score``, ``line``, ``origin`` (own, inherited, none) and ``from_directory``."""
     body = docs[f"`{text}`"]
     files = docs.select(docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("body"), F.coalesce(directory, F.lit("")).alias("directory"))
-    found = stored(matches(docs, key, text), "licences")
-    first = F.min(F.struct((-F.col("score")).alias("down"), "line", "license"))
-    own = found.groupBy("key", "body", "n_terms").agg(first.alias("own"), F.sum("words").alias("licensed")).select(
+    known = weights(docs, text)
+    lines = stored(matches(docs, key, text, known=known), "licences")
+    inside = stored(passages(docs, key, text, known=known), "passages")
+    whole = lines.select(F.col("key").alias("k"), F.col("body").alias("b"), F.col("line").alias("l")).distinct()
+    same = lambda rows: rows["key"].eqNullSafe(whole["k"]) & (rows["body"] == whole["b"]) & (rows["line"] == whole["l"])
+    across = inside.join(whole, same(inside) & (inside["last_line"] == whole["l"]), "left_anti")
+    spots = across.select("key", "body", "n_terms", F.inline("spots")).distinct()
+    beside = spots.join(whole, same(spots), "left_anti")
+    best, nothing = F.struct((-F.col("score")).alias("down"), "line", "license"), F.lit(0).cast("bigint")
+    found = lines.select("key", "body", "n_terms", best.alias("best"), F.col("words").alias("licensed")).unionByName(
+        across.select("key", "body", "n_terms", best.alias("best"), nothing.alias("licensed"))).unionByName(
+        beside.select("key", "body", "n_terms", F.lit(None).alias("best"), F.lit(1).cast("bigint").alias("licensed")))
+    own = found.groupBy("key", "body", "n_terms").agg(F.min("best").alias("own"), F.sum("licensed").alias("licensed")).select(
         F.col("key").alias("k"), F.col("body").alias("b"), "n_terms", "own", "licensed")
     placed = files.join(own, files["key"].eqNullSafe(own["k"]) & (files["body"] == own["b"]), "left").drop("k", "b")
     # Directories with a licence file, and for every directory the nearest of those above it.

@@ -184,6 +184,26 @@ def test_licences_come_from_the_nearest_directory(spark):
     assert len(twice) == 2 * len(ROWS) and licenses.scan(docs.limit(0), F.col("dir")).count() == 0
 
 
+GPL = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+       " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() {}")
+INSIDE = [(1, "Copyright (c) 2020 Acme Inc. All rights reserved.", ("proprietary", 0)),
+          (2, "intro\nThis file is part of Foo. Released under the MIT License.", ("MIT", 1)),
+          (3, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ("Apache-2.0", 0)),
+          (4, "The text of this page was written by the project team and is Licensed under CC BY 4.0.", ("CC-BY-4.0", 0)),
+          (5, GPL, ("GPL-3.0", 0)), (6, GPL.replace("3", "2"), ("GPL-2.0", 0)),
+          (7, "some words first, then Released under\nthe MIT\nLicense and many more words after it in the line", ("MIT", 0)),
+          (8, "we all have rights and a version of a free licence, reserved for later", None), (None, "It is long. " * 500 + "All rights reserved. " + "So it is. " * 500, ("proprietary", 0))]
+
+
+def test_notices_inside_lines_and_across_them_are_found(spark):
+    docs = spark.createDataFrame([(d, t, f"d{i}") for i, (d, t, _) in enumerate(INSIDE)], "doc_id bigint, text string, dir string")
+    found = {r.doc_id: r for r in licenses.scan(docs.repartition(3), F.col("dir")).collect()}
+    for doc, _, wanted in INSIDE:
+        assert (found[doc].license, found[doc].line) == (wanted or (None, None))
+        assert found[doc].origin == ("own" if wanted else "none")
+    assert all(found[d].score == 1 for d in (1, 2, 3, 4, 5, 6, 7, None))
+
+
 def test_cues_are_enough():
     vectors = [(0, "x", {"a": 0.9, "b": math.sqrt(1 - 0.81)}), (1, "y", {"c": math.sqrt(0.5), "d": math.sqrt(0.5)})]
     assert licenses.cues(vectors, 0.75) == ["a", "c"]
