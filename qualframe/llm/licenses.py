@@ -8,7 +8,11 @@ A notice inside a longer line, or broken over lines, is found in a passage: as m
 its cues and beginning with one of its terms. Terms count at least once each in a passage's length, which bounds the cosine from above;
 passages that pass the bound are compared exactly. A line that matches as a whole is one notice, whatever passages lie inside it.
 
-A document's own licence is its best line or passage, at the line where that begins. A document of which at least half the terms are those of
+Documents are compared as a whole with the full texts of licences (``texts/``), by the same cosine with weights of their own terms. Creative
+Commons texts besides CC0 are not among them.
+
+A document whose whole text is that of a licence has that licence, at line 0, and is a licence file. Otherwise a document's own licence is its
+best line or passage, at the line where that begins. A document of which at least half the terms are those of
 licence lines or notice terms of passages is a licence file of its directory. Others take
 the licence of the nearest directory above them that has such a file: each distinct directory is joined by path with the directories
 that have one, so a directory with a third of all documents is one row there.
@@ -21,9 +25,11 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,6 +198,54 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
         "key", "body", "n_terms", "line", "words", "b.license", (-F.col("b.down")).alias("score"))
 
 
+def full_texts() -> list[tuple[str, Counter]]:
+    """Licences by name, with the terms of their texts."""
+    return [(file.stem, _notice_terms(file.read_text(encoding="utf-8"))) for file in sorted(Path(__file__).with_name("texts").glob("*.txt"))]
+
+
+def _rows(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
+    """A small table, from one literal."""
+    return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def whole_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, rarest: float | None = None) -> DataFrame:
+    """Documents that are a licence's full text: ``key``, ``body``, ``n_terms``, ``license`` and ``score``."""
+    rarest = rarest or weights(docs, text)[1]
+    texts = full_texts()
+    vocabulary = sorted({t for _, terms in texts for t in terms})
+    known = F.broadcast(_rows(docs, [{"term": t} for t in vocabulary], "term: string"))
+    counted = docs.select(F.explode(F.array_distinct(terms_of(docs[f"`{text}`"]))).alias("term")).join(known, "term").groupBy("term").agg(
+        F.count("*").alias("n")).collect()
+    df = {r["term"]: r["n"] for r in counted}
+    idf = {t: rarest - math.log(1 + df.get(t, 0)) for t in vocabulary}
+    vectors = []
+    for number, (licence, terms) in enumerate(texts):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
+        vectors.append((number, licence, {t: n * idf[t] / norm for t, n in terms.items()}))
+    hit = _hits(docs, key, text, F.array(*[F.lit(t) for t in cues(vectors, similar)]))
+    # A document's cosine is at most the length of the part of a text's unit vector whose terms it has; its words are counted if that can do.
+    squares = F.broadcast(_rows(docs, [{"term": t, "of": [{"number": i, "w": v[t] ** 2} for i, _, v in vectors if t in v]} for t in vocabulary],
+                                "term: string, of: array<struct<number: int, w: double>>"))
+    reach = hit.select("key", "body", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).join(squares, "term").select(
+        "key", "body", "term", F.inline("of")).groupBy("key", "body", "number").agg(F.sum("w").alias("share"))
+    able = stored(reach.where(F.col("share") >= similar ** 2 * (1 - 1e-6)).select(F.col("key").alias("k"), F.col("body").alias("b")).distinct(), "able")
+    hit = hit.join(able, hit["key"].eqNullSafe(able["k"]) & (hit["body"] == able["b"]), "left_semi")
+    words = hit.select("key", "body", "n_terms", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("key", "body", "n_terms", "term").agg(
+        F.count("*").alias("n"))
+    entry = "term: string, idf: double, of: array<struct<number: int, w: double>>"
+    entries = _rows(docs, [{"term": t, "idf": idf[t], "of": [{"number": i, "w": v[t]} for i, _, v in vectors if t in v]} for t in vocabulary], entry)
+    weighted = words.join(F.broadcast(entries), "term", "left").withColumn("weight", F.col("n") * F.coalesce("idf", F.lit(rarest)))
+    # Number -1 stands for the length of the document.
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("number"), F.col("weight").alias("w"))), F.coalesce("of", F.array().cast("array<struct<number:int,w:double>>")))
+    sums = weighted.select("key", "body", "n_terms", "weight", F.inline(parts)).groupBy("key", "body", "n_terms", "number").agg(
+        F.sum(F.col("weight") * F.col("w")).alias("dot"))
+    names = F.array(*[F.lit(licence) for licence, _ in texts])
+    best = F.max(F.when(F.col("number") >= 0, F.struct("dot", (-F.col("number")).alias("up"))))
+    found = sums.groupBy("key", "body", "n_terms").agg(best.alias("best"), F.max(F.when(F.col("number") < 0, F.col("dot"))).alias("norm"))
+    return found.select("key", "body", "n_terms", F.element_at(names, 1 - F.col("best.up")).alias("license"),
+                        F.round(F.col("best.dot") / F.sqrt("norm"), 6).alias("score")).where(F.col("score") >= similar)
+
+
 def scan(docs: DataFrame, directory: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``key``, ``license``, ``score``, ``line``, ``origin`` (own, inherited, none) and ``from_directory``."""
     body = docs[f"`{text}`"]
@@ -204,10 +258,15 @@ def scan(docs: DataFrame, directory: Column, key: str = "doc_id", text: str = "t
     across = inside.join(whole, same(inside) & (inside["last_line"] == whole["l"]), "left_anti")
     spots = across.select("key", "body", "n_terms", F.inline("spots")).distinct()
     beside = spots.join(whole, same(spots), "left_anti")
-    best, nothing = F.struct((-F.col("score")).alias("down"), "line", "license"), F.lit(0).cast("bigint")
+    complete = stored(whole_texts(docs, key, text, rarest=known[1]), "texts")
+    nothing = F.lit(0).cast("bigint")
+    # Full texts come before what lies inside them.
+    best = F.struct(F.lit(1).alias("rank"), (-F.col("score")).alias("down"), F.col("line"), F.col("license"))
+    text_best = F.struct(F.lit(0).alias("rank"), (-F.col("score")).alias("down"), F.lit(0).alias("line"), F.col("license"))
     found = lines.select("key", "body", "n_terms", best.alias("best"), F.col("words").alias("licensed")).unionByName(
         across.select("key", "body", "n_terms", best.alias("best"), nothing.alias("licensed"))).unionByName(
-        beside.select("key", "body", "n_terms", F.lit(None).alias("best"), F.lit(1).cast("bigint").alias("licensed")))
+        beside.select("key", "body", "n_terms", F.lit(None).alias("best"), F.lit(1).cast("bigint").alias("licensed"))).unionByName(
+        complete.select("key", "body", "n_terms", text_best.alias("best"), F.col("n_terms").cast("bigint").alias("licensed")))
     own = found.groupBy("key", "body", "n_terms").agg(F.min("best").alias("own"), F.sum("licensed").alias("licensed")).select(
         F.col("key").alias("k"), F.col("body").alias("b"), "n_terms", "own", "licensed")
     placed = files.join(own, files["key"].eqNullSafe(own["k"]) & (files["body"] == own["b"]), "left").drop("k", "b")

@@ -2,6 +2,7 @@
 
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -204,6 +205,33 @@ def test_notices_inside_lines_and_across_them_are_found(spark):
     assert all(found[d].score == 1 for d in (1, 2, 3, 4, 5, 6, 7, None))
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+
+
+def test_full_texts_are_licence_files(spark):
+    folder = Path(licenses.__file__).with_name("texts")
+    files = [("m", MIT_TEXT)] + [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    rows = [(i, t, d) for i, (d, t) in enumerate(files)] + [(100 + i, "plain prose about nothing", f"{d}/src") for i, (d, _) in enumerate(files)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string, dir string").repartition(3), F.col("dir")).collect()}
+    for i, (d, _) in enumerate(files):
+        wanted = "MIT" if d == "m" else d
+        assert (found[i].license, found[i].origin, found[i].line) == (wanted, "own", 0)
+        assert (found[100 + i].license, found[100 + i].origin, found[100 + i].from_directory) == (wanted, "inherited", d)
+
+
 def test_cues_are_enough():
     vectors = [(0, "x", {"a": 0.9, "b": math.sqrt(1 - 0.81)}), (1, "y", {"c": math.sqrt(0.5), "d": math.sqrt(0.5)})]
     assert licenses.cues(vectors, 0.75) == ["a", "c"]
