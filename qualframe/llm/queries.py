@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qualframe.llm import language, licenses, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import chat, language, licenses, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -124,8 +124,38 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards)}
-SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip()}
+SAID = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and one whose texts quote a template; all figures are read back from the formatted text."""
+    quoting = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(turn).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(SAID).alias("text"))
+        for turn, role in enumerate(("user", "assistant"))])))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting)
+    made = chat.formatted(turns).select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+                                        chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(listed.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("learned").cast("bigint").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP12_SQL = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+placed AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before,
+    length(text) + length(text) - length(replace(text, chr(92), '')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
+    + (2 * length(text) - length(replace(text, '</turn>', '')) - length(replace(text, '</part>', ''))) // 7 AS n
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n + CASE WHEN role = before THEN 7 ELSE length(role) + 14 END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op12_chat_format)}
+SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip(), "op12_chat_format": OP12_SQL.strip()}
 
 
 def queries() -> dict:
