@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qualframe.llm import chat, language, licenses, line_dedup, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import chat, language, licenses, line_dedup, merkle, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -124,6 +124,51 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf with its proof; where 7 divides the crc32 of the id, the proof is asked about a changed row."""
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.leaf([docs[c] + 1 if c == "n_chars" else docs[c] for c in LEAF])
+    asked = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0, changed)
+    found = merkle.manifest(docs.withColumn("changed", asked), LEAF, carry=["changed"])
+    folded = found.withColumn("folded", merkle.fold(F.coalesce("changed", "leaf"), F.col("segment")))
+    digests = [merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return folded.select("doc_id", *digests, merkle.as_hex(merkle.proof_digest(F.col("segment"))).alias("proof_sha256"),
+                         merkle.as_hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE rows AS (SELECT doc_id, lang, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text],
+        lambda v: coalesce(concat(strlen(v)::VARCHAR, ':', v), '-')) AS f, list_transform([doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text],
+        lambda v: coalesce(concat(strlen(v)::VARCHAR, ':', v), '-')) AS g,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+        lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295) AS crc FROM documents),
+hashed AS (SELECT doc_id, lang, sha256(array_to_string(f, '')) AS leaf, xor(crc, 4294967295) % 7 = 0 AS odd, sha256(array_to_string(g, '')) AS changed FROM rows),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (SELECT lang, 0 AS level, at, leaf AS digest, n FROM leaves
+    UNION ALL SELECT lang, level + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, at // 2, n),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, at, digest, n FROM subroots
+    UNION ALL SELECT level + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, at // 2, n),
+steps AS (SELECT l.lang, l.at, k.level, coalesce(concat(CASE WHEN (l.at >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') AS mark
+    FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) k ON l.lang IS NOT DISTINCT FROM k.lang
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = k.level AND s.at = xor(l.at >> k.level, 1)),
+own AS (SELECT lang, at, list(mark ORDER BY level) AS marks FROM steps GROUP BY lang, at),
+high AS (SELECT b.lang, b.digest AS subroot, list(coalesce(concat(CASE WHEN (b.at >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') ORDER BY k.level)
+        FILTER (k.level IS NOT NULL) AS marks
+    FROM subroots b LEFT JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) k ON true LEFT JOIN tops s ON s.level = k.level AND s.at = xor(b.at >> k.level, 1)
+    GROUP BY b.lang, b.digest),
+proofs AS (SELECT l.doc_id, l.leaf, h.subroot, (SELECT digest FROM tops WHERE n = 1) AS root, CASE WHEN odd THEN coalesce(changed, leaf) ELSE leaf END AS asked,
+    list_concat(coalesce(o.marks, []), coalesce(h.marks, [])) AS marks
+    FROM leaves l LEFT JOIN own o ON l.lang IS NOT DISTINCT FROM o.lang AND l.at = o.at JOIN high h ON l.lang IS NOT DISTINCT FROM h.lang),
+folds AS (SELECT *, list_reduce(marks, lambda a, m: sha256(CASE m[1:1] WHEN 'L' THEN concat(m[2:], a) WHEN 'R' THEN concat(a, m[2:]) ELSE a END), asked) AS folded_root
+    FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(marks, lambda m: m[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folds
+"""
+
 SAID = "\\### Assistant: </turn> ok"
 
 
@@ -154,8 +199,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(concat(role, chr(
 FROM placed GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op12_chat_format)}
-SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip(), "op12_chat_format": OP12_SQL.strip()}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op11_merkle_manifest, op12_chat_format)}
+SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip(), "op11_merkle_manifest": OP11_SQL.strip(),
+       "op12_chat_format": OP12_SQL.strip()}
 
 
 def queries() -> dict:
