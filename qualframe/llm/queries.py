@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from qualframe.llm import chat, language, licenses, line_dedup, merkle, near_dedup, neighbours, packing, quality, sharding, tokens, toxicity
+from qualframe.llm import chat, language, licenses, line_dedup, merkle, near_dedup, negatives, neighbours, packing, quality, sharding, tokens, toxicity
 from qualframe.llm.common import table
 
 SHARDS = 24
@@ -146,23 +146,23 @@ WITH RECURSIVE rows AS (SELECT doc_id, lang, list_transform([doc_id::VARCHAR, so
     list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
         lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295) AS crc FROM documents),
 hashed AS (SELECT doc_id, lang, sha256(array_to_string(f, '')) AS leaf, xor(crc, 4294967295) % 7 = 0 AS odd, sha256(array_to_string(g, '')) AS changed FROM rows),
-leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
-nodes AS (SELECT lang, 0 AS level, at, leaf AS digest, n FROM leaves
-    UNION ALL SELECT lang, level + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, at // 2, n),
-subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
-tops AS (SELECT 0 AS level, at, digest, n FROM subroots
-    UNION ALL SELECT level + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, at // 2, n),
-steps AS (SELECT l.lang, l.at, k.level, coalesce(concat(CASE WHEN (l.at >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') AS mark
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (SELECT lang, 0 AS level, pos, leaf AS digest, n FROM leaves
+    UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, pos, digest, n FROM subroots
+    UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (SELECT l.lang, l.pos, k.level, coalesce(concat(CASE WHEN (l.pos >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') AS mark
     FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) k ON l.lang IS NOT DISTINCT FROM k.lang
-    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = k.level AND s.at = xor(l.at >> k.level, 1)),
-own AS (SELECT lang, at, list(mark ORDER BY level) AS marks FROM steps GROUP BY lang, at),
-high AS (SELECT b.lang, b.digest AS subroot, list(coalesce(concat(CASE WHEN (b.at >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') ORDER BY k.level)
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = k.level AND s.pos = xor(l.pos >> k.level, 1)),
+own AS (SELECT lang, pos, list(mark ORDER BY level) AS marks FROM steps GROUP BY lang, pos),
+high AS (SELECT b.lang, b.digest AS subroot, list(coalesce(concat(CASE WHEN (b.pos >> k.level) % 2 = 0 THEN 'R' ELSE 'L' END, s.digest), '') ORDER BY k.level)
         FILTER (k.level IS NOT NULL) AS marks
-    FROM subroots b LEFT JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) k ON true LEFT JOIN tops s ON s.level = k.level AND s.at = xor(b.at >> k.level, 1)
+    FROM subroots b LEFT JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) k ON true LEFT JOIN tops s ON s.level = k.level AND s.pos = xor(b.pos >> k.level, 1)
     GROUP BY b.lang, b.digest),
 proofs AS (SELECT l.doc_id, l.leaf, h.subroot, (SELECT digest FROM tops WHERE n = 1) AS root, CASE WHEN odd THEN coalesce(changed, leaf) ELSE leaf END AS asked,
     list_concat(coalesce(o.marks, []), coalesce(h.marks, [])) AS marks
-    FROM leaves l LEFT JOIN own o ON l.lang IS NOT DISTINCT FROM o.lang AND l.at = o.at JOIN high h ON l.lang IS NOT DISTINCT FROM h.lang),
+    FROM leaves l LEFT JOIN own o ON l.lang IS NOT DISTINCT FROM o.lang AND l.pos = o.pos JOIN high h ON l.lang IS NOT DISTINCT FROM h.lang),
 folds AS (SELECT *, list_reduce(marks, lambda a, m: sha256(CASE m[1:1] WHEN 'L' THEN concat(m[2:], a) WHEN 'R' THEN concat(a, m[2:]) ELSE a END), asked) AS folded_root
     FROM proofs)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(marks, lambda m: m[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
@@ -199,9 +199,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(concat(role, chr(
 FROM placed GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op11_merkle_manifest, op12_chat_format)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten hard negatives for each of the five best positives of every row whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return negatives.mine(rows, rows["vec_id"] % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id, list_dot_product(a.e, c.e)::BIGINT AS score
+    FROM v a JOIN v c ON len(a.e) = len(c.e) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op11_merkle_manifest, op12_chat_format, op13_hard_negatives)}
 SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip(), "op11_merkle_manifest": OP11_SQL.strip(),
-       "op12_chat_format": OP12_SQL.strip()}
+       "op12_chat_format": OP12_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip()}
 
 
 def queries() -> dict:
