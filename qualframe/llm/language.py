@@ -6,8 +6,9 @@ a text by the product over its words. Learning is one expectation step over all
 forward and backward sums give the expected number of times each piece is used, counted per language by the tasks
 and added up in a shuffle of at most (languages x pieces) rows per task.
 
-Both passes work on distinct words of a lot of texts, many words at a time. Words are cut after ``LONGEST`` characters, each
-part being segmented by itself, so that no product underflows; nothing is left out.
+Both passes work on distinct words of a lot of texts, many words at a time, with every piece of the vocabulary, however long. Words are never cut:
+in long runs of letters the sums are scaled every ``RESCALE`` characters and the logarithms of the scales go along, so nothing underflows
+and every segmentation counts. Short words meet in lots of one length, long ones in lots of similar length, filled up at the end.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0; without labelled texts everything is
 ``und``; equal scores go to the first language in alphabetical order; rows without a language are not learned from; repeated
@@ -30,8 +31,8 @@ from qualframe.llm.common import once, travels
 
 travels(__name__)
 
-LONGEST = 24
-LONGEST_PIECE = 10
+# Characters after which sums are scaled; words longer than this share lots by steps of ``FILL`` characters.
+RESCALE, FILL = 24, 8
 START = "▁"  # the vocabulary's mark for the start of a word
 LETTERS = r"\p{L}+"
 # Added to every expected count.
@@ -43,11 +44,11 @@ UNKNOWN = "und"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashed(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """For lengths 1, 2, ...: the hash of the substring of that length that starts at each place (columns)."""
+def _hashed(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For lengths 1, 2, ... ``longest``: the hash of the substring of that length that starts at each place (columns)."""
     codes = codes.astype(np.uint64) + np.uint64(1)
     value = np.zeros_like(codes)
-    for length in range(1, min(LONGEST_PIECE, codes.shape[1]) + 1):
+    for length in range(1, min(longest, codes.shape[1]) + 1):
         value = value[:, :codes.shape[1] - length + 1] * _PRIME + codes[:, length - 1:]
         yield (value ^ (value >> np.uint64(29))) * _PRIME
 
@@ -59,7 +60,8 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i)
         pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not special(i)}
-        keys = np.array([list(_hashed(_codes([p])))[-1][0, 0] for p in sorted(pieces) if 0 < len(p) <= LONGEST_PIECE], np.uint64)
+        self.longest = max(map(len, pieces))
+        keys = np.array([list(_hashed(_codes([p]), self.longest))[-1][0, 0] for p in sorted(pieces) if p], np.uint64)
         self.keys = np.unique(keys)
         self.size = len(self.keys)
         self.filled = np.zeros(1 << 20, bool)  # by the first bits of a hash: whether any piece has them
@@ -68,7 +70,7 @@ class Vocabulary:
     def pieces(self, codes: np.ndarray) -> list[np.ndarray]:
         """By length - 1: the piece that starts at each place, or -1."""
         out = []
-        for length, value in enumerate(_hashed(codes), 1):
+        for length, value in enumerate(_hashed(codes, self.longest), 1):
             found = np.full(value.shape, self.size if length == 1 else -1, np.int32)
             likely = self.filled[value >> np.uint64(44)]
             some = value[likely]
@@ -87,59 +89,94 @@ def vocabulary(path: str) -> Vocabulary:
     return once(f"vocabulary {path}", lambda: Vocabulary(path))
 
 
-def forward(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of the first 0, 1, ... characters; ``weights`` by piece and language, last row 0."""
+def scores_of(pieces: list[np.ndarray], weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of whole words, by language."""
+    sums, scales = forward(pieces, weights)
+    out = np.empty((len(ends), weights.shape[1]))
+    for end in np.unique(ends):
+        own = ends == end
+        scale = scales[end]
+        out[own] = np.log(sums[end][own]) + (scale if np.isscalar(scale) else scale[own])
+    return out
+
+
+def _scaled(recent: list[np.ndarray], scale: np.ndarray | float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same sums, the greatest of each word and language being 1, and the logarithm of what they were divided by."""
+    top = np.maximum.reduce(recent)
+    top = np.where(top > 0, top, 1.0)
+    return [r / top for r in recent], scale + np.log(top)
+
+
+def forward(pieces: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], list]:
+    """Sums over all segmentations of the first 0, 1, ... characters, and the logarithms of their scales; ``weights`` by piece and language."""
     n, length = pieces[0].shape
-    sums = [np.ones((n, weights.shape[1]))]
+    recent, scale = [np.ones((n, weights.shape[1]))], 0.0
+    sums, scales = [recent[0]], [scale]
     for end in range(1, length + 1):
         total = np.zeros_like(sums[0])
         for size in range(1, min(end, len(pieces)) + 1):
             used = pieces[size - 1][:, end - size]
             hit = np.flatnonzero(used >= 0)
-            total[hit] += sums[end - size][hit] * weights[used[hit]]
-        sums.append(total)
-    return sums
+            total[hit] += recent[-size][hit] * weights[used[hit]]
+        recent = [*recent[1 - len(pieces):], total] if len(pieces) > 1 else [total]
+        if end % RESCALE == 0:
+            recent, scale = _scaled(recent, scale)
+        sums.append(recent[-1])
+        scales.append(scale)
+    return sums, scales
 
 
-def expected(pieces: list[np.ndarray], weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, by language, in words that occur ``counts`` (word x language) times; one weight column."""
+def backward(pieces: list[np.ndarray], weights: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list]:
+    """The same over all segmentations from a place to the end of each word; 0 beyond it."""
     n, length = pieces[0].shape
-    before = forward(pieces, weights)
-    after = [None] * length + [np.ones((n, 1))]
+    recent, scale = [(ends == length).astype(float)[:, None]], 0.0
+    sums, scales = [recent[0]], [scale]
     for start in range(length - 1, -1, -1):
         total = np.zeros((n, 1))
         for size in range(1, min(length - start, len(pieces)) + 1):
             used = pieces[size - 1][:, start]
             hit = np.flatnonzero(used >= 0)
-            total[hit] += after[start + size][hit] * weights[used[hit]]
-        after[start] = total
+            total[hit] += recent[-size][hit] * weights[used[hit]]
+        total[ends == start] = 1.0
+        recent = [*recent[1 - len(pieces):], total] if len(pieces) > 1 else [total]
+        if (length - start) % RESCALE == 0:
+            recent, scale = _scaled(recent, scale)
+        sums.append(recent[-1])
+        scales.append(scale)
+    return sums[::-1], scales[::-1]
+
+
+def expected(pieces: list[np.ndarray], weights: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, by language, in words that occur ``counts`` (word x language) times; one weight column."""
+    n, length = pieces[0].shape
+    before, before_scales = forward(pieces, weights)
+    after, after_scales = backward(pieces, weights, ends)
+    whole, whole_scale = after[0], after_scales[0]
     out = np.zeros((len(weights), counts.shape[1]))
     for size in range(1, len(pieces) + 1):
         for start in range(length - size + 1):
             used = pieces[size - 1][:, start]
-            hit = np.flatnonzero(used >= 0)
-            share = (before[start][hit] * weights[used[hit]] * after[start + size][hit] / before[length][hit])[:, 0]
+            hit = np.flatnonzero((used >= 0) & (ends >= start + size))
+            share = before[start][hit] * weights[used[hit]] * after[start + size][hit] / whole[hit]
+            scales = before_scales[start] + after_scales[start + size] - whole_scale
+            if not np.isscalar(scales):
+                share = share * np.exp(scales[hit])
             for language in range(counts.shape[1]):
-                out[:, language] += np.bincount(used[hit], share * counts[hit, language], minlength=len(weights))
+                out[:, language] += np.bincount(used[hit], share[:, 0] * counts[hit, language], minlength=len(weights))
     return out
 
 
-def _parts(word: str) -> list[str]:
-    word = START + word
-    return [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Parts of words of one length each: the words they belong to, and their characters."""
-    lengths: dict[int, tuple[list[int], list[str]]] = {}
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of about one length each: their numbers, their characters and where they end."""
+    lengths: dict[int, list[int]] = {}
     for number, word in enumerate(words):
-        for part in _parts(word):
-            owners, parts = lengths.setdefault(len(part), ([], []))
-            owners.append(number)
-            parts.append(part)
-    for owners, parts in lengths.values():
-        for i in range(0, len(parts), 50_000):
-            yield owners[i:i + 50_000], _codes(parts[i:i + 50_000])
+        n = len(word) + 1
+        lengths.setdefault(n if n <= RESCALE else -(-n // FILL) * FILL, []).append(number)
+    for length, numbers in lengths.items():
+        step = max(1, 50_000 * RESCALE // max(length, RESCALE))
+        for i in range(0, len(numbers), step):
+            some = numbers[i:i + step]
+            yield (np.array(some), _codes([(START + words[k]).ljust(length, "\0") for k in some]), np.array([len(words[k]) + 1 for k in some]))
 
 
 def in_part(key: Column, parts: int, part: int) -> Column:
@@ -163,8 +200,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
             for language, words in seen.items():
                 total = totals.setdefault(language, np.zeros(pieces.size + 1))
                 times = np.fromiter(words.values(), np.float64, len(words))
-                for owners, codes in _by_length(list(words)):
-                    total += expected(pieces.pieces(codes), weights, times[owners][:, None])[:, 0]
+                for owners, codes, ends in _by_length(list(words)):
+                    total += expected(pieces.pieces(codes), weights, times[owners][:, None], ends)[:, 0]
             seen.clear()
 
         for batch in batches:
@@ -212,8 +249,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
         def complete(self) -> None:
             new = list(self)[len(self.table):]
             table = np.zeros((len(new), len(langs)))
-            for owners, codes in _by_length(new):
-                np.add.at(table, owners, np.log(forward(vocabulary(path).pieces(codes), shared.value)[-1]))
+            for owners, codes, ends in _by_length(new):
+                table[owners] = scores_of(vocabulary(path).pieces(codes), shared.value, ends)
             self.table = np.concatenate([self.table, table])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

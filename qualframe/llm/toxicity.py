@@ -144,7 +144,7 @@ def fit(known: np.ndarray, rows: pa.Table, rate: float) -> Model:
     label, n, size = rows["label"].to_numpy().astype(np.float64), len(rows), len(known)
     at, owner = _flat(rows["has"].combine_chunks())
     swaps = rows["swapped"].combine_chunks()
-    origin = np.flatnonzero(swaps.is_valid().to_numpy(zero_copy_only=False))
+    origin = np.flatnonzero(~swaps.is_null().to_numpy(zero_copy_only=False))
     at_pair, pair = _flat(swaps.drop_null())
     weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     weights[-1] = np.log(rate / (1 - rate))

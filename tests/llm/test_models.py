@@ -2,12 +2,14 @@
 
 import math
 import re
+from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from qualframe.llm import language, licenses, toxicity
@@ -17,28 +19,60 @@ PIECES = language.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
 
 # ---- language ------------------------------------------------------------------------------------------
 
-def segmentations(word):
-    """Every way to cut a word into pieces; single characters always count."""
-    if not word:
-        yield []
-    for n in range(1, min(language.LONGEST_PIECE, len(word)) + 1):
-        found = PIECES.pieces(language._codes([word[:n]]))[n - 1][0, 0]
-        if found >= 0:
-            for rest in segmentations(word[n:]):
-                yield [found, *rest]
+PROCESSOR = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+NAMES = {PROCESSOR.id_to_piece(i).lower() for i in range(PROCESSOR.get_piece_size())
+         if not (PROCESSOR.is_control(i) or PROCESSOR.is_unknown(i) or PROCESSOR.is_byte(i))}
+LONG = ["▁universidad", "▁representation", "▁agriculture", "▁" + "donaudampfschifffahrtsgesellschaftskapitän" * 2, "▁" + "x" * 200, "▁" + "the北京representation" * 40]
 
 
-@pytest.mark.parametrize("word", ["a", "▁the", "▁house", "▁zqx", "▁naïve", "北京"])
-def test_forward_sums_all_segmentations(word):
+def number(piece):
+    """The piece's own number; that of the unknown for a character that is none; nothing for other strings."""
+    if piece in NAMES:
+        return int(PIECES.pieces(language._codes([piece]))[len(piece) - 1][0, 0])
+    return PIECES.size if len(piece) == 1 else None
+
+
+def summed(word, weight):
+    """Sums over the segmentations of every beginning of a word, in numbers that do not underflow."""
+    sums = [Decimal(1)]
+    for end in range(1, len(word) + 1):
+        found = [(k, number(word[k:end])) for k in range(end)]
+        sums.append(sum((sums[k] * Decimal(float(weight[i])) for k, i in found if i is not None), Decimal(0)))
+    return sums
+
+
+def test_every_piece_of_the_vocabulary_is_used():
+    assert PIECES.size == len(NAMES) and PIECES.longest == max(map(len, NAMES)) > 10
+    assert all(number(piece) >= 0 for piece in NAMES if len(piece) > 10)
+
+
+@pytest.mark.parametrize("word", ["a", "▁the", "▁house", "▁zqx", "▁naïve", "北京", *LONG])
+def test_sums_count_all_segmentations(word):
     weights = np.random.default_rng(1).random((PIECES.size + 1, 2)) / 100
-    wanted = sum(np.prod(weights[cut], axis=0) for cut in segmentations(word))
-    pieces = PIECES.pieces(language._codes([word]))
-    assert np.allclose(language.forward(pieces, weights)[-1][0], wanted)
-    expected = np.zeros(PIECES.size + 1)
-    for cut in segmentations(word):
-        for piece in cut:
-            expected[piece] += np.prod(weights[cut, 0]) / wanted[0]
-    assert np.allclose(language.expected(pieces, weights[:, :1], np.ones((1, 1)))[:, 0], expected)
+    before = [summed(word, weights[:, column]) for column in (0, 1)]
+    codes, ends = language._codes([word.ljust(len(word) + 5, "\0")]), np.array([len(word)])
+    pieces = PIECES.pieces(codes)
+    assert np.allclose(language.scores_of(pieces, weights, ends)[0], [float(b[-1].ln()) for b in before])
+    after = [Decimal(0)] * len(word) + [Decimal(1)]
+    for start in range(len(word) - 1, -1, -1):
+        found = [(end, number(word[start:end])) for end in range(start + 1, len(word) + 1)]
+        after[start] = sum((Decimal(float(weights[i, 0])) * after[end] for end, i in found if i is not None), Decimal(0))
+    wanted = np.zeros(PIECES.size + 1)
+    for start in range(len(word)):
+        for end in range(start + 1, len(word) + 1):
+            if (i := number(word[start:end])) is not None:
+                wanted[i] += float(before[0][start] * Decimal(float(weights[i, 0])) * after[end] / after[0])
+    assert np.allclose(language.expected(pieces, weights[:, :1], np.ones((1, 1)), ends)[:, 0], wanted)
+
+
+def test_lots_of_words_are_scored_as_each_alone():
+    weights = np.random.default_rng(2).random((PIECES.size + 1, 3)) / 50
+    words = [w[1:] for w in LONG] + ["a", "bc", "representations", "x" * 24, "y" * 23, "z" * 25, "a" * 31, "b" * 32, "c" * 33]
+    found = np.zeros((len(words), 3))
+    for owners, codes, ends in language._by_length(words):
+        found[owners] = language.scores_of(PIECES.pieces(codes), weights, ends)
+    alone = [language.scores_of(PIECES.pieces(language._codes(["▁" + w])), weights, np.array([len(w) + 1]))[0] for w in words]
+    assert np.allclose(found, alone)
 
 
 def test_languages_of_held_out_texts(spark, data):
