@@ -9,14 +9,17 @@ Leaves and queries meet in cells of bounded size: a leaf with many rows (a vecto
 its queries into groups, and every pair of block and group is one task's small product, which returns the best rows of each
 query. So no leaf, however full, is one task.
 
-Defined results: vectors that are null, empty, zero, of another length than most sampled ones, or hold null or non-finite components,
-and rows without an id take no part; ties go to the smaller id; a query meets every row but those with its own id;
+Vectors of different lengths never meet: each length has a tree of its own, and lengths of no more rows than a leaf holds are one leaf each.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
+and rows without an id take no part; a query meets rows of its own length; ties go to the smaller id; a query meets every row but those with its own id;
 with fewer candidates than asked for, all are returned; repeated rows are each a candidate; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -122,9 +125,11 @@ def visits(tree: Tree, query: np.ndarray, rows: np.ndarray, number: int, least:
     return out
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length, one row each."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> pa.Table:
@@ -167,14 +172,10 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Tree, int] | None:
-    """The tree of a bounded sample (smallest hashes of id), and the length of its vectors; None without vectors."""
-    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()["vector"].to_pylist()
-    if not taken:
-        return None
-    sizes = [len(v) for v in taken]
-    size = max(sorted(set(sizes)), key=sizes.count)
-    return build(np.array([v for v in taken if len(v) == size], np.float64)), size
+def fit(vectors: DataFrame, sample: int = SAMPLE) -> Tree:
+    """The tree of a bounded sample (smallest hashes of id) of vectors of one length."""
+    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
+    return build(_vectors(taken["vector"]).astype(np.float64, copy=False))
 
 
 def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
@@ -183,35 +184,59 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     spark = table.sparkSession
     vectors = table.select(table[f"`{key}`"].cast("bigint").alias("vec_id"), table[f"`{vector}`"].cast("array<double>").alias("vector"),
                            F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    fitted = fit(vectors, sample)
-    if fitted is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    tree, size = fitted
+    lengths = {r["length"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).collect()}  # a row per length
+    large = sorted(length for length, n in lengths.items() if n > LEAF)
+    parts = [_in_tree(vectors.where(F.size("vector") == length), k, sample, recall) for length in large]
+    if len(large) < len(lengths):
+        few = vectors if not large else vectors.where(~F.size("vector").isin(large))
+        parts.append(_in_leaves(stored(few.withColumn("leaf", F.size("vector")), "leaves"), k))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_tree(vectors: DataFrame, k: int, sample: int, recall: float) -> DataFrame:
+    """Rows found for each query among vectors of one length."""
+    tree = fit(vectors, sample)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _vectors(batch.column(1), size)
-            yield batch.append_column("leaf", pa.array(assign(tree, points), pa.int32()))
+            yield batch.append_column("leaf", pa.array(assign(tree, _vectors(batch.column(1))), pa.int32()))
 
-    index = stored(vectors.where(F.size("vector") == size).mapInArrow(placed, "vec_id bigint, vector array<double>, asks boolean, leaf int"), "leaves")
+    index = stored(vectors.mapInArrow(placed, "vec_id bigint, vector array<double>, asks boolean, leaf int"), "leaves")
     queries = index.where("asks").select(F.col("vec_id").alias("query_id"), "vector")
-    held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
+    held = _counted(index)
     rows = np.array([held.get(leaf, 0) for leaf in range(tree.leaves)], np.int64)
-    number = _calibrated(index, queries, tree, rows, size, k, recall)
+    number = _calibrated(index, queries, tree, rows, k, recall)
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                listed = [visits(tree, p, rows, number, k + 1) for p in _vectors(part.column(1), size)]
+                listed = [visits(tree, p, rows, number, k + 1) for p in _vectors(part.column(1))]
                 yield part.append_column("leaves", pa.array(listed, pa.list_(pa.int32())))
 
     walked = queries.mapInArrow(walks, "query_id bigint, vector array<double>, leaves array<int>").select(
         "query_id", "vector", F.explode("leaves").alias("leaf"))
-    asked = {r["leaf"]: r["n"] for r in walked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
-    grid = spark.createDataFrame(
+    return _met(index, walked, held, k)
+
+
+def _in_leaves(index: DataFrame, k: int) -> DataFrame:
+    """The same among vectors whose length is their leaf: every query meets all rows of its leaf."""
+    asked = index.where("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("vector"), F.col("leaf").alias("leaf"))
+    return _met(index, asked, _counted(index), k)
+
+
+def _counted(rows: DataFrame) -> dict[int, int]:
+    """Rows of every leaf."""
+    return {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
+
+
+def _met(index: DataFrame, walked: DataFrame, held: dict[int, int], k: int) -> DataFrame:
+    """The ``k`` best rows of each leaf for each query that visits it, cell by cell."""
+    asked = _counted(walked)
+    grid = index.sparkSession.createDataFrame(
         [(leaf, -(-n // CELL_ROWS), -(-asked.get(leaf, 0) // CELL_QUERIES)) for leaf, n in sorted(held.items())], "leaf int, blocks int, groups int")
-    grid = F.broadcast(grid)  # a row per leaf, bounded by the sample
+    grid = F.broadcast(grid)  # a row per leaf, bounded by the sample and the number of lengths
     blocks = index.join(grid, "leaf").where("groups > 0").select(
         "leaf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "vector")
@@ -220,25 +245,25 @@ def search(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("group"), "query_id", "vector")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        return best(_vectors(left["vector"], size), left["query_id"].to_numpy(), _vectors(right["vector"], size),
-                    right["vec_id"].to_numpy(), k)
+        if not len(left) or not len(right):
+            return pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return best(_vectors(left["vector"]), left["query_id"].to_numpy(), _vectors(right["vector"]), right["vec_id"].to_numpy(), k)
 
     cells = ["leaf", "block", "group"]
-    found = groups.groupBy(*cells).cogroup(blocks.groupBy(*cells)).applyInArrow(cell, FOUND)
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    return groups.groupBy(*cells).cogroup(blocks.groupBy(*cells)).applyInArrow(cell, FOUND)
 
 
-def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, rows: np.ndarray, size: int, k: int, recall: float) -> int:
+def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, rows: np.ndarray, k: int, recall: float) -> int:
     """The least number of leaves at which the calibration queries reach ``recall``, their truth found by brute force."""
     chosen = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATED).toArrow()
     if not len(chosen):
         return 1
-    asked, points = chosen["query_id"].to_numpy(), _vectors(chosen["vector"], size)
+    asked, points = chosen["query_id"].to_numpy(), _vectors(chosen["vector"])
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = dict(zip(batch["vec_id"].to_pylist(), batch["leaf"].to_pylist()))
-            top = best(points, asked, _vectors(batch["vector"], size), batch["vec_id"].to_numpy(), k)
+            top = best(points, asked, _vectors(batch["vector"]), batch["vec_id"].to_numpy(), k)
             yield from top.append_column("leaf", pa.array([leaf[i] for i in top["vec_id"].to_pylist()], pa.int32())).to_batches()
 
     nearest = _ranked(index.mapInArrow(truth, f"{FOUND}, leaf int"), k).select("query_id", "leaf").toArrow()

@@ -17,7 +17,7 @@ def truth(rows, k):
     out = {}
     for i, q in usable:
         if i % 20 == 0:
-            scored = sorted((-(v * q).sum(), j) for j, v in usable if j != i)[:k]
+            scored = sorted((-(v * q).sum(), j) for j, v in usable if j != i and len(v) == len(q))[:k]
             out[i] = [(j, -s) for s, j in scored]
     return out
 
@@ -46,6 +46,17 @@ def test_fewer_candidates_than_asked_for_and_none(spark):
     assert neighbours.search(table, F.col("vec_id") == 7).count() == 0
 
 
+def test_every_length_of_vectors_is_searched(spark):
+    """A length with a tree, a second one nearly as frequent, and rare ones that are one leaf each."""
+    rows = [(i, [float(x) for x in RNG.normal(size=8 if i % 2 else 5)]) for i in range(1_300)]
+    rows += [(2_000 + i, [float(x) for x in RNG.normal(size=3 + i % 2 * 9)]) for i in range(90)] + [(3_000, [1.0] * 40)]
+    table = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "vec_id bigint, embedding array<double>, vector string, leaf int, asks boolean").repartition(4)
+    found, wanted = answers(neighbours.search(table, F.col("vec_id") % 20 == 0, recall=1.0).collect()), truth(rows, 20)
+    assert {q: w for q, w in wanted.items() if q >= 2_000 and w} == {q: f for q, f in found.items() if q >= 2_000}
+    tree = [q for q in wanted if q < 2_000]
+    assert set(tree) <= set(found) and sum(len(set(found[q]) & set(wanted[q])) for q in tree) >= 0.9 * 20 * len(tree)
+
+
 def test_recall_on_clusters(spark):
     centres = RNG.normal(size=(40, 16))
     points = centres[RNG.integers(40, size=4_000)] + 0.3 * RNG.normal(size=(4_000, 16))
