@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualframe.llm import line_dedup, near_dedup, packing, quality, queries, toxicity
-from qualframe.llm.common import BLANK, stored, table
+from qualframe.llm.common import stored, table
+from qualframe.operators.ordering import rank_groups
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,34 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines an earlier line stands for; documents left without a word go."""
+    """Documents without the lines an earlier line stands for; documents left with too few words for the quality rules go.
+
+    What is left of a near copy of another document is a few lines, which no later stage would find to be near anything.
+    """
     rest = line_dedup.without_duplicates(docs)
-    kept = rest.where(F.regexp_replace("text", BLANK, "") != "")
+    few = F.col("fail_bits").bitwiseAND(F.lit(quality.mask(["few_words"])).cast("bigint")) != 0
+    kept = quality.ledger(rest).where(~few).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates, once.
+
+    Rows that share an id, or have none, are told apart by a digest of their text, equal ones being one row; behind
+    the largest id they have numbers of their own, so a row with an id of its own stays before them.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    repeated = stored(repeated, "repeated-ids")
+    shared = stored(docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn(
+        "_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "_digest"]), "shared-ids")
+    numbers = rank_groups(shared.select("doc_id", "_digest"), [F.col("doc_id").asc_nulls_last(), F.col("_digest").asc()], "_number")
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    own = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").withColumn("_key", F.col("doc_id"))
+    told = numbers.withColumnRenamed("doc_id", "_id").withColumnRenamed("_digest", "_told")
+    rest = shared.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_told"))).withColumn("_key", F.col("_number") + last + 1)
+    keyed = own.select(*docs.columns, "_key").unionByName(rest.select(*docs.columns, "_key"))
+    gone = near_dedup.near_duplicates(keyed.select("_key", "text"), "_key").where("NOT kept").select("_key")
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
