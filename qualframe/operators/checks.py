@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from typing import Any, Sequence
+from typing import Any, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +122,8 @@ def result_columns(evaluated: Column, failed: Column, fail_severity: Column) ->
     ]
 
 
-def _run_batch(df: DataFrame, checks: Sequence[Check], by: Sequence[str]) -> DataFrame:
+def _counted(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """All counts of a batch in one wide row (per group), and the names of each check's pair of counts."""
     # Equal counts (rows, values of a column) appear several times here; Spark computes each one once.
     counts: list[Column] = []
 
@@ -134,7 +135,11 @@ def _run_batch(df: DataFrame, checks: Sequence[Check], by: Sequence[str]) -> Dat
 
     names = [(counted(check.evaluated), counted(check.failed)) for check in checks]
     counts = counts or [F.count(F.lit(1)).alias("_n0")]
-    wide = df.groupBy(*[ref(c) for c in by]).agg(*counts)
+    return df.groupBy(*[ref(c) for c in by]).agg(*counts), names
+
+
+def _run_batch(df: DataFrame, checks: Sequence[Check], by: Sequence[str]) -> DataFrame:
+    wide, names = _counted(df, checks, by)
     # One text for the whole stack: building hundreds of literals one by one costs seconds on the driver.
     rows = ", ".join(
         f"named_struct('column', {sql_text(check.column)}, 'check', {sql_text(check.check)}, "
@@ -149,6 +154,18 @@ def _run_batch(df: DataFrame, checks: Sequence[Check], by: Sequence[str]) -> Dat
     )
 
 
+def counts_of(df: DataFrame, checks: Mapping[int, Check], batch: int = BATCH) -> list[DataFrame]:
+    """``number, evaluated, failed`` of numbered checks, to be added to counts from elsewhere."""
+    numbers, frames = sorted(checks), []
+    for i in range(0, len(numbers), batch):
+        part = numbers[i:i + batch]
+        wide, names = _counted(df, [checks[n] for n in part])
+        rows = ", ".join(f"named_struct('number', {n}, 'evaluated', CAST({evaluated} AS BIGINT), 'failed', CAST({failed} AS BIGINT))"
+                         for n, (evaluated, failed) in zip(part, names))
+        frames.append(wide.select(F.expr(f"inline(array({rows}))")))
+    return frames
+
+
 def run_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = (), batch: int = BATCH) -> DataFrame:
     """Count all checks over the whole frame, or per group of ``by``; one row per check (and group)."""
     if not checks:

@@ -15,6 +15,7 @@ from qualframe.operators.uniqueness import key_counts, repeated_keys
 from qualframe.operators.validate import column_levels, column_summary, findings, mark_rows, split_rows, table_level, validate
 from qualframe.plans.statistics import validate_files
 from qualframe.queries.registry import base_rows, check_row, query, report_of, rule_row, spec_of, table
+from qualframe.session import scratch_path
 
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
             "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -93,6 +94,28 @@ def files_report(spark, d):
     return validate_files(spark, f"{d}/lineitem.parquet", lineitem_spec(table(spark, d, "lineitem")))
 
 
+_RANGED = ("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+_LAST_KEYS = "(SELECT max(l_orderkey) - 5 FROM lineitem)"
+
+
+@query("validate_open_files", 'SELECT "column", "check", "constraint", "level", severity, status, evaluated, failed, percent FROM (' + report_of(
+    base_rows("lineitem", _RANGED) + [
+        rule_row("lineitem", "l_orderkey", "greater_equal", "error", "0", "l_orderkey < 0"),
+        rule_row("lineitem", "l_orderkey", "less_equal", "warning", "last", f"l_orderkey > {_LAST_KEYS}"),
+        rule_row("lineitem", "l_linenumber", "less", "error", "8", "l_linenumber >= 8"),
+        rule_row("lineitem", "l_linenumber", "greater", "warning", "7", "l_linenumber <= 7"),
+        check_row("lineitem", None, "table_constraint", "count(*)", "0", 1, "min_rows", "warning", "1")]) + ")")
+def validate_open_files(spark, d):
+    """Files laid out by key: footers settle all but the last, which alone is read."""
+    df, path = table(spark, d, "lineitem").select(*_RANGED), scratch_path(spark, "ranged")
+    df.repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey").write.parquet(path)
+    last = df.agg(F.max("l_orderkey")).first()[0] - 5
+    spec = spec_of(df, "lineitem").with_rules(
+        l_orderkey=[rule("greater_equal", error="0"), rule("less_equal", str(last))], l_linenumber=[rule("less", error="8"), rule("greater", "7")])
+    report = validate_files(spark, path, replace(spec, table_rules=(rule("min_rows", "1"),)))
+    return report.drop("value")
+
+
 @query("validate_by_month", MONTHLY_REPORT)
 def validate_by_month(spark, d):
     df = by_month(spark, d)

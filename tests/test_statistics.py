@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,80 @@ def test_settled_columns_are_not_read(spark, table):
     assert re.findall(r"ReadSchema: struct<(.*?)>+$", plan, re.M) == ["small:int,x:double,l:array<bigint"]
 
 
+def scanned(report):
+    """Files and columns of every scan of a plan."""
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    return sorted(zip(re.findall(r"InMemoryFileIndex\((\d+) paths\)", plan), re.findall(r"ReadSchema: struct<(.*?)>", plan)))
+
+
+def plain(report):
+    return sorted(map(str, report.collect()))
+
+
+@pytest.fixture
+def ranged(spark, tmp_path):
+    """Four files by range of ``id``; the third lacks ``b``, the fourth holds a text out of order."""
+    path = tmp_path / "r"
+    for i in range(4):
+        df = spark.range(i * 250, i * 250 + 250).selectExpr(
+            "id", "IF(id % 9 = 0, NULL, id * 2) AS b", "IF(id = 999, 'z', concat('k', id % 7)) AS t", "CAST(NULL AS INT) AS void", "id / 3 AS x")
+        (df.drop("b") if i == 2 else df).coalesce(1).write.mode("append").parquet(str(path))
+    return str(path), spark.read.option("mergeSchema", True).parquet(str(path))
+
+
+RANGED_RULES = {
+    "id": [Rule("less", {"error": "990"}), Rule("greater_equal", {"warning": "500"})],
+    "b": [Rule("less_equal", {"warning": "400", "error": "2000"})],
+    "t": [Rule("less", {"error": "l"})],
+    "void": [Rule("greater", {"error": "1"}), Rule("allowed_values", {"warning": "1,2"})],
+}
+
+
+def test_only_open_files_and_columns_are_read(spark, ranged):
+    path, df = ranged
+    spec = spec_of(df, "r").with_rules(**RANGED_RULES)
+    report = validate_files(spark, path, spec)
+    # The first file: b from 0 to 498 against 400. The last: id up to 999 against 990, and a text.
+    assert scanned(report) == [("1", "b:bigint"), ("1", "id:bigint,t:string")]
+    names = "`check` NOT IN ('columns_validated', 'missing_columns')"  # which validate_files compares file by file
+    assert plain(report.where(names)) == plain(validate(df, spec).where(names))
+    assert set(open_columns(spark, path, spec)) == {"id", "b", "t"}
+
+
+def test_files_share_the_last_scan(spark, ranged, monkeypatch):
+    from qualframe.plans import statistics
+
+    monkeypatch.setattr(statistics, "SCANS", 1)
+    path, df = ranged
+    spec = spec_of(df, "r").with_rules(**RANGED_RULES)
+    report = validate_files(spark, path, spec)
+    assert scanned(report) == [("2", "b:bigint,id:bigint,t:string")] or scanned(report) == [("2", "id:bigint,b:bigint,t:string")]
+    names = "`check` NOT IN ('columns_validated', 'missing_columns')"
+    assert plain(report.where(names)) == plain(validate(df, spec).where(names))
+
+
+@pytest.mark.parametrize("nulls_allowed", [False, True])
+def test_proofs_agree_with_counts_for_any_bound(spark, ranged, nulls_allowed):
+    path, df = ranged
+    for bound in ("-1", "0", "249", "250", "500", "998", "999", "1000"):
+        rules = [Rule(name, {"warning": bound}) for name in ("greater", "greater_equal", "less", "less_equal", "not_equal", "multiple_of", "allowed_values")
+                 if name != "multiple_of" or bound not in ("0", "-1")]
+        spec = spec_of(df.select("id", "b", "void"), "r").with_rules(id=rules, b=rules, void=rules)
+        names = "`check` = 'constraint' OR `check` = 'nulls'"
+        found = validate_files(spark, path, spec, nulls_allowed=nulls_allowed)
+        assert plain(found.where(names)) == plain(validate(df, spec, nulls_allowed=nulls_allowed).where(names))
+
+
+def test_known_row_counts_and_folders_named_by_values(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(100).selectExpr("id", "id % 3 AS part", "id / 2 AS x").write.partitionBy("part").parquet(path)
+    df = spark.read.parquet(path)
+    spec = spec_of(df, "p").with_rules(part=[Rule("less", {"error": "2"})], id=[Rule("less", {"error": "99"})])
+    spec = replace(spec, table_rules=(Rule("min_rows", {"warning": "200"}), Rule("max_rows", {"error": "99"}), Rule("expression", {"error": "id <> part"})))
+    kinds = "`check` IN ('constraint', 'nulls', 'table_constraint', 'rows')"
+    assert plain(validate_files(spark, path, spec).where(kinds)) == plain(validate(df, spec).where(kinds))
+
+
 def test_nothing_left_to_scan(spark, table):
     df = spark.read.parquet(table).drop("l", "x")
     spec = spec_of(df, "t").with_rules(id=[Rule("greater_equal", {"error": "0"})])
