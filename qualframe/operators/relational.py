@@ -14,7 +14,8 @@ from qualframe.operators.checks import result_columns
 from qualframe.operators.uniqueness import key_counts
 from qualframe.operators.validate import validate
 
-Link = tuple[Sequence[str], str, Sequence[str]]
+# (table, column or columns) -> (parent table, key column or columns)
+Links = Mapping[tuple[str, str | Sequence[str]], tuple[str, str | Sequence[str]]]
 
 
 def orphan_keys(child: DataFrame, columns: Sequence[str], parent: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,26 +47,51 @@ def reference_check(child: DataFrame, columns: Sequence[str], parent: DataFrame,
     )
 
 
-def links_of(document: Document) -> dict[tuple[str, str], tuple[str, str]]:
-    """References a document states itself: ``is_join`` columns named like the only key of another table."""
-    owners: dict[str, list[str]] = {}
+def references_by_delivery(child: DataFrame, columns: Sequence[str], parents: DataFrame, arriving: DataFrame, keys: Sequence[str],
+                           by: str = "ingestion") -> DataFrame:
+    """Per delivery of ``child``: rows with a complete reference, and rows whose reference leads nowhere.
+
+    A reference may lead to ``parents``, which are there for every delivery, or to ``arriving`` ones of the same delivery (a frame with ``by``).
+    The child is counted per delivery and key first, so a key that fills a third of its rows is one row when it is joined.
+    """
+    names = [f"_k{i}" for i in range(len(columns))]
+    counted = child.groupBy(by, *[ref(c).alias(n) for c, n in zip(columns, names)]).agg(F.count("*").alias("rows"))
+    counted = counted.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
+    renamed = [ref(k).alias(n) for k, n in zip(keys, names)]
+    own = arriving.select(by, *renamed).distinct().withColumn("_own", F.lit(True))
+    known = parents.select(*renamed).distinct().withColumn("_known", F.lit(True))
+    joined = counted.join(own, [by, *names], "left").join(known, names, "left")
+    orphan = F.col("_own").isNull() & F.col("_known").isNull()
+    return joined.groupBy(by).agg(F.sum("rows").alias("evaluated"), F.coalesce(F.sum(F.when(orphan, F.col("rows"))), F.lit(0)).alias("failed"))
+
+
+def names_of(columns: str | Sequence[str]) -> tuple[str, ...]:
+    """One column or several, as a tuple."""
+    return (columns,) if isinstance(columns, str) else tuple(columns)
+
+
+def links_of(document: Document) -> Links:
+    """References a document states itself: ``is_join`` columns named like the key of exactly one other table, the whole of it."""
+    owners: dict[tuple[str, ...], list[str]] = {}
     for table in document.tables:
-        keys = table.keys()
-        if len(keys) == 1:
-            owners.setdefault(keys[0], []).append(table.name)
+        if table.keys():
+            owners.setdefault(tuple(table.keys()), []).append(table.name)
     links = {}
     for table in document.tables:
-        for field in table.fields:
-            others = [name for name in owners.get(field.raw_name, []) if name != table.name]
-            if field.flag("is_join") and len(others) == 1:
-                links[(table.name, field.raw_name)] = (others[0], field.raw_name)
+        joins = {field.raw_name for field in table.fields if field.flag("is_join")}
+        for keys, names in owners.items():
+            others = [name for name in names if name != table.name]
+            if joins.issuperset(keys) and len(others) == 1:
+                columns = keys[0] if len(keys) == 1 else keys
+                links[(table.name, columns)] = (others[0], columns)
     return links
 
 
-def _result(counts: DataFrame, table: str, column: str, check: str, value: str | None) -> DataFrame:
+def result_rows(counts: DataFrame, table: str, column: str, check: str, value: str | None, by: Sequence[str] = ()) -> DataFrame:
+    """Counts as rows of a report, an error where any failed."""
     text = lambda v: F.lit(v).cast("string")
     return counts.select(
-        text(table).alias("table"), text(column).alias("column"), text(check).alias("check"),
+        *by, text(table).alias("table"), text(column).alias("column"), text(check).alias("check"),
         text(None).alias("constraint"), text("error").alias("level"), text(value).alias("value"),
         *result_columns(F.col("evaluated"), F.col("failed"), F.lit(2)),
     )
@@ -74,12 +100,12 @@ def _result(counts: DataFrame, table: str, column: str, check: str, value: str |
 def validate_relational(
     tables: Mapping[str, DataFrame],
     document: Document,
-    links: Mapping[tuple[str, str], tuple[str, str]] | None = None,
+    links: Links | None = None,
 ) -> DataFrame:
     """Every table by itself, the uniqueness of its ``is_key`` columns, and every reference between tables.
 
-    ``links`` maps ``(table, column)`` to ``(parent table, key column)``; without it the document's
-    ``is_join`` flags say what refers to what.
+    ``links`` maps ``(table, column)`` to ``(parent table, key column)``, or several columns to a compound key; without it the
+    document's ``is_join`` flags say what refers to what.
     """
     absent = [t.name for t in document.tables if t.name not in tables]
     if absent:
@@ -90,8 +116,9 @@ def validate_relational(
         parts.append(report.select(F.lit(spec.name).alias("table"), *report.columns))
         if spec.keys():
             counts = key_counts(tables[spec.name], spec.keys())
-            parts.append(_result(counts, spec.name, ",".join(spec.keys()), "key_unique", None))
+            parts.append(result_rows(counts, spec.name, ",".join(spec.keys()), "key_unique", None))
     for (child, column), (parent, key) in (links if links is not None else links_of(document)).items():
-        counts = reference_check(tables[child], [column], tables[parent], [key])
-        parts.append(_result(counts, child, column, "reference", f"{parent}.{key}"))
+        columns, keys = names_of(column), names_of(key)
+        counts = reference_check(tables[child], columns, tables[parent], keys)
+        parts.append(result_rows(counts, child, ",".join(columns), "reference", f"{parent}.{','.join(keys)}"))
     return reduce(DataFrame.unionByName, parts)

@@ -108,16 +108,17 @@ def validate(
     by: Sequence[str] = (),
     physical: Mapping[str, tuple[str, str]] | None = None,
     nulls_allowed: bool = False,
+    delivered: Sequence[str] | None = None,
 ) -> DataFrame:
     """The validation report: one row per check, and per group of ``by`` (such as one delivery).
 
-    Names are checked on the frame as it was delivered; columns that are missing are reported and then left
-    out of the per-column checks. ``by`` columns are no part of the data.
+    Names are checked on the frame as it was delivered (or on the names ``delivered``, where the frame has been projected since);
+    columns that are missing are reported and then left out of the per-column checks. ``by`` columns are no part of the data.
     """
     unknown = [c for c in by if c not in df.columns]
     if unknown:
         raise DocumentError(f"no grouping column {unknown}")
-    data_columns = [c for c in df.columns if c not in by or c in spec.columns]
+    data_columns = [c for c in (df.columns if delivered is None else delivered) if c not in by or c in spec.columns]
     rows = Check(None, "rows", F.count(F.lit(1)), 0, 0)
     checks = [rows, *name_checks(data_columns, spec), *type_checks(df, spec, physical)]
     present = set()
@@ -139,7 +140,7 @@ def column_levels(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def table_level(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The worst severity of the whole table: 0 valid, 1 with warnings, 2 rejected."""
+    """The worst severity of the whole table: 0 fine, 1 with warnings, 2 rejected."""
     return report.groupBy(*[ref(c) for c in by]).agg(F.max("severity").alias("validated"))
 
 

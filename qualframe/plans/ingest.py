@@ -1,17 +1,20 @@
 """Take in deliveries: check, gate, publish, fingerprint, report.
 
-All deliveries of a batch are validated by one aggregate grouped by delivery. Data is published into folders
-nobody reads until the manifest names them; the manifest row is written last, so a job that dies leaves
+Raw data is read once: all deliveries of a batch are written into folders nobody reads until the manifest names them, and what was
+written is validated by one aggregate grouped by delivery. The manifest rows are written last, all at once, so a job that dies leaves
 nothing half visible, and running it again does no harm.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 from dataclasses import dataclass
-from typing import Sequence
+from time import monotonic, sleep
+from typing import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +23,14 @@ from qualframe.functions.columns import quoted, ref, roots
 from qualframe.functions.uid import encode_uid, key_hash, largest
 from qualframe.operators.deliveries import STATED, row_rows, stated_rows
 from qualframe.operators.ordering import rank_groups
-from qualframe.operators.validate import table_level, validate
+from qualframe.operators.relational import result_rows
+from qualframe.operators.validate import name_checks, type_checks, validate
 from qualframe.session import materialize
 from qualframe.sources.files import list_files, path_exists, project, write_partitions
 from qualframe.sources.footers import footers_of
-from qualframe.sources.hashes import content_hashes, folder_hash
+from qualframe.sources.hashes import folder_hash, hashes_of
 from qualframe.sources.remote import hadoop_path
-from qualframe.sources.reports import latest, read_reports, write_report
+from qualframe.sources.reports import BATCH, batch_of, latest, read_reports, write_report
 from qualframe.types import ddl_type
 
 MANIFEST_DDL = (
@@ -36,6 +40,11 @@ MANIFEST_DDL = (
 PART_STEP = 10
 # Partition column that tells attempts at one delivery apart.
 ATTEMPT = "attempt"
+# Seconds a run waits for another that is adding to the manifest.
+COMMIT_WAIT = 600
+# The folder of rows whose partition column is null or empty.
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+_NO_DELIVERY = "there are rows that belong to no delivery: ingestion is null"
 # By default each file is a delivery, named like it.
 FILE_KEY = r"^(.*?)(\.[A-Za-z]+)*$"
 
@@ -45,6 +54,20 @@ def part_name(number: int, ingestion: str, dataset_uid: str, uid: str) -> str:
     return f"part_{number:04}_{ingestion}_{dataset_uid}_{uid}"
 
 
+def verdicts_of(report: DataFrame) -> DataFrame:
+    """``ingestion, uid, validated, rows``: the worst severity and the rows of every delivery of a kept report."""
+    rows = F.sum(F.when(F.col("check") == "rows", F.col("evaluated")))  # of all tables
+    return report.groupBy("ingestion", "uid").agg(F.max("severity").alias("validated"), rows.alias("rows"))
+
+
+def manifest_rows(verdicts: DataFrame, found: DataFrame, columns: int, time: str) -> DataFrame:
+    """Rows of the manifest but for their numbers; ``place`` counts accepted and refused deliveries. One row per delivery throughout."""
+    place = F.row_number().over(Window.partitionBy(F.col("validated") < 2).orderBy("ingestion"))
+    return verdicts.withColumn("place", place).join(found, "uid", "left").select(
+        "ingestion", "uid", F.when(F.col("validated") < 2, "accepted").otherwise("rejected").alias("status"), F.col("validated").cast("int").alias("validated"),
+        "place", "path", "rows", F.lit(columns).alias("columns"), "files", "bytes", "digest", F.lit(time).alias("ingest_time"))
+
+
 def split_by_gate(levels: dict[str, int]) -> tuple[list[str], list[str]]:
     """Deliveries that pass (nothing found, or warnings only) and those with an error."""
     passed = sorted(key for key, level in levels.items() if level < 2)
@@ -59,6 +82,7 @@ class Dataset:
     root: str
     document: Document
     balanced: bool = True  # False for raw data that is laid out by delivery already: published without a shuffle
+    unique_keys: bool = False  # whether a key column's values may occur once only in all deliveries together
 
     @property
     def published_path(self) -> str:
@@ -116,89 +140,164 @@ class Dataset:
                time: str | None = None, stated: DataFrame | None = None) -> DataFrame:
         """Take in every delivery of a frame with an ``ingestion`` column (or ``only`` some); returns manifest rows.
 
+        The frame is read once: its rows are written into folders nobody reads, the report is made from what was written, and the manifest
+        names the deliveries that pass. Deliveries stay rows throughout, so the plan is the same for ten of them and for ten thousand.
+
         ``token`` tells one attempt from another. Repeating an attempt, as a restarted stream does, publishes
         into the same folders, writes its report over the earlier one and adds nothing to the manifest twice. ``stated`` holds
         name and type checks per delivery, known from its files, which take the place of those of the frame.
         """
-        spec = self.document.table
         time = time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
         token = token or time
         frame = deliveries.withColumn("ingestion", F.col("ingestion").cast("string"))
         if only is not None:
             frame = frame.where(F.col("ingestion").isin(*map(str, only)))
-
-        report = validate(frame, spec, by=["ingestion"])
+        done = self.manifest().where(F.col("uid") == self.uid_of(F.col("ingestion"), token)).select("ingestion")
+        batch = token
+        if earlier := done.count():
+            frame = frame.join(done, "ingestion", "left_anti")
+            stated = None if stated is None else stated.join(done, "ingestion", "left_anti")
+            if frame.isEmpty() and (stated is None or stated.isEmpty()):
+                return self.spark.createDataFrame([], MANIFEST_DDL)
+            batch = f"{token} after {earlier}"  # what the attempt has taken in keeps its folders
+        report, folder = self.stage(frame, token, batch, stated)
+        if self.unique_keys and folder is not None and self.document.table.keys():
+            report = report.unionByName(self._key_rows(self.written(frame, folder)).select(*report.columns))
+        verdicts = self._report(report, token, batch, time)
+        rows = self._manifest_rows(verdicts, folder, len(deliveries.columns) - 1, time)
+        return self._commit(rows, token)
+
+    def stage(self, frame: DataFrame, token: str, batch: str, stated: DataFrame | None = None) -> tuple[DataFrame, str | None]:
+        """Write deliveries where nobody reads yet and check what was written: their report, and the folder of the attempt.
+
+        What the frame's own columns and types refuse is not written at all; its report is made from the frame.
+        """
+        spec = self.document.table
+        names = [c for c in frame.columns if c != "ingestion" or c in spec.columns]
+        known = [] if stated is not None else [*name_checks(names, spec), *type_checks(frame, spec)]
+        if any(check.fail_severity == 2 and check.failed for check in known):
+            report = materialize(validate(frame, spec, by=["ingestion"]))
+            if not report.where("ingestion IS NULL").isEmpty():
+                raise DocumentError(_NO_DELIVERY)
+            return report, None
+        folder = f"{self.published_path}/{BATCH}={batch_of(batch)}"
+        shaped = self._shaped(frame, token)
+        write_partitions(shaped, folder, ("ingestion", ATTEMPT), balanced=self.balanced)
+        if path_exists(self.spark, f"{folder}/ingestion={_NO_NAME}"):
+            raise DocumentError(_NO_DELIVERY)
+        written = self.written(frame, folder)
+        report = validate(written.drop(ATTEMPT), spec, by=["ingestion"], delivered=names)
         if stated is not None:
             report = report.where(~F.col("check").isin(*STATED)).unionByName(stated.select(*report.columns))
-        report = materialize(report)
-        keyed = table_level(report, ["ingestion"]).select(
-            "ingestion", "validated", self.uid_of(F.col("ingestion"), token).alias("uid")).collect()
-        if any(row.ingestion is None for row in keyed):
-            raise DocumentError("there are rows that belong to no delivery: ingestion is null")
-        levels = {row.ingestion: row.validated for row in keyed}
-        uids = {row.ingestion: row.uid for row in keyed}
-        done = {row.uid for row in self.manifest().where(F.col("uid").isin(*uids.values())).select("uid").collect()}
-        levels = {key: level for key, level in levels.items() if uids[key] not in done}
-        passed, refused = split_by_gate(levels)
-        rows = {row.ingestion: row.n for row in report.where("check = 'rows'").select(
-            "ingestion", F.col("evaluated").alias("n")).collect()}
-
-        paths = {key: self._folder(key, uids[key]) for key in passed}
-        files = self._publish(frame, paths, token) if passed else {}
-        level = table_level(report, ["ingestion"])
-        stamped = report.join(level, "ingestion").select(
-            *report.columns, self.uid_of(F.col("ingestion"), token).alias("uid"), F.lit(time).alias("ingest_time"),
-            (F.col("validated") < 2).alias("accepted"))
-        if levels:
-            write_report(stamped, self.reports_path, token)
-        new_rows = self._manifest_rows(paths, refused, levels, uids, rows, files, len(deliveries.columns) - 1, time)
-        added = self.spark.createDataFrame(new_rows, MANIFEST_DDL)
-        if new_rows:
+        return report, folder
+
+    def _shaped(self, frame: DataFrame, token: str = "") -> DataFrame:
+        kept = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
+        return project(frame, [*kept, "ingestion"]).withColumn(ATTEMPT, self.uid_of(F.col("ingestion"), token))
+
+    def written(self, frame: DataFrame, folder: str) -> DataFrame:
+        """What an attempt at the deliveries of ``frame`` wrote to its folder."""
+        schema = self._shaped(frame).schema
+        return self.spark.read.schema(schema).parquet(folder) if path_exists(self.spark, folder) else self.spark.createDataFrame([], schema)
+
+    def _key_rows(self, written: DataFrame) -> DataFrame:
+        """Rows of the report on keys that occur again, in the same delivery or in any other."""
+        from qualframe.plans.keys import KeyIndex
+
+        index = KeyIndex(self, self.document.table.keys())
+        index.refresh()
+        return result_rows(index.counts(written), self.document.name, ",".join(index.keys), "key_unique", None, ["ingestion"])
+
+    def _report(self, report: DataFrame, token: str, batch: str, time: str) -> DataFrame:
+        """Keep the report; returns the verdict on every delivery, made from what was kept."""
+        whole = F.max("severity").over(Window.partitionBy("ingestion"))  # as many rows as there are checks
+        stamped = report.withColumn("_validated", whole).select(
+            *report.columns, self.uid_of(F.col("ingestion"), token).alias("uid"), F.lit(time).alias("ingest_time"), (F.col("_validated") < 2).alias("accepted"))
+        kept = write_report(stamped, self.reports_path, batch)
+        return verdicts_of(kept)
+
+    def _manifest_rows(self, verdicts: DataFrame, folder: str | None, columns: int, time: str) -> DataFrame:
+        """Rows of the manifest but for their numbers, with files and hash of what was accepted."""
+        return manifest_rows(verdicts, self.hashed(verdicts, folder), columns, time)
+
+    def hashed(self, verdicts: DataFrame, folder: str | None) -> DataFrame:
+        """Path, files, bytes and hash of every accepted delivery among those written to ``folder``."""
+        if folder is None:
+            return self.spark.createDataFrame([], "uid string, path string, files bigint, bytes bigint, digest string")
+        uid = F.regexp_extract("path", f"/{ATTEMPT}=([^/]+)/[^/]*$", 1)
+        below = F.regexp_extract("path", f"/(ingestion=[^/]*/{ATTEMPT}=[^/]+)/[^/]*$", 1)
+        accepted = list_files(self.spark, folder, "*.parquet").withColumn("uid", uid).join(
+            verdicts.where("validated < 2").select("uid"), "uid", "left_semi")
+        return folder_hash(hashes_of(accepted).select("*", uid.alias("uid"), below.alias("below")), ["uid", "below"]).select(
+            "uid", F.concat(F.lit(f"{folder}/"), "below").alias("path"), "files", "bytes", "digest")
+
+    def _commit(self, rows: DataFrame, token: str) -> DataFrame:
+        """Number the accepted deliveries and add all rows to the manifest, which makes them visible at once; returns what was added."""
+        rows = materialize(rows)
+        if rows.isEmpty():
+            return self.spark.createDataFrame([], MANIFEST_DDL)
+        with self._alone(token):
+            last = self.manifest().agg(F.max("part_no").alias("n")).first().n or 0
+            number = F.when(F.col("status") == "accepted", F.lit(last).cast("bigint") + F.col("place") * PART_STEP)
+            name = F.format_string("part_%04d_%s_%s_%s", number, "ingestion", F.lit(self.document.uid), "uid")
+            added = rows.withColumn("part_no", number).withColumn("part_name", F.when(number.isNotNull(), name))
+            added = added.select(*[c.split(" ")[0] for c in MANIFEST_DDL.split(", ")])
             added.coalesce(1).write.mode("append").parquet(self.manifest_path)
         return added
 
-    def _folder(self, ingestion: str, uid: str) -> str:
-        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(ingestion)
-        return f"{self.published_path}/ingestion={escaped}/{ATTEMPT}={uid}"
-
-    def _publish(self, frame: DataFrame, paths: dict[str, str], token: str) -> dict:
-        """Write the columns of the document, then hash what was written; files and hash per delivery."""
-        wanted = frame.where(F.col("ingestion").isin(*paths))
-        columns = [c for c in roots(self.document.table.columns, frame.columns) if c != "ingestion"]
-        shaped = project(wanted, [*columns, "ingestion"]).withColumn(ATTEMPT, self.uid_of(F.col("ingestion"), token))
-        write_partitions(shaped, self.published_path, ("ingestion", ATTEMPT), balanced=self.balanced)
-        hashed = content_hashes(self.spark, list(paths.values()))
-        by_uid = folder_hash(hashed.withColumn("uid", F.regexp_extract("path", f"/{ATTEMPT}=([^/]+)/", 1)), ["uid"])
-        return {row.uid: row for row in by_uid.collect()}
-
-    def _manifest_rows(self, paths, refused, levels, uids, rows, files, columns, time) -> list[tuple]:
-        last = self.manifest().agg(F.max("part_no").alias("n")).first().n or 0
-        out = []
-        for i, (key, path) in enumerate(paths.items()):
-            number, found = last + PART_STEP * (i + 1), files[uids[key]]
-            name = part_name(number, key, self.document.uid, uids[key])
-            out.append((key, uids[key], "accepted", levels[key], number, name, path, rows[key], columns,
-                        found.files, found.bytes, found.digest, time))
-        for key in refused:
-            out.append((key, uids[key], "rejected", levels[key], None, None, None, rows[key], columns, None, None, None, time))
-        return out
+    @contextmanager
+    def _alone(self, token: str) -> Iterator[None]:
+        """One run at a time reads the last number and adds to the manifest. A restarted attempt finds its own claim and goes on."""
+        context = self.spark.sparkContext
+        claim = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/committing")
+        system = claim.getFileSystem(context._jsc.hadoopConfiguration())
+        until = monotonic() + COMMIT_WAIT
+        while True:
+            try:
+                out = system.create(claim, False)
+                out.write(bytearray(token.encode()))
+                out.close()
+                break
+            except Py4JJavaError:
+                if not path_exists(self.spark, claim.toString()):
+                    raise
+            holder = "\n".join(row.value for row in self.spark.read.text(claim.toString(), wholetext=True).collect())
+            if holder == token:
+                break
+            if monotonic() > until:
+                raise DocumentError(f"attempt {holder!r} is adding to the manifest; if it is gone, remove {claim.toString()}")
+            sleep(0.5)
+        try:
+            yield
+        finally:
+            system.delete(claim, False)
+
+    def leftovers(self) -> DataFrame:
+        """Files of attempts the manifest does not name as accepted (refused, or never finished), which nobody reads: ``path, length``."""
+        if not path_exists(self.spark, self.published_path):
+            return self.spark.createDataFrame([], "path string, length bigint")
+        named = self.manifest().where("status = 'accepted'").select("uid")
+        files = list_files(self.spark, self.published_path, "*.parquet").withColumn("uid", F.regexp_extract("path", f"/{ATTEMPT}=([^/]+)/[^/]*$", 1))
+        return files.join(named, "uid", "left_anti").select("path", "length")
 
     def read(self) -> DataFrame:
         """The published rows: of every delivery the newest accepted attempt; the delivery's columns come last.
 
         A join with the manifest selects them, whatever their number; Spark prunes the folders by it where the manifest is small.
         """
+        return self.attempts(latest(self.manifest().where("status = 'accepted'")).select("ingestion", F.col("uid").alias(ATTEMPT)))
+
+    def attempts(self, named: DataFrame) -> DataFrame:
+        """The rows of some attempts (``ingestion``, ``attempt``)."""
         if not path_exists(self.spark, self.published_path):
             return self._nothing()
-        accepted = latest(self.manifest().where("status = 'accepted'"))
-        named = accepted.select("ingestion", F.col("uid").alias(ATTEMPT))
         published = self._published()
-        return published.join(named, ["ingestion", ATTEMPT], "left_semi").select(*[ref(c) for c in published.columns])
+        return published.join(named, ["ingestion", ATTEMPT], "left_semi").select(*[ref(c) for c in published.columns if c != BATCH])
 
     def _published(self) -> DataFrame:
         """Folder names are text: a delivery named ``007`` or an identifier of digits must not become a number."""
         found = self.spark.read.parquet(self.published_path).schema
-        keys = ("ingestion", ATTEMPT)
+        keys = (BATCH, "ingestion", ATTEMPT)
         as_text = T.StructType([f for f in found.fields if f.name not in keys] + [T.StructField(k, T.StringType()) for k in keys])
         return self.spark.read.schema(as_text).parquet(self.published_path)
 

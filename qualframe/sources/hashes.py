@@ -31,8 +31,12 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def content_hashes(spark: SparkSession, path: str | list[str], pattern: str = "*.parquet") -> DataFrame:
     """``path, length, sha256`` of every file: read in blocks inside the tasks, never as a whole."""
-    files = spread_files(list_files(spark, path, pattern))
-    return files.mapInPandas(_digests, "path string, length bigint, sha256 string")
+    return hashes_of(list_files(spark, path, pattern))
+
+
+def hashes_of(files: DataFrame) -> DataFrame:
+    """The same for the files of a frame with ``path`` and ``length``."""
+    return spread_files(files.select("path", "length")).mapInPandas(_digests, "path string, length bigint, sha256 string")
 
 
 def folder_hash(files: DataFrame, by: list[str]) -> DataFrame:

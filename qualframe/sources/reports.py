@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,16 @@ def append_report(report: DataFrame, path: str) -> None:
     report.write.mode("append").parquet(path)
 
 
-def write_report(report: DataFrame, path: str, token: str) -> None:
-    """The report of one attempt, in a folder of its own: written again, it takes the place of what is there."""
-    batch = F.sha2(F.lit(token).cast("binary"), 256)
-    report.withColumn(BATCH, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+def batch_of(token: str) -> str:
+    """The name of the folders of one attempt."""
+    return hashlib.sha256(token.encode()).hexdigest()
+
+
+def write_report(report: DataFrame, path: str, token: str) -> DataFrame:
+    """The report of one attempt, in a folder of its own: written again, it takes the place of what is there. Returns what was written."""
+    folder = f"{path}/{BATCH}={batch_of(token)}"
+    report.write.mode("overwrite").parquet(folder)
+    return report.sparkSession.read.schema(report.schema).parquet(folder)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
