@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,18 @@ from qualframe.functions.fingerprint import row_fingerprint
 from qualframe.functions.transforms import FIRST_NAMES, LAST_NAMES, latlon_to_cell, miles_to_km, str_to_date, synthetic_name
 from qualframe.functions.uid import DIGITS, decode_uid, encode_uid, uid_collisions, with_uid
 from qualframe.functions.columns import clock_today, part_number
+from qualframe.operators.profile import distinct_counts
 from qualframe.operators.validate import NAME_SEVERITY, validate
 from qualframe.plans.ingest import Dataset, row_counts, row_trend
+from qualframe.plans.keys import KeyIndex
+from qualframe.plans.relational_ingest import RelationalDataset
+from qualframe.plans.sketches import DISTINCT_ERROR, RANK_ERROR, SketchHistory
 from qualframe.queries.registry import query, spec_of, table
 from qualframe.queries.validation import LINEITEM, MONTHLY_REPORT, by_month, lineitem_spec, rule
 from qualframe.session import scratch_path
 from qualframe.sources import catalog, files, footers, hashes, inference, metadata, reports
 from qualframe.streaming.incremental import ingest_incremental, ingest_new_files, new_files
+from qualframe.streaming.pieces import ingest_whole_deliveries
 
 
 # ---- scans, sources, sinks ------------------------------------------------------------------------
@@ -487,6 +493,101 @@ def _delivered(dataset):
         "ingestion", "rows", "status", "names", "wrong_types", F.coalesce("n", F.lit(0)).alias("published"))
 
 
+_SHOP = """WITH o AS (SELECT CASE WHEN o_orderkey % 97 = 0 AND o_custkey % 4 = 2 THEN o_custkey + 100000000 ELSE o_custkey END AS o_custkey,
+    CAST(CASE WHEN o_custkey % 4 = 3 THEN 4 + o_orderkey % 2 ELSE o_custkey % 4 END AS VARCHAR) AS ingestion, o_orderkey % 2 AS late FROM orders),
+  c AS (SELECT c_custkey, CAST(c_custkey % 4 AS VARCHAR) AS ingestion FROM customer),
+  first AS (SELECT ingestion, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.c_custkey = o.o_custkey AND c.ingestion = o.ingestion)) AS failed
+    FROM o WHERE ingestion IN ('0', '1', '2') GROUP BY 1),
+  own AS (SELECT ingestion, count(*) AS n FROM (SELECT ingestion FROM c UNION ALL SELECT ingestion FROM o) GROUP BY 1)"""
+
+
+@query("ingest_relational", f"""{_SHOP} SELECT own.ingestion, own.n AS rows, CASE WHEN own.ingestion IN ('3', '4') THEN 'accepted'
+    WHEN own.ingestion = '5' THEN 'rejected' WHEN coalesce(failed, 0) > 0 THEN 'rejected' ELSE 'accepted' END AS status,
+  CASE WHEN own.ingestion = '5' THEN (SELECT count(*) FROM o WHERE ingestion = '5') ELSE coalesce(failed, 0) END::BIGINT AS orphans,
+  CASE WHEN own.ingestion = '5' OR coalesce(failed, 0) > 0 THEN 0 ELSE own.n END::BIGINT AS visible FROM own LEFT JOIN first USING (ingestion)""")
+def ingest_relational(spark, d):
+    """Customers and orders in deliveries: some with an orphan, one that refers to published customers, one to customers that were refused."""
+    customer = table(spark, d, "customer").select("c_custkey", "c_name").withColumn("ingestion", (F.col("c_custkey") % 4).cast("string"))
+    key = F.when((F.col("o_orderkey") % 97 == 0) & (F.col("o_custkey") % 4 == 2), F.col("o_custkey") + 100_000_000).otherwise(F.col("o_custkey"))
+    late = 4 + F.col("o_orderkey") % 2
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", key.alias("o_custkey"), F.when(F.col("o_custkey") % 4 == 3, late).otherwise(F.col("o_custkey") % 4).cast("string").alias("ingestion"))
+    dataset = RelationalDataset(spark, scratch_path(spark, "shop"), Document("shop", "shop0001", (
+        spec_of(customer, "customer", ["ingestion"]), spec_of(orders, "orders", ["ingestion"])), "Relational"),
+        links={("orders", "o_custkey"): ("customer", "c_custkey")})
+    dataset.ingest_tables({"customer": customer, "orders": orders.where("ingestion IN ('0', '1', '2')")})
+    # Delivery 4 refers to the customers of 3. Of 5 all keys are moved to customers nobody has.
+    moved = F.when(F.col("ingestion") == "5", F.col("o_custkey") + 200_000_000).otherwise(F.col("o_custkey"))
+    dataset.ingest_tables({"customer": customer.limit(0), "orders": orders.where("ingestion IN ('4', '5')").withColumn("o_custkey", moved)})
+    seen = dataset.read_table("customer").select("ingestion").unionAll(dataset.read_table("orders").select("ingestion"))
+    orphans = dataset.reports().where("check = 'reference'").groupBy("ingestion").agg(F.sum("failed").alias("orphans"))
+    return dataset.history().select("ingestion", "rows", "status").join(orphans, "ingestion", "left").join(
+        seen.groupBy("ingestion").agg(F.count("*").alias("visible")), "ingestion", "left").select(
+        "ingestion", "rows", "status", F.coalesce("orphans", F.lit(0)).alias("orphans"), F.coalesce("visible", F.lit(0)).alias("visible"))
+
+
+_TWICE = """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS ingestion FROM orders),
+  all_ AS (SELECT * FROM o UNION ALL SELECT o_orderkey, CAST(CAST(ingestion AS INTEGER) + 3 AS VARCHAR) FROM o WHERE o_orderkey % 50 = 0 AND ingestion <= '1995')"""
+
+
+@query("keys_across_deliveries", f"""{_TWICE} SELECT o_orderkey, ingestion, count(*) AS rows,
+    CAST(sum(count(*)) OVER (PARTITION BY o_orderkey) - count(*) AS BIGINT) AS elsewhere FROM all_ GROUP BY 1, 2
+  QUALIFY ingestion > '1995' AND sum(count(*)) OVER (PARTITION BY o_orderkey) > 1""")
+def keys_across_deliveries(spark, d):
+    """Orders up to 1995 are published; some of them come again three years later, and the index of keys finds them."""
+    dataset, first, second = _orders_twice(spark, d)
+    dataset.ingest(first)
+    index = KeyIndex(dataset, ["o_orderkey"])
+    index.refresh()
+    return index.repeated(second)
+
+
+@query("ingest_unique_keys", f"""{_TWICE}, n AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS copies FROM all_)
+  SELECT ingestion, count(*) AS rows, CASE WHEN ingestion > '1995' AND max(copies) > 1 THEN 'rejected' ELSE 'accepted' END AS status FROM n GROUP BY 1""")
+def ingest_unique_keys(spark, d):
+    """A delivery with a key that is published already is refused."""
+    dataset, first, second = _orders_twice(spark, d)
+    dataset.ingest(first)
+    dataset.ingest(second)
+    return dataset.history().select("ingestion", "rows", "status")
+
+
+def _orders_twice(spark, d):
+    orders = table(spark, d, "orders").withColumn("ingestion", F.date_format("o_orderdate", "yyyy"))
+    copies = orders.where("o_orderkey % 50 = 0 AND ingestion <= '1995'").withColumn("ingestion", (F.col("ingestion").cast("int") + 3).cast("string"))
+    whole = orders.unionByName(copies)
+    spec = spec_of(orders, "orders", ["ingestion"])
+    spec = spec.replace_field(spec.field("o_orderkey").with_flags(is_key=True))
+    dataset = Dataset(spark, scratch_path(spark, "orders"), Document("orders", "orders01", (spec,)), unique_keys=True)
+    return dataset, orders.where("ingestion <= '1995'"), whole.where("ingestion > '1995'")
+
+
+_SKETCHED = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+
+
+@query("history_sketches", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS \"distinct\", true AS distinct_within, true AS ranks_within FROM lineitem" for c in _SKETCHED))
+def history_sketches(spark, d):
+    """Sketches of monthly deliveries, united: whether distinct values and quantiles are within the stated error of exact figures."""
+    df = by_month(spark, d).select("ingestion", *_SKETCHED)
+    dataset = Dataset(spark, scratch_path(spark, "lineitem"), Document("lineitem", "lineitm1", (spec_of(df, "lineitem", ["ingestion"]),)))
+    dataset.ingest(df)
+    history = SketchHistory(dataset)
+    history.refresh()
+    found = history.profile([0.25, 0.5, 0.9])
+    exact = distinct_counts(df, list(_SKETCHED))
+    asked = {row["column"]: row.quantiles for row in found.collect() if row.quantiles}  # a row per column
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") if c == "l_shipdate" else F.col(c).cast("double")
+    # The rank of a quantile is anywhere between the rows below it and those up to it.
+    near = [F.struct(F.lit(c).alias("c"), reduce(lambda a, b: a & b, [
+        (F.count_if(number(c) < v) / F.count("*") <= q + 2 * RANK_ERROR) & (F.count_if(number(c) <= v) / F.count("*") >= q - 2 * RANK_ERROR)
+        for q, v in quantiles.items()]).alias("ok")) for c, quantiles in asked.items()]
+    ranks = df.agg(F.array(*near).alias("r")).select(F.inline("r"))
+    off = F.abs(found["distinct"] - exact["distinct"]) <= 4 * DISTINCT_ERROR * exact["distinct"]
+    return found.join(exact, "column").join(ranks, F.col("column") == F.col("c"), "left").select(
+        "column", found["rows"], exact["distinct"], off.alias("distinct_within"), F.coalesce("ok", F.lit(True)).alias("ranks_within"))
+
+
 @query("report_json", f"""SELECT ingestion, CAST(max(severity) AS INTEGER) AS validated, CAST(count(DISTINCT coalesce("column", '-')) AS INTEGER) AS columns,
   CAST(sum(failed) AS BIGINT) AS failed FROM ({MONTHLY_REPORT}) GROUP BY 1""")
 def report_json(spark, d):
@@ -525,6 +626,24 @@ def incremental(spark, d):
     return dataset.history().select("ingestion", "rows", "status", "validated")
 
 
+@query("ingest_in_pieces", """SELECT 'events_' || CAST(event_id % 3 AS VARCHAR) AS ingestion, count(*) AS rows, 'accepted' AS status, CAST(1 AS BIGINT) AS attempts
+  FROM events WHERE event_id % 3 < 2 GROUP BY event_id % 3""")
+def ingest_in_pieces(spark, d):
+    """Three deliveries of three files each arrive over three triggers; the last file of one of them never comes."""
+    events = table(spark, d, "events")
+    source, state = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    dataset = Dataset(spark, scratch_path(spark, "events"), Document("events", "events01", (spec_of(events, "events"),)))
+    staged = scratch_path(spark, "staging")
+    piece = F.struct((F.col("event_id") % 3).alias("k"), (F.floor(F.col("event_id") / 3) % 3).alias("i"))
+    events.withColumn("p", piece).select("*", "p.*").drop("p").repartition(9, "k", "i").write.partitionBy("i", "k").parquet(staged)
+    for i in range(3):
+        for k in range(3 if i < 2 else 2):
+            (row,) = files.list_files(spark, f"{staged}/i={i}/k={k}", "*.parquet").collect()
+            copy_file(spark, row.path, f"{source}/events_{k}-{i}-of-3.parquet")
+        ingest_whole_deliveries(dataset, source, state, r"^(\w+)-", r"-of-(\d+)").awaitTermination()
+    return dataset.manifest().groupBy("ingestion", "rows", "status").agg(F.count("*").alias("attempts"))
+
+
 def copy_file(spark, old: str, new: str) -> None:
     """Put one file where a stream looks for it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
