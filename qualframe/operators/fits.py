@@ -1,4 +1,4 @@
-"""Closed-form fits. The data is reduced to a few sums; only those are solved for on the driver."""
+"""Fits. The data is reduced to a few sums, in each round of the normal curve's again; only those are solved for on the driver."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from qualframe.functions.columns import ref
 from qualframe.operators.binning import Axis, number_column
+from qualframe.session import materialize
 
 
 def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -75,9 +76,77 @@ def fit_gauss(df: DataFrame, column: str, axis: Axis) -> DataFrame:
     return moments.select("n", height.alias("height"), "mean", "sigma")
 
 
+def _normal_start(points: DataFrame) -> tuple[float, float, float] | None:
+    """Height, mean and sigma by the moments of the points, y being the weight of x; none without any weight."""
+    row = points.agg(F.sum("y").alias("s"), F.sum(F.col("x") * F.col("y")).alias("sx"), F.max("y").alias("top"), F.count("*").alias("n"),
+                     F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not row.n or not row.s or row.s <= 0 or row.top <= 0:
+        return None
+    mean = row.sx / row.s
+    spread = points.agg((F.sum(F.col("y") * (F.col("x") - mean) * (F.col("x") - mean)) / row.s).alias("v")).first().v
+    return row.top, mean, math.sqrt(spread) if spread > 0 else (row.hi - row.lo or 1.0) / 4
+
+
+def fit_normal(df: DataFrame, x: str = "x", y: str = "y", error: str | None = None, rounds: int = 100) -> DataFrame:
+    """The normal curve through points by weighted least squares: ``height``, ``mean``, ``sigma`` and ``chi2``, and ``points``.
+
+    The logarithm of a normal curve is a parabola. Each round fits one, by sums over the points, to the curve of the round before plus
+    the relative residuals, weighted by the curve; where it comes to rest, the curve is the least-squares one. Points with y of 0 count; those
+    whose error is 0 or missing do not. A step that makes the sum of squares larger is halved.
+    """
+    weight = F.lit(1.0) / (ref(error).cast("double") * ref(error).cast("double")) if error else F.lit(1.0)
+    data = df.where(ref(error) != 0) if error else df
+    data = data.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y"), weight.alias("w")).dropna()
+    # Points of a histogram or series: written once, then only sums over them are formed.
+    points = materialize(data)
+    start = _normal_start(points)
+    n = points.count()
+    if start is None or n < 3:
+        raise ValueError(f"{n} points with weight cannot fix a normal curve")
+    height, centre, scale = start
+    u = (F.col("x") - F.lit(centre)) / F.lit(scale)
+    curve = lambda p: F.exp(F.lit(p[0]) + F.lit(p[1]) * u + F.lit(p[2]) * u * u)
+
+    def squares(p: np.ndarray) -> float:
+        if not p[2] < 0:
+            return math.inf
+        found = points.agg(F.sum(F.col("w") * (F.col("y") - curve(p)) * (F.col("y") - curve(p))).alias("q")).first().q
+        return math.inf if found is None or math.isnan(found) else found
+
+    p = np.array([math.log(height), 0.0, -0.5])
+    best = squares(p)
+    for _ in range(rounds):
+        f = curve(p)
+        rests = F.col("w") * f * (F.col("y") - f)
+        sums = points.agg(*[F.sum(F.col("w") * f * f * _power(u, k)).alias(f"s{k}") for k in range(5)],
+                          *[F.sum(rests * _power(u, k)).alias(f"t{k}") for k in range(3)]).first()
+        matrix = np.array([[sums[f"s{i + j}"] for j in range(3)] for i in range(3)])
+        step = np.linalg.lstsq(matrix, np.array([sums[f"t{k}"] for k in range(3)]), rcond=None)[0]
+        while (found := squares(p + step)) > best and np.abs(step).max() > 1e-13:
+            step = step / 2
+        if not found <= best:
+            break
+        p, gained, best = p + step, best - found, found
+        if np.abs(step).max() <= 1e-12 or gained <= 1e-15 * best and np.abs(step).max() <= 1e-8:
+            break
+    sigma = scale / math.sqrt(-2 * p[2])
+    top = -p[1] / (2 * p[2])
+    rows = [("height", math.exp(p[0] + p[1] * top / 2)), ("mean", centre + scale * top), ("sigma", sigma), ("chi2", float(best)), ("points", float(n))]
+    return df.sparkSession.createDataFrame([(name, float(value)) for name, value in rows], "parameter string, value double")
+
+
+def fit_histogram_normal(histogram: DataFrame, axis: Axis) -> DataFrame:
+    """The normal curve through the filled bins in range, each with the error of its count."""
+    points = histogram.where(F.col("bin").between(1, axis.bins) & (F.col("count") > 0)).select(
+        axis.centre(F.col("bin")).alias("x"), F.col("count").cast("double").alias("y"), F.sqrt("count").alias("error"))
+    return fit_normal(points, error="error")
+
+
 def fit(points: DataFrame, function: str, error: str | None = None) -> DataFrame:
-    """Fit a series by name, ``pol0``, ``pol1``, ...; what follows a colon are display options and is ignored."""
+    """Fit a series by name, ``pol0``, ``pol1``, ... or ``gaus``; what follows a colon are display options and is ignored."""
     name = function.split(":")[0]
     if name.startswith("pol") and name[3:].isdigit():
         return fit_polynomial(points, "x", "y", int(name[3:]), error)
+    if name == "gaus":
+        return fit_normal(points, "x", "y", error)
     raise ValueError(f"no closed form for {function!r}")

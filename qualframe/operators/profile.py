@@ -124,11 +124,8 @@ def outliers(df: DataFrame, column: str, low: float, high: float, n: int = 10) -
     return df.sparkSession.createDataFrame(rows, "side string, rank bigint, value double")
 
 
-def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME_PERCENTILES) -> DataFrame:
-    """Statistics of a time column (a date counts as its midnight) as (statistic, microseconds, text), the day range and its days."""
-    df = dates_as_times(df, column)
-    c, _ = resolve(df.schema, column)
-    found = exact_quantiles(df, {column: list(percentiles)}, moments=True)[column]
+def time_rows(found: ColumnRange, percentiles: Sequence[float]) -> list[tuple[str, float | None]]:
+    """Statistics of a time column from its quantiles and moments, in microseconds."""
     day = 86_400_000_000
     stats: list[tuple[str, float | int | None]] = [("count", found.count)]
     if found.count:
@@ -137,8 +134,14 @@ def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME
         stats += [("mean", found.mean), ("min", found.low)]
         stats += [(f"{round(p * 100)}%", found.quantiles[p]) for p in percentiles]
         stats += [("max", found.high), ("range_low", low), ("range_high", high), ("bins", (high - low) // day)]
-    rows = [(name, None if value is None else float(value)) for name, value in stats]
-    frame = df.sparkSession.createDataFrame(rows, "statistic string, value double")
+    return [(name, None if value is None else float(value)) for name, value in stats]
+
+
+def time_summary(df: DataFrame, column: str, percentiles: Sequence[float] = TIME_PERCENTILES) -> DataFrame:
+    """Statistics of a time column (a date counts as its midnight) as (statistic, microseconds, text), the day range and its days."""
+    df = dates_as_times(df, column)
+    found = exact_quantiles(df, {column: list(percentiles)}, moments=True)[column]
+    frame = df.sparkSession.createDataFrame(time_rows(found, percentiles), "statistic string, value double")
     counted = F.col("statistic").isin("count", "bins")
     return frame.withColumn("text", F.when(~counted, micros_text(F.floor(F.col("value")))))
 

@@ -222,6 +222,47 @@ def fit_histogram_line(spark, d):
     return found.withColumn("value", F.when(F.col("parameter") == "p0", F.round("value", 5)).otherwise(F.round("value", 9)))
 
 
+def _normal_sql(points: str, rounds: int = 60) -> str:
+    """The same rounds by the normal equations, solved by Cramer's rule; without halved steps, as these data need none."""
+    return f"""WITH RECURSIVE p AS ({points}),
+  m AS (SELECT sum(x * y) / sum(y) AS c, max(y) AS top FROM p), b AS (SELECT c, top, sqrt(sum(y * (x - c) * (x - c)) / sum(y)) AS d FROM p, m GROUP BY c, top),
+  z AS (SELECT (x - c) / d AS u, y, w FROM p, b),
+  r AS (SELECT 0 AS i, ln(top) AS p0, 0.0::DOUBLE AS p1, -0.5::DOUBLE AS p2 FROM b
+    UNION ALL SELECT i + 1,
+      p0 + (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det,
+      p1 + (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det,
+      p2 + (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det
+    FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM (
+      SELECT i, p0, p1, p2, sum(g) AS s0, sum(g * u) AS s1, sum(g * u * u) AS s2, sum(g * u * u * u) AS s3, sum(g * u * u * u * u) AS s4,
+        sum(e) AS t0, sum(e * u) AS t1, sum(e * u * u) AS t2
+      FROM (SELECT i, p0, p1, p2, u, w * f * f AS g, w * f * (y - f) AS e FROM (SELECT *, exp(p0 + p1 * u + p2 * u * u) AS f FROM r, z WHERE i < {rounds}))
+      GROUP BY i, p0, p1, p2)))
+  SELECT parameter, round(value, 4) AS value FROM (SELECT unnest(['height', 'mean', 'sigma']) AS parameter,
+    unnest([exp(p0 - p1 * p1 / (4 * p2)), c - d * p1 / (2 * p2), d / sqrt(-2 * p2)]) AS value FROM r, b WHERE i = {rounds})"""
+
+
+# Sums of nearly even shares: bell-shaped.
+_BELL = "(l_quantity / 50 + l_linenumber / 7.0::DOUBLE + l_discount * 10 + l_tax * 12.5::DOUBLE)"
+_BELL_WHOLE = "CAST(floor(l_quantity / 10) AS BIGINT) + l_linenumber + l_partkey % 6 + l_suppkey % 5"
+
+
+@query("fit_histogram_normal", _normal_sql(f"""SELECT 0.5 + (bin - 0.5) * 0.15::DOUBLE AS x, CAST(count AS DOUBLE) AS y, 1.0::DOUBLE / count AS w
+  FROM ({_hist("lineitem", _BELL, 20, "0.5::DOUBLE", "3.5::DOUBLE")}) WHERE bin BETWEEN 1 AND 20 AND count > 0"""))
+def fit_histogram_normal(spark, d):
+    axis = Axis(20, 0.5, 3.5)
+    bell = F.col("l_quantity") / 50 + F.col("l_linenumber") / F.lit(7.0) + F.col("l_discount") * 10 + F.col("l_tax") * 12.5
+    found = fits.fit_histogram_normal(binning.hist1d(table(spark, d, "lineitem").withColumn("bell", bell), "bell", axis), axis)
+    return found.where("parameter IN ('height', 'mean', 'sigma')").withColumn("value", F.round("value", 4))
+
+
+@query("fit_series_normal", _normal_sql(f"""SELECT CAST({_BELL_WHOLE} AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y, 1.0::DOUBLE AS w FROM lineitem GROUP BY 1"""))
+def fit_series_normal(spark, d):
+    """A series without errors."""
+    whole = F.floor(F.col("l_quantity") / 10) + F.col("l_linenumber") + F.col("l_partkey") % 6 + F.col("l_suppkey") % 5
+    points = table(spark, d, "lineitem").groupBy(whole.alias("x")).agg(F.count("*").alias("y"))
+    return fits.fit(points, "gaus:Q").where("parameter IN ('height', 'mean', 'sigma')").withColumn("value", F.round("value", 4))
+
+
 @query("fit_gauss_moments", f"""SELECT count(*) AS n, round(count(*) * 3750.0::DOUBLE / stddev_pop(l_extendedprice) / {math.sqrt(2 * math.pi)!r}::DOUBLE, 6) AS height,
   round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sigma FROM lineitem WHERE l_extendedprice >= 5000 AND l_extendedprice < 80000""")
 def fit_gauss_moments(spark, d):

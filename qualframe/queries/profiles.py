@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from qualframe.functions.columns import fill_template
 from qualframe.operators import binning, profile
 from qualframe.operators.quantiles import exact_quantiles
-from qualframe.plans.profiling import column_details, profile_table
+from qualframe.operators.whole_quantiles import discrete_quantiles
+from qualframe.plans.profiling import profile_table, whole_profile
 from qualframe.queries.registry import query, spec_of, table
 from qualframe.queries.validation import INJECTED, injected
 from qualframe.session import materialize
@@ -103,20 +104,44 @@ def distinct_values(spark, d):
     return profile.distinct_counts(df, ["l_orderkey", "l_returnflag", "l_quantity", "zero"])
 
 
-@query("table_profile", """WITH c AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1)
-  SELECT 'o_orderstatus' AS "column", 'categories' AS part, count(*)::BIGINT AS rows FROM c
-  UNION ALL SELECT 'o_orderpriority', 'categories', count(DISTINCT o_orderpriority)::BIGINT FROM orders
-  UNION ALL SELECT 'o_orderdate', 'summary', 12::BIGINT
-  UNION ALL SELECT 'o_totalprice', 'histogram', 42::BIGINT UNION ALL SELECT 'o_totalprice', 'outliers', 20::BIGINT
-  UNION ALL SELECT 'o_orderkey', 'histogram', 42::BIGINT UNION ALL SELECT 'o_orderkey', 'outliers', 20::BIGINT
-  UNION ALL SELECT 'o_custkey', 'histogram', 42::BIGINT UNION ALL SELECT 'o_custkey', 'outliers', 20::BIGINT""")
-def whole_profile(spark, d):
-    """Every page of the profile of a table: which parts each column has, and how many rows they have."""
-    df = table(spark, d, "orders")
-    found = profile_table(df)
-    parts = [part.agg(F.count("*").alias("rows")).select(F.lit(column).alias("column"), F.lit(name).alias("part"), "rows")
-             for column in found.kinds for name, part in column_details(df, found, column).items()]
-    return reduce(DataFrame.unionByName, parts)
+_DAY = "86400000000"
+_PAGE = '"column", part, place, label, value, n'
+
+
+def _category_page(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", 'categories' AS part, row_number() OVER (ORDER BY n DESC, v) - 1 AS place, v AS label,
+    n / sum(n) OVER () * 100.0::DOUBLE AS value, n FROM (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1)"""
+
+
+def _number_page(c: str) -> str:
+    """Histogram and outliers between the 0.1 % and 99.9 % quantiles as whole numbers."""
+    return f"""SELECT {_PAGE} FROM (WITH x AS (SELECT CAST({c} AS DOUBLE) AS v FROM orders),
+    b AS (SELECT round_even(quantile_cont(v, 0.001), 0) AS lo, round_even(quantile_cont(v, 0.999), 0) AS hi FROM x),
+    low AS (SELECT row_number() OVER (ORDER BY v) AS place, v FROM x, b WHERE v < lo QUALIFY place <= 10),
+    high AS (SELECT row_number() OVER (ORDER BY v DESC) AS place, v FROM x, b WHERE v >= hi QUALIFY place <= 10),
+    bins AS (SELECT CASE WHEN v < lo THEN 0 WHEN v >= hi THEN 41 ELSE CAST(floor(40 * (v - lo) / (hi - lo)) AS BIGINT) + 1 END AS bin FROM x, b WHERE lo < hi)
+    SELECT '{c}' AS "column", 'outliers' AS part, place, 'low' AS label, v AS value, NULL::BIGINT AS n FROM low
+    UNION ALL SELECT '{c}', 'outliers', i, 'low', lo, NULL FROM b, range(1, 11) AS r(i) WHERE NOT EXISTS (SELECT 1 FROM low)
+    UNION ALL SELECT '{c}', 'outliers', place, 'high', v, NULL FROM high
+    UNION ALL SELECT '{c}', 'histogram', i, NULL, NULL, count(bin) FROM range(0, 42) AS s(i) LEFT JOIN bins ON bin = i WHERE EXISTS (SELECT 1 FROM bins) GROUP BY i)"""
+
+
+def _time_page(c: str) -> str:
+    return f"""SELECT {_PAGE} FROM (WITH t AS (SELECT CAST(epoch_us({c}) AS DOUBLE) AS v FROM orders),
+    q AS (SELECT quantile_cont(v, [0.01, 0.25, 0.5, 0.77, 0.99]) AS p, count(*)::DOUBLE AS n, avg(v) AS mean, min(v) AS lo, max(v) AS hi FROM t),
+    r AS (SELECT *, floor(p[1] / {_DAY}) * {_DAY} AS rl, ceil(p[5] / {_DAY}) * {_DAY} AS rh FROM q)
+    SELECT '{c}' AS "column", 'summary' AS part, 0::BIGINT AS place, label, round(CASE WHEN label IN ('count', 'bins') THEN value ELSE value / 1e6 END, 3) AS value, NULL::BIGINT AS n
+    FROM (SELECT unnest(['count', 'mean', 'min', '1%', '25%', '50%', '77%', '99%', 'max', 'range_low', 'range_high', 'bins']) AS label,
+      unnest([n, mean, lo, p[1], p[2], p[3], p[4], p[5], hi, rl, rh, (rh - rl) / {_DAY}]) AS value FROM r))"""
+
+
+@query("table_profile", " UNION ALL ".join([
+    *map(_category_page, ("o_orderstatus", "o_orderpriority")), *map(_number_page, ("o_orderkey", "o_custkey", "o_totalprice")), _time_page("o_orderdate")]))
+def table_pages(spark, d):
+    """Every page of the profile of a table, in one long form."""
+    found = whole_profile(table(spark, d, "orders"))
+    seconds = F.round(F.when(F.col("label").isin("count", "bins"), F.col("value")).otherwise(F.col("value") / 1e6), 3)
+    return found.withColumn("value", F.when(F.col("part") == "summary", seconds).otherwise(F.col("value")))
 
 
 @query("date_stats", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS x FROM orders)
@@ -162,6 +187,23 @@ def quantiles_nan_null(spark, d):
     return _quantile_rows(spark, injected(table(spark, d, "lineitem")), ("l_quantity", "l_extendedprice"))
 
 
+_NEAR = {"near": "l_orderkey * 7 % 5003 + 4611686018427387904", "price": "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(38,10)) + CAST(100000000000000000000 AS DECIMAL(38,10))"}
+
+
+@query("quantiles_whole", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", CAST({q} AS DOUBLE) AS quantile, CAST(quantile_disc(v, {q}) AS VARCHAR) AS value FROM (SELECT {c} AS v FROM lineitem)"
+    for name, c in _NEAR.items() for q in _QUANTILES))
+def quantiles_whole(spark, d):
+    """Numbers near 2^62 and decimals of 31 digits, which doubles do not tell apart."""
+    far = F.lit("100000000000000000000").cast("decimal(38,10)")
+    df = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 7 % 5003 + F.lit(2 ** 62)).alias("near"),
+        (F.col("l_extendedprice").cast("decimal(18,2)").cast("decimal(38,10)") + far).cast("decimal(38,10)").alias("price"))
+    found = discrete_quantiles(df, {name: _QUANTILES for name in df.columns})
+    rows = [(name, q, f"{value:f}" if name == "price" else str(value)) for name, values in found.items() for q, value in values.items()]
+    return spark.createDataFrame(rows, "column string, quantile double, value string")
+
+
 _BOUNDS = """SELECT '{c}' AS "column", count({c}) AS count, round_even(quantile_cont({c}, 0.001), 0) AS low,
   round(quantile_cont({c}, 0.5), 6) AS median, round_even(quantile_cont({c}, 0.999), 0) AS high FROM {t}"""
 
@@ -195,7 +237,6 @@ def outliers_none_low(spark, d):
     return _outliers(spark, d, "lineitem", "l_quantity")
 
 
-_DAY = "86400000000"
 _TIME = f"""WITH t AS (SELECT epoch_us(ts) AS v FROM events),
   q AS (SELECT quantile_cont(CAST(v AS DOUBLE), 0.01) AS q1, quantile_cont(CAST(v AS DOUBLE), 0.25) AS q25,
     quantile_cont(CAST(v AS DOUBLE), 0.5) AS q50, quantile_cont(CAST(v AS DOUBLE), 0.77) AS q77,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from qualframe.operators import binning, fits, series
 from qualframe.operators.binning import Axis
 from qualframe.operators.profile import describe_text, outliers, rounded, time_summary
-from qualframe.plans.profiling import column_details, profile_table
+from qualframe.plans.profiling import column_details, profile_table, whole_profile
 
 # Cells 0 (underflow) to 41 (overflow) of a published distance histogram, 40 bins on [0, 31).
 CELLS = [
@@ -130,3 +130,78 @@ def test_whole_table_profile(spark, lineitem):
     assert details["histogram"].agg(F.sum("count")).first()[0] == lineitem.count()
     assert set(column_details(lineitem, profile, "l_returnflag")) == {"categories"}
     assert set(column_details(lineitem, profile, "l_shipdate")) == {"summary"}
+
+
+def normal(x, height, mean, sigma):
+    return height * np.exp(-0.5 * ((np.asarray(x) - mean) / sigma) ** 2)
+
+
+def fitted(frame, **options):
+    return {r.parameter: r.value for r in fits.fit_normal(frame, **options).collect()}
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-6, 3.0), (1e7, -5e8)])
+def test_a_normal_curve_is_found_again(spark, scale, shift):
+    x = np.linspace(-2.0, 5.0, 40) * scale + shift
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, normal(x, 12.5, 1.2 * scale + shift, 0.7 * scale))], "x double, y double")
+    found = fitted(df)
+    assert found["mean"] == pytest.approx(1.2 * scale + shift, rel=1e-9) and found["sigma"] == pytest.approx(0.7 * scale, rel=1e-7)
+    assert found["height"] == pytest.approx(12.5, rel=1e-7) and found["points"] == 40
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_no_other_normal_curve_is_nearer(spark, weighted):
+    rng = np.random.default_rng(8)
+    x = np.arange(30.0)
+    y = np.maximum(normal(x, 50, 14, 4.5) + rng.normal(0, 4, 30), 0.0)
+    error = np.sqrt(y) if weighted else np.ones(30)
+    rows = [(float(a), float(b), float(e)) for a, b, e in zip(x, y, error)] + [(1.0, float("nan"), 0.0), (None, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, e double").where("NOT isnan(y)")
+    found = fitted(df, error="e")
+    kept = error > 0
+    squares = lambda h, m, s: float((((y - normal(x, h, m, s))[kept] / error[kept]) ** 2).sum())
+    best = squares(found["height"], found["mean"], found["sigma"])
+    assert found["chi2"] == pytest.approx(best) and found["points"] == kept.sum()
+    for step in (1e-4, 1e-3):
+        for change in ((step, 0, 0), (-step, 0, 0), (0, step, 0), (0, -step, 0), (0, 0, step), (0, 0, -step)):
+            assert squares(*(v * (1 + c) for v, c in zip((found["height"], found["mean"], found["sigma"]), change))) >= best
+
+
+def test_a_histogram_of_a_normal_sample(spark):
+    axis = binning.Axis(40, -4.0, 4.0)
+    df = spark.range(40_000).select(F.randn(5).alias("v"))
+    found = {r.parameter: r.value for r in fits.fit_histogram_normal(binning.hist1d(df, "v", axis), axis).collect()}
+    assert abs(found["mean"]) < 0.03 and abs(found["sigma"] - 1) < 0.03 and found["chi2"] < 80
+    assert {r.parameter for r in fits.fit(df.limit(9).select(F.col("v").alias("x"), F.exp(-F.col("v") * F.col("v")).alias("y")), "gaus:Q").collect()} == set(found)
+    for rows in ([], [(1.0, 2.0), (2.0, 3.0)], [(1.0, 0.0)] * 5):
+        with pytest.raises(ValueError):
+            fits.fit_normal(spark.createDataFrame(rows, "x double, y double"))
+
+
+def test_pages_together_are_the_pages_one_by_one(spark):
+    """Nulls, NaN, one value in most rows, no value below the range, dates, and text with many values."""
+    df = spark.range(3_000).selectExpr(
+        "id", "IF(id % 3 = 0, 5, CAST(id % 100 AS INT)) AS hot", "CASE WHEN id % 50 = 0 THEN double('NaN') WHEN id % 7 = 0 THEN NULL ELSE id / 3 END AS x",
+        "CAST(id AS DECIMAL(12,2)) AS money", "IF(id % 4 = 0, NULL, concat('t', id % 5)) AS few", "IF(id % 9 = 0, NULL, concat('u', id)) AS many", "id % 2 = 0 AS flag",
+        "CAST(id % 6 AS INT) - 2 AS small", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS at", "DATE'2024-01-01' + CAST(id % 40 AS INT) AS day",
+        "CAST(NULL AS DOUBLE) AS nothing", "7 AS constant").repartition(3)
+    profile = profile_table(df)
+    wanted = set()
+    for name in profile.kinds:
+        for part, page in column_details(df, profile, name).items():
+            for r in page.collect():
+                wanted.add({"categories": lambda: (name, part, r["index"], r["value"], r["percent"], r["count"]), "histogram": lambda: (name, part, r["bin"], None, None, r["count"]),
+                            "outliers": lambda: (name, part, r["rank"], r["side"], r["value"], None), "summary": lambda: (name, part, 0, r["statistic"], r["value"], None)}[part]())
+    found = whole_profile(df).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+    assert whole_profile(df.limit(0)).where("part <> 'summary'").count() == 0
+
+
+def test_the_number_of_jobs_does_not_grow_with_the_columns(spark):
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for width in (3, 9):
+        df = spark.range(5_000).select(*[(F.col("id") * (i + 3) % 4_999).alias(f"c{i}") for i in range(width)], *[(F.col("id") % (i + 2)).cast("string").alias(f"t{i}") for i in range(width)])
+        spark.sparkContext.setJobGroup(f"width-{width}", "profile")
+        whole_profile(df).write.format("noop").mode("overwrite").save()
+        jobs[width] = len(tracker.getJobIdsForGroup(f"width-{width}"))
+    assert jobs[9] <= jobs[3] + 4, jobs
