@@ -114,7 +114,7 @@ def histogram_pages(df: DataFrame, axes: dict[str, Axis]) -> DataFrame:
     cells = {name: F.struct(axis.bin_of(as_number(*resolve(df.schema, name))).alias("bin")) for name, axis in axes.items()}
     counted = _long(df, cells).where("bin IS NOT NULL").groupBy("column", "bin").agg(F.count("*").alias("n"))
     spine = df.sparkSession.createDataFrame([(name, axis.bins + 1) for name, axis in axes.items()], "column string, last int").select(
-        "column", F.explode(F.sequence(F.lit(0), F.col("last"))).cast("bigint").alias("bin"))
+        "column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("bin"))
     filled = spine.join(counted, ["column", "bin"], "left")
     return _page(filled, "histogram", F.col("bin"), F.lit(None), F.lit(None), F.coalesce("n", F.lit(0)))
 
