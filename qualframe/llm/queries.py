@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from qualframe.llm import chat, language, licenses, line_dedup, merkle, near_dedup, negatives, neighbours, packing, quality, sharding, tokens, toxicity
-from qualframe.llm.common import table
+from qualframe.llm.common import stored, table
 
 SHARDS = 24
 
@@ -76,6 +78,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.passes(quality.DEFAULT_POLICY).alias("kept"), "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every rule of every version of the policy: documents it fails, documents only it rejects, documents kept with and without it."""
+    judged = stored(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("fail_bits"), "fail-bits")
+    parts = [quality.ablations(judged, policy).select(F.lit(policy).alias("policy"), "rule", "failed", "only_by_it", "kept", "kept_without") for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE lines AS (SELECT doc_id, p - 1 AS pos, trim(l, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS l
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)
@@ -110,6 +119,15 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     f::BIGINT AS fail_bits FROM bits
 """
 
+ABLATIONS_SQL = f"""
+WITH ledger AS ({OP8_SQL.strip()}),
+p(policy, rules) AS (VALUES ('base', 3), ('2024-1', 27), ('2024-2', 63)),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('short_words', 4), ('long_words', 8), ('many_symbols', 16), ('repeated_lines', 32))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & rules = bit) AS only_by_it,
+    count(*) FILTER (fail_bits & rules = 0) AS kept, count(*) FILTER (fail_bits & (rules - bit) = 0) AS kept_without
+FROM ledger, p, r WHERE rules & bit <> 0 GROUP BY policy, rule
+"""
+
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from those outside the held-out fifth."""
@@ -218,9 +236,9 @@ FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 30 * p.score <= 100 * s.sc
 WINDOW w AS (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op11_merkle_manifest, op12_chat_format, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_neighbours, op4_minhash_dedup, op5_license_scan, op6_toxicity, op7_packing, op8_quality_rules, op9_language_id, op10_byte_shards, op11_merkle_manifest, op12_chat_format, op13_hard_negatives, quality_ablations)}
 SQL = {"op1_line_dedup": OP1_SQL.strip(), "op8_quality_rules": OP8_SQL.strip(), "op11_merkle_manifest": OP11_SQL.strip(),
-       "op12_chat_format": OP12_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip()}
+       "op12_chat_format": OP12_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip(), "quality_ablations": ABLATIONS_SQL.strip()}
 
 
 def queries() -> dict:
