@@ -107,27 +107,32 @@ def fit_normal(df: DataFrame, x: str = "x", y: str = "y", error: str | None = No
     u = (F.col("x") - F.lit(centre)) / F.lit(scale)
     curve = lambda p: F.exp(F.lit(p[0]) + F.lit(p[1]) * u + F.lit(p[2]) * u * u)
 
-    def squares(p: np.ndarray) -> float:
+    def at(p: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of squares of a curve, and the step the parabola through its working values asks for."""
         if not p[2] < 0:
-            return math.inf
-        found = points.agg(F.sum(F.col("w") * (F.col("y") - curve(p)) * (F.col("y") - curve(p))).alias("q")).first().q
-        return math.inf if found is None or math.isnan(found) else found
+            return math.inf, np.zeros(3)
+        f = curve(p)
+        rest = F.col("y") - f
+        sums = points.agg(F.sum(F.col("w") * rest * rest).alias("q"), *[F.sum(F.col("w") * f * f * _power(u, k)).alias(f"s{k}") for k in range(5)],
+                          *[F.sum(F.col("w") * f * rest * _power(u, k)).alias(f"t{k}") for k in range(3)]).first()
+        numbers = [sums[c] for c in sums.asDict()]
+        if any(v is None or not math.isfinite(v) for v in numbers):
+            return math.inf, np.zeros(3)
+        matrix = np.array([[sums[f"s{i + j}"] for j in range(3)] for i in range(3)])
+        return sums.q, np.linalg.lstsq(matrix, np.array([sums[f"t{k}"] for k in range(3)]), rcond=None)[0]
 
     p = np.array([math.log(height), 0.0, -0.5])
-    best = squares(p)
+    best, step = at(p)
     for _ in range(rounds):
-        f = curve(p)
-        rests = F.col("w") * f * (F.col("y") - f)
-        sums = points.agg(*[F.sum(F.col("w") * f * f * _power(u, k)).alias(f"s{k}") for k in range(5)],
-                          *[F.sum(rests * _power(u, k)).alias(f"t{k}") for k in range(3)]).first()
-        matrix = np.array([[sums[f"s{i + j}"] for j in range(3)] for i in range(3)])
-        step = np.linalg.lstsq(matrix, np.array([sums[f"t{k}"] for k in range(3)]), rcond=None)[0]
-        while (found := squares(p + step)) > best and np.abs(step).max() > 1e-13:
+        found, following = at(p + step)
+        while not found <= best and np.abs(step).max() > 1e-13:
             step = step / 2
+            found, following = at(p + step)
         if not found <= best:
             break
-        p, gained, best = p + step, best - found, found
-        if np.abs(step).max() <= 1e-12 or gained <= 1e-15 * best and np.abs(step).max() <= 1e-8:
+        rested = np.abs(step).max() <= 1e-12 or (best - found <= 1e-15 * best and np.abs(step).max() <= 1e-8)
+        p, best, step = p + step, found, following
+        if rested:
             break
     sigma = scale / math.sqrt(-2 * p[2])
     top = -p[1] / (2 * p[2])

@@ -27,8 +27,8 @@ from qualframe.sources.footers import footer_profile, footer_rows
 from qualframe.sources.remote import hadoop_path
 from qualframe.types import is_time
 
-# Scans at most; files with rarer sets of open columns share the last one.
-SCANS = 8
+# Scans at most; files with rarer sets of open columns share the last one. Open files that are listed at most.
+SCANS, LISTED = 8, 10_000
 
 _EPOCH = dt.datetime(1970, 1, 1)
 # By constraint, when a range shows that every value passes, and when it shows that every value fails.
@@ -118,24 +118,30 @@ class Scan(NamedTuple):
 
 
 def scans_of(per_file: DataFrame, files: int) -> tuple[list[Scan], Column]:
-    """Files with open columns, grouped by them, and the columns that are scanned in a file, given its ``open`` columns as JSON."""
+    """Files with open columns, grouped by them, and the columns that are scanned in a file, given its ``open`` columns.
+
+    Beyond ``LISTED`` open files no file is listed any more: the columns that are open anywhere are scanned in all of them.
+    """
     opened = open_files(per_file)
-    signature = F.to_json("open")
-    common = [row.signature for row in opened.groupBy(signature.alias("signature")).count().orderBy(F.desc("count"), "signature").limit(SCANS - 1).collect()]
+    literal = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    rows = opened.limit(LISTED + 1).collect()
+    if len(rows) > LISTED:
+        columns = tuple(sorted(row.c for row in opened.select(F.explode("open").alias("c")).distinct().collect()))  # columns of the table
+        return [Scan(columns, None)], literal(columns)
     # Paths of files that are read; Spark's own file index holds them on the driver as well.
-    listed: dict[str, list[str]] = {}
-    for row in opened.select("path", signature.alias("signature")).collect():
-        listed.setdefault(row.signature if row.signature in common else "", []).append(row.path)
-    columns = {row.signature: tuple(row.open) for row in opened.where(signature.isin(common)).select(signature.alias("signature"), "open").distinct().collect()}
-    if "" in listed:
-        rest = opened.where(~signature.isin(common)).select(F.explode("open").alias("c")).distinct().collect()  # columns of the table
-        columns[""] = tuple(sorted(row.c for row in rest))
-    scanned = F.array().cast("array<string>")
-    if columns:
-        literal = lambda names: F.array(*[F.lit(n) for n in names])
-        chosen = [F.when(signature == s, literal(names)) for s, names in columns.items() if s]
-        scanned = F.when(F.col("open").isNull(), scanned).otherwise(F.coalesce(*chosen, literal(columns.get("", ()))))
-    return [Scan(columns[s], None if len(paths) == files else tuple(sorted(paths))) for s, paths in sorted(listed.items())], scanned
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in rows:
+        groups.setdefault(tuple(row.open), []).append(row.path)
+    ordered = sorted(groups, key=lambda columns: (-len(groups[columns]), columns))
+    common, rare = ordered[:SCANS - 1], ordered[SCANS - 1:]
+    scans = {columns: groups[columns] for columns in common}
+    rest = tuple(sorted({c for columns in rare for c in columns}))
+    if rare:
+        scans[rest] = [*scans.get(rest, []), *[path for columns in rare for path in groups[columns]]]
+    scanned = F.when(F.col("open").isNull(), literal(()))
+    for columns in common:
+        scanned = scanned.when(F.col("open") == literal(columns), literal(columns))
+    return ([Scan(columns, None if len(paths) == files else tuple(sorted(paths))) for columns, paths in scans.items()], scanned.otherwise(literal(rest)))
 
 
 def open_files(per_file: DataFrame) -> DataFrame:

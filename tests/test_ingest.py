@@ -222,3 +222,46 @@ def test_nothing_accepted_yet(spark, tmp_path, orders):
     assert empty.count() == 0
     assert set(empty.columns) == set(orders.columns) | {"attempt"}
     assert empty.schema["o_orderdate"].dataType == orders.schema["o_orderdate"].dataType
+
+
+def test_raw_data_is_read_once(spark, tmp_path, orders):
+    """Every raw row goes through the plan of an ingestion once, refused deliveries included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    bad = orders.withColumn("o_totalprice", F.when(F.col("ingestion") == "1996", -1.0).otherwise(F.col("o_totalprice")))
+    raw = bad.mapInArrow(count, bad.schema)
+    dataset = make(spark, tmp_path, bad, o_totalprice=[Rule("greater", {"error": "0"})])
+    status = {r.status for r in dataset.ingest(raw).collect()}
+    assert "rejected" in status and seen.value == orders.count()
+
+
+def test_jobs_and_plans_do_not_grow_with_the_deliveries(spark, tmp_path, orders, monkeypatch):
+    plans, jobs, tracker = {}, {}, spark.sparkContext.statusTracker()
+    commit = Dataset._commit
+
+    def watched(self, rows, token):
+        plans[token] = len(rows._jdf.queryExecution().optimizedPlan().toString())
+        return commit(self, rows, token)
+
+    monkeypatch.setattr(Dataset, "_commit", watched)
+    for number in (3, 120):
+        dataset = make(spark, tmp_path / str(number), orders)
+        spark.sparkContext.setJobGroup(f"deliveries-{number}", "ingest")
+        added = dataset.ingest(orders.withColumn("ingestion", (F.col("o_orderkey") % number).cast("string")), token=f"n{number:04}")
+        assert added.count() == number
+        jobs[number] = len(tracker.getJobIdsForGroup(f"deliveries-{number}"))
+    assert abs(plans["n0003"] - plans["n0120"]) < 200 and jobs[120] <= jobs[3] + 2, (plans, jobs)
+
+
+def test_leftovers_are_files_nobody_reads(spark, tmp_path, orders):
+    bad = orders.withColumn("o_totalprice", F.when(F.col("ingestion") == "1996", -1.0).otherwise(F.col("o_totalprice")))
+    dataset = make(spark, tmp_path, bad, o_totalprice=[Rule("greater", {"error": "0"})])
+    assert dataset.leftovers().count() == 0
+    dataset.ingest(bad)
+    left = [r.path for r in dataset.leftovers().collect()]
+    assert left and all("ingestion=1996" in path for path in left)
