@@ -68,7 +68,7 @@ def json_round_trip(spark, d):
 @query("xml_round_trip", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def xml_round_trip(spark, d):
     path = scratch_path(spark, "xml")
-    table(spark, d, "part").write.option("rowTag", "part").option("rootTag", "parts").format("xml").save(path)
+    files.write_xml(table(spark, d, "part"), path, "part", "parts")
     return files.read_xml(spark, path, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 

@@ -13,6 +13,8 @@ from qualframe.document import DocumentError, TableSpec
 from qualframe.functions.columns import ref, roots
 
 MEGABYTE = 1_000_000
+# Bytes of one XML file we write: no reader splits XML, so each file is the work of one task.
+XML_FILE = 16 * MEGABYTE
 
 
 def widened(df: DataFrame) -> DataFrame:
@@ -44,11 +46,22 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """XML with one element per row."""
+    """XML with one element per row. A file is read by one task, however long it is; ``write_xml`` writes short ones."""
     reader = spark.read.option("rowTag", row_tag)
     return reader.schema(schema).xml(path) if schema is not None else widened(reader.xml(path))
 
 
+def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
+    """XML with one element per row, in files of about ``XML_FILE`` bytes, each written by one task.
+
+    The text is measured first, so the number of files follows from the rows, whatever the layout of their source.
+    """
+    size = F.sum(F.octet_length(F.to_xml(F.struct("*"), {"rowTag": row_tag})).cast("bigint"))
+    written = df.agg(size).first()[0] or 0
+    placed = df.repartition(max(1, -(-written // XML_FILE)))
+    placed.write.option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
+
+
 def parquet_path(path: str) -> str:
     """The Parquet sibling of a source file: only the suffix changes."""
     stem, suffix = posixpath.splitext(path)

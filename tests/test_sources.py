@@ -1,6 +1,7 @@
 import hashlib
 import json
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +13,7 @@ from qualframe.functions.fingerprint import row_fingerprint
 from qualframe.functions.transforms import latlon_to_cell
 from qualframe.functions.uid import decode_uid, encode_uid, largest, with_uid
 from qualframe.functions.columns import fill_template, part_number
+from qualframe.queries.catalog import queries
 from qualframe.sources import catalog, files, footers, hashes, inference, metadata
 
 
@@ -179,3 +181,24 @@ def test_footprint(spark, data):
     rows = {r.kind: r for r in files.footprint(spark, {"parquet": f"{data}/orders.parquet"}, spark.read.parquet(f"{data}/orders.parquet")).collect()}
     assert rows["parquet"].megabytes == Path(f"{data}/orders.parquet").stat().st_size / 1e6
     assert rows["memory"].rows == 1500 and rows["memory"].columns == 6 and rows["memory"].megabytes > 0
+
+
+def test_xml_is_written_in_short_files(spark, data, monkeypatch):
+    """No reader splits XML, so the length of a file is the work of one task."""
+    monkeypatch.setattr(files, "XML_FILE", 2_000, raising=False)
+    found = queries()["xml_round_trip"](spark, data)
+    lengths = [Path(unquote(urlparse(name).path)).stat().st_size for name in found.inputFiles()]
+    assert sum(lengths) > 10 * 2_000 and max(lengths) < 2 * 2_000
+    part = spark.read.parquet(f"{data}/part.parquet")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, part.select(found.columns).collect()))
+
+
+def test_xml_of_odd_rows_in_short_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "XML_FILE", 400)
+    rows = [(i, None if i % 7 == 0 else "</row> <row> & é" * (i % 5 + 1), [i, i + 1], (f"s{i}",)) for i in range(60)]
+    schema = "n bigint, t string, list array<bigint>, s struct<u: string>"
+    df = spark.createDataFrame(rows, schema)
+    files.write_xml(df, str(tmp_path / "x"), "row", "rows")
+    assert sorted(map(str, files.read_xml(spark, str(tmp_path / "x"), "row", schema).collect())) == sorted(map(str, df.collect()))
+    files.write_xml(df.limit(0), str(tmp_path / "none"), "row", "rows")
+    assert files.read_xml(spark, str(tmp_path / "none"), "row", schema).count() == 0
