@@ -96,6 +96,8 @@ def files_report(spark, d):
 
 _RANGED = ("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
 _LAST_KEYS = "(SELECT max(l_orderkey) - 5 FROM lineitem)"
+# Files laid out by key, at least; rows of one of them, which a task sorts in memory.
+RANGES, RANGE_ROWS = 8, 1_000_000
 
 
 @query("validate_open_files", 'SELECT "column", "check", "constraint", "level", severity, status, evaluated, failed, percent FROM (' + report_of(
@@ -108,8 +110,9 @@ _LAST_KEYS = "(SELECT max(l_orderkey) - 5 FROM lineitem)"
 def validate_open_files(spark, d):
     """Files laid out by key: footers settle all but the last, which alone is read."""
     df, path = table(spark, d, "lineitem").select(*_RANGED), scratch_path(spark, "ranged")
-    df.repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey").write.parquet(path)
-    last = df.agg(F.max("l_orderkey")).first()[0] - 5
+    rows, greatest = df.agg(F.count("*"), F.max("l_orderkey")).first()
+    ranges, last = max(RANGES, -(-rows // RANGE_ROWS)), greatest - 5
+    df.repartitionByRange(ranges, "l_orderkey").sortWithinPartitions("l_orderkey").write.parquet(path)
     spec = spec_of(df, "lineitem").with_rules(
         l_orderkey=[rule("greater_equal", error="0"), rule("less_equal", str(last))], l_linenumber=[rule("less", error="8"), rule("greater", "7")])
     report = validate_files(spark, path, replace(spec, table_rules=(rule("min_rows", "1"),)))

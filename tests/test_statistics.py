@@ -208,3 +208,15 @@ def test_only_numbers_without_ranges_are_scanned(spark, tmp_path, monkeypatch):
     pq.write_table(whole, tmp_path / "2.parquet", write_statistics=["x", "t"])
     again = inference.infer_document(spark, str(tmp_path), "d")
     assert seen == [["id"]] and again.table.fields == document.table.fields
+
+
+def test_ranges_of_open_files_hold_a_bounded_number_of_rows(spark, data, tmp_path, monkeypatch):
+    """A task sorts a range in memory, so there are more of them for more rows."""
+    from qualframe.queries import validation
+
+    path, plain_report = str(tmp_path / "ranged"), validation.validate_open_files(spark, data)
+    monkeypatch.setattr(validation, "RANGE_ROWS", 300, raising=False)
+    monkeypatch.setattr(validation, "scratch_path", lambda *_: path)
+    assert plain(validation.validate_open_files(spark, data)) == plain(plain_report)
+    per_file = [row["count"] for row in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == spark.read.parquet(f"{data}/lineitem.parquet").count() and max(per_file) < 2 * 300
